@@ -122,10 +122,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40)
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, voters: int = VOTERS, support: int = 3, purity: float = 0.9, chance: float = 0.2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, voters: int = VOTERS, support: int = 3, purity: float = 0.9, impure: float = 0.01, common: float = 0.01, chance: float = 0.2) -> Model:
     """A model from docs and labels(id_col, label_col); of each class at most sample_rows rows are looked at.
 
-    A term becomes a voter with at least `support` toxic rows, a smoothed purity, and so many toxic rows that of all
+    A term becomes a voter with at least `support` toxic rows, a smoothed purity, at most `impure` clean rows for each toxic one, a share `common` of the toxic rows, and so many toxic rows that of all
     terms seen at most `chance` would be expected to reach them at the sample's base rate.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("y"))
@@ -150,8 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = cut_lineage(rows.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     sizes = Counter(r["y"] for r in sampled)
     base = sizes[1] / max(1, len(sampled))
-    least = max(support, math.ceil(math.log(max(1, counts.count()) / chance) / -math.log(base))) if 0 < base < 1 else support
-    good = (F.col("toxic") >= least) & (F.col("toxic") + 0.5 >= purity * (F.col("toxic") + F.col("clean") + 1))
+    least = max(support, math.ceil(common * sizes[1]), math.ceil(math.log(max(1, counts.count()) / chance) / -math.log(base))) if 0 < base < 1 else support
+    good = (F.col("toxic") >= least) & (F.col("clean") <= impure * F.col("toxic")) & (F.col("toxic") + 0.5 >= purity * (F.col("toxic") + F.col("clean") + 1))
     mined = counts.filter(good).orderBy(F.col("toxic").desc(), "term").limit(voters).collect()
     chosen = [r["term"] for r in mined]
     if not chosen:
