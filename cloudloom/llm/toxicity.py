@@ -109,6 +109,23 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 50, pseudo:
     return q, np.append(accuracy, quiet), corr
 
 
+def covering(votes: np.ndarray, toxic: np.ndarray, terms_: list[str], least: int) -> list[int]:
+    """Voters of terms that explain toxic rows which no other voter explains, and of their longer and shorter forms.
+
+    Greedy: the term that covers most toxic rows not covered yet, while it covers at least `least`. Words that merely
+    stand beside a lexicon's words (in copies of one text, say) cover nothing new.
+    """
+    left, chosen = votes[toxic].astype(bool), []
+    while left.size:
+        gain = left.sum(0)
+        j = max(range(len(terms_)), key=lambda j: (gain[j], -len(terms_[j]), terms_[j]))
+        if gain[j] < least:
+            break
+        chosen.append(terms_[j].rstrip("*"))
+        left = left[~left[:, j]]
+    return [j for j, t in enumerate(terms_) if any(t.startswith(c) or c.startswith(t.rstrip("*")) for c in chosen)]
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40) -> tuple[np.ndarray, float]:
     """Weights and bias of a ridge logistic regression to soft labels, by Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -167,6 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for i, own in enumerate(hits):
         v[i, own["votes"]] = 1
     y = np.array([r["y"] for r in hits])
+    kept = covering(v, y == 1, chosen, max(2, math.ceil(0.002 * sizes[1])))
+    chosen, mined, v = [chosen[j] for j in kept], [mined[j] for j in kept], v[:, kept]
     silent = ~v.any(1)
     start = [(r["toxic"] + 1) / (r["toxic"] + r["clean"] + 2) for r in mined] + [((y[silent] == 0).sum() + 1) / (silent.sum() + 2)]
     q, accuracy, corr = label_model(v, np.array(start))
