@@ -113,9 +113,11 @@ def covering(votes: np.ndarray, toxic: np.ndarray, terms_: list[str], least: int
     """Voters of terms that explain toxic rows which no other voter explains, and of their longer and shorter forms.
 
     Greedy: the term that covers most toxic rows not covered yet, while it covers at least `least`. Words that merely
-    stand beside a lexicon's words (in copies of one text, say) cover nothing new.
+    stand beside a lexicon's words (in copies of one text, say) cover nothing new. Terms in a twentieth of the toxic
+    rows are voters in any case.
     """
-    left, chosen = votes[toxic].astype(bool), []
+    left = votes[toxic].astype(bool)
+    chosen = [t.rstrip("*") for t, n in zip(terms_, left.sum(0)) if n >= max(least, 0.05 * len(left))]
     while left.size:
         gain = left.sum(0)
         j = max(range(len(terms_)), key=lambda j: (gain[j], -len(terms_[j]), terms_[j]))
