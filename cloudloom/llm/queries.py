@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dup, sharding, toxicity, url_filter, warc
+from . import language_id, near_dup, packing, sharding, toxicity, url_filter, warc
 from .common import table
 from .labels import fold
 
@@ -41,12 +41,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    import public_tokenizers
+
+    rows = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
+    return rows.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_near_dup, op7_sharding, op8_language_id, op10_warc)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_near_dup, op7_sharding, op8_language_id, op9_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
