@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language_id, near_dup, packing, sharding, toxicity, url_filter, warc
+from . import decontaminate, html_text, language_id, near_dup, packing, sharding, toxicity, url_filter, warc
 from .common import table
 from .labels import fold
 
@@ -30,6 +30,11 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "edits", "words", "first_word", "last_word")
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return rows.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
@@ -58,7 +63,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_near_dup, op5_html_text, op7_sharding, op8_language_id, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_near_dup, op4_decontaminate, op5_html_text, op7_sharding, op8_language_id, op9_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
