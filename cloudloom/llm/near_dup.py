@@ -29,7 +29,7 @@ from .components import UnionFind, connected
 
 LANES, TREES, DEPTH = 96, 16, 3
 WINDOW = 2048  # neighbours that meet in a crowded region
-SMALL_DOCS, SMALL_SHINGLES = 1500, 3_000_000  # a candidate component that one task settles
+SMALL_DOCS, SMALL_SHINGLES = 4000, 4_000_000  # a candidate component that one task settles
 _U = np.uint64
 
 
@@ -105,7 +105,7 @@ def in_order(rows: DataFrame) -> DataFrame:
     return ordered.repartitionByRange("bucket", "rest", "rep").sortWithinPartitions("bucket", "rest", "rep")
 
 
-def regions(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[dict[str, np.ndarray]]:
+def regions(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...] = ("bucket", "rep", "n")) -> Iterator[dict[str, np.ndarray]]:
     """Windows of neighbours: the rows of one bucket, or overlapping runs of a crowded one."""
 
     def decode(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
@@ -164,7 +164,8 @@ def _reach(adjacent: np.ndarray) -> np.ndarray:
     """The smallest row that each row of a window reaches."""
     label = np.arange(len(adjacent))
     while True:
-        least = np.minimum(label, np.where(adjacent, label[None, :], len(label)).min(1))
+        least = np.concatenate([np.where(adjacent[i : i + 256], label[None, :], len(label)).min(1) for i in range(0, len(label), 256)])
+        least = np.minimum(label, least)
         least = least[least]
         if (least == label).all():
             return label
@@ -176,7 +177,7 @@ def candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v, size = [], [], 0
-        for region in regions(batches, ["bucket", "rep", "n"]):
+        for region in regions(batches):
             rep, label = region["rep"], _reach(allowed(region, num, den))
             moved = label != np.arange(len(label))
             u.append(rep[moved])
@@ -212,8 +213,10 @@ def linked_in(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         block = np.zeros((m, width), np.float32)
         block[row[a:b], at[a:b] - first] = 1
         shared += block @ block.T
-    both = shared.astype(np.int64)
-    adjacent = den * both >= num * (n[:, None] + n[None, :] - both)
+    adjacent = np.zeros((m, m), bool)
+    for i in range(0, m, 256):
+        both = shared[i : i + 256].astype(np.int64)
+        adjacent[i : i + 256] = den * both >= num * (n[i : i + 256, None] + n[None, :] - both)
     np.fill_diagonal(adjacent, False)
     return _reach(adjacent)
 
@@ -245,60 +248,16 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int)
     return named.mapInArrow(work, "rep long, shingles binary").dropDuplicates(["rep"])
 
 
-def _offers(rows: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
-    """(u, v, more): for each row of a window, its `most` best agreeing allowed partners in other components; u < v."""
+def _in_blocks(sets: DataFrame, crowds: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, component) of candidate components too large for one task: crowds(rep, component, blocks).
 
-    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for region in regions(batches, ["bucket", "rep", "n", "component"]):
-            ok = allowed(region, num, den) & (region["component"][:, None] != region["component"][None, :])
-            if not ok.any():
-                continue
-            more = False
-            if most is not None and (ok.sum(1) > most).any():
-                more = True
-                agree = np.where(ok, agreeing(region["sig"]).astype(np.int16), -1)
-                best = np.argpartition(-agree, most - 1, 1)[:, :most]
-                top = np.zeros_like(ok)
-                np.put_along_axis(top, best, True, 1)
-                ok &= top
-            i, j = np.nonzero(ok)
-            u, v = region["rep"][i], region["rep"][j]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(np.full(len(u), more))], names=["u", "v", "more"])
-
-    return in_order(rows).select("bucket", "rep", "n", "component", "sig").mapInArrow(offer, "u long, v long, more boolean").filter("u < v")
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the threshold."""
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = pairs.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("y")), "v")
-    return joined.select("u", "v", "x", "y").mapInArrow(confirm, "u long, v long")
-
-
-def _in_rounds(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, component) of candidate components that are too large for one task."""
-    tested, links, found = None, None, None
-    for most in (6, 48, None):
-        known = rows.withColumn("component", F.col("rep")) if found is None else rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        offers = cut_lineage(_offers(known, num, den, most).groupBy("u", "v").agg(F.max("more").alias("more")))
-        more = offers.agg(F.max("more")).first()[0]
-        pairs = offers.select("u", "v") if tested is None else offers.select("u", "v").join(tested, ["u", "v"], "left_anti")
-        good = cut_lineage(_confirmed(pairs, sets, num, den))
-        links = good if links is None else links.unionByName(good)
-        tested = offers.select("u", "v") if tested is None else tested.unionByName(offers.select("u", "v"))
-        found = connected(links)
-        if not more:
-            break
-    return found
+    A component's documents are dealt into blocks by a hash; each pair of blocks is settled by a task of its own, which
+    gives back stars, not pairs.
+    """
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    met = sets.join(crowds, "rep").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "shingles")
+    return connected(met.groupBy("component", "i", "j").applyInArrow(_settle(num, den), "node long, component long").filter("node != component").select(F.col("node").alias("u"), F.col("component").alias("v")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -309,14 +268,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(forest(classes), "forest")
     near = connected(candidates(rows, num, den))
     near = cut_lineage(near.join(classes.select(F.col("rep").alias("node"), "print", "n"), "node"))
-    sizes = near.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("n")).withColumn("small", (F.col("m") <= SMALL_DOCS) & (F.col("n") <= SMALL_SHINGLES)).select("component", "small")
-    placed = cut_lineage(near.join(sizes, "component").select(F.col("node").alias("rep"), "print", "component", "small"))
+    crowd = F.greatest(F.ceil(F.count("*") / SMALL_DOCS), F.ceil(F.sum("n") / SMALL_SHINGLES))  # 1: one task settles it
+    sizes = near.groupBy("component").agg(crowd.alias("crowd")).select("component", F.when(F.col("crowd") > 1, 2 * F.col("crowd")).otherwise(1).alias("blocks"))
+    placed = cut_lineage(near.join(sizes, "component").select(F.col("node").alias("rep"), "print", "component", "blocks"))
     sets = written(sets_of(docs, placed, id_col, text_col, k), "shingles")
-    small = sets.join(placed.filter("small"), "rep").select("component", "rep", "shingles").groupBy("component").applyInArrow(_settle(num, den), "node long, component long")
+    small = sets.join(placed.filter("blocks = 1"), "rep").select("component", "rep", "shingles").groupBy("component").applyInArrow(_settle(num, den), "node long, component long")
     final = small
-    if not placed.filter("not small").isEmpty():
-        large = rows.join(placed.filter("not small").select("rep"), "rep", "left_semi")
-        final = final.unionByName(_in_rounds(large, sets, num, den))
+    if not placed.filter("blocks > 1").isEmpty():
+        final = final.unionByName(_in_blocks(sets, placed.filter("blocks > 1").select("rep", "component", "blocks"), num, den))
     linked = final.filter("node != component").groupBy(F.col("node").alias("rep")).agg(F.min("component").alias("component"))
     wide = groups.join(linked, "rep", "left").filter((F.col("c") > 1) | F.col("component").isNotNull()).select("print", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n", "print").join(wide, "print", "left")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language_id, near_dup, packing, sharding, toxicity, url_filter, warc
+from . import decontaminate, html_text, language_id, near_dup, packing, sharding, topk, toxicity, url_filter, warc
 from .common import table
 from .labels import fold
 
@@ -40,6 +40,11 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+    return rows.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.assign_shards(table(spark, sf_dir, "documents"), 16)
     return rows.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -63,11 +68,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_near_dup, op4_decontaminate, op5_html_text, op7_sharding, op8_language_id, op9_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_near_dup, op4_decontaminate, op5_html_text, op6_topk, op7_sharding, op8_language_id, op9_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.oracle(), "op10_warc": OP10}
+    return {"op1_url_filter": url_filter.oracle(), "op6_topk": OP6, "op10_warc": OP10}
 
 
 OP10 = """
@@ -78,3 +83,13 @@ select page_id, n::bigint as payload_bytes, p.d as payload_digest,
   case when f.first <> page_id then f.first end as refers_to
 from p left join f on p.d = f.d and p.n >= 100
 """
+
+OP6 = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+x as (select vec_id, unnest(e) as c, generate_subscripts(e, 1) as i, len(e) as dim from v),
+s as (select q.vec_id as query_id, x.vec_id, sum(q.c * x.c)::bigint as score from x q join x on q.i = x.i and q.dim = x.dim and q.vec_id <> x.vec_id
+  where q.vec_id % 20 = 0 group by all),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 20
+"""
