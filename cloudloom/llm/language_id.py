@@ -154,10 +154,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", margin: float = MARGIN) -> DataFrame:
-    """docs with lang_pred, score (cosine of the nearest centroid, 0 to 1) and rejected."""
+    """docs with lang_pred, score (cosine of the nearest centroid, 0 to 1) and rejected, which replace columns of these names."""
     dimensions = len(model.idf)
     out = "pred struct<lang:string, score:double, rejected:boolean>"
-    columns = docs.columns
+    columns = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model  # bounded: languages * centroids * dimensions

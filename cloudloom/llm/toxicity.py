@@ -196,8 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with toxicity (0 to 1): each whole text's votes under the linear classifier."""
-    columns = docs.columns
+    """docs with toxicity (0 to 1), which replaces a column of that name: each whole text's votes under the linear classifier."""
+    columns = [c for c in docs.columns if c != "toxicity"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Voters(model.terms)
