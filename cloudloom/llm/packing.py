@@ -23,18 +23,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, spans, text_chunks, word_hashes, written
+from .common import LOWER, cut_lineage, spans, text_chunks, word_hashes, written
 
 CAPACITY, END = 4096, 1
 GROUP = 1500  # pieces that one island packs at once
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 3
-WORDS = 400_000  # words whose ids a worker remembers; more are encoded anew
+WORDS = 300_000  # words whose ids a worker remembers; more are encoded anew
+CHUNK = 1_000_000  # bytes of text at once
+ENCODED = 5_000  # words that the tokenizer gets at once: what it returns for each is large
+
+
+#: Punctuation that the tokenizer always splits from an ASCII letter beside it, whatever else stands around.
+LETTER, POINT = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = True
+POINT[list(b".,;:!?%*&#$")] = True
 
 
 class WordIds:
-    """Ids of whole texts, from ids of their distinct words between ASCII white space.
+    """Ids of whole texts, from ids of their distinct words.
 
-    The tokenizer drops white space and splits there before anything else, so a text's ids are those of its words.
+    The tokenizer lower-cases, drops white space and splits there, and between an ASCII letter and a POINT, before
+    anything else; so a text's ids are those of its words so split. Its special tokens are matched with their case, so a
+    chunk that may hold one keeps its case.
     """
 
     def __init__(self, path: str):
@@ -48,7 +58,7 @@ class WordIds:
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
         if len(self.known) + len(words) > WORDS:
             self.known, self.ids, self.first = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        encoded = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        encoded = [x.ids for i in range(0, len(words), ENCODED) for x in self.tokenizer.encode_batch_fast(words[i : i + ENCODED], add_special_tokens=False)]
         self.known.update(zip(hashes.tolist(), range(len(self.first) - 1, len(self.first) - 1 + len(words))))
         self.ids = np.concatenate([self.ids, np.fromiter((i for x in encoded for i in x), np.uint32)])
         self.first = np.append(self.first, self.first[-1] + np.cumsum([len(x) for x in encoded]))
@@ -58,7 +68,12 @@ class WordIds:
         starts, stops, words_of = spans(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        hashes = word_hashes(data, starts, stops, None)
+        letter, point = LETTER[data], POINT[data]
+        cuts = np.flatnonzero(letter[:-1] & point[1:] | point[:-1] & letter[1:]) + 1
+        cuts = cuts[~np.isin(cuts, offsets)]
+        words_of = words_of + np.searchsorted(cuts, np.append(starts, len(data)))[words_of]
+        starts, stops = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([stops, cuts]))
+        hashes = word_hashes(data, starts, stops, None if b"<|" in data.tobytes() else LOWER)
         distinct, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         fresh = [j for j, h in enumerate(distinct.tolist()) if h not in self.known]
         raw = data.tobytes()
@@ -74,15 +89,25 @@ class WordIds:
         return ids, np.append(0, ends)[words_of]
 
 
+def word_ids(path: str) -> WordIds:
+    """The worker process's own WordIds, kept from task to task."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_kept_word_ids", {})
+    if path not in kept:
+        kept[path] = WordIds(path)
+    return kept[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(id, piece, start, length, crc): tokens and end mark of every document, cut only where longer than capacity."""
     schema = "id long, piece int, start long, length long, crc long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         for b in batches:
             ids_of = b.column(0).to_pylist()
-            for first, last, data, offsets in text_chunks(b.column(1)):
+            for first, last, data, offsets in text_chunks(b.column(1), CHUNK):
                 ids, where = words.encode(data, offsets)
                 rows = []
                 for d in range(last - first):
