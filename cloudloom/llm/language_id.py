@@ -27,6 +27,8 @@ UND = "und"
 SAMPLE_ROWS, CENTROIDS, DIMENSIONS = 600, 4, 4096
 #: A text is rejected below this share of the lowest training cosine of its centroid.
 MARGIN = 0.25
+#: Bytes of text at once, for the arrays of n-grams.
+CHUNK = 400_000
 _U = np.uint64
 
 #: Bytes that are no part of a word: ASCII other than letters. All bytes of a multi-byte character are.
@@ -85,7 +87,7 @@ def document_frequencies(docs: DataFrame, text_col: str, dimensions: int) -> tup
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, rows = np.zeros(dimensions, np.int64), 0
         for b in batches:
-            for first, last, data, offsets in text_chunks(b.column(0)):
+            for first, last, data, offsets in text_chunks(b.column(0), CHUNK):
                 df += (gram_counts(data, offsets, dimensions) > 0).sum(0)
                 rows += last - first
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dimensions + 1)), pa.array(np.append(df, rows))], names=["slot", "n"])
@@ -137,7 +139,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, last, data, offsets in text_chunks(b.column("text")):
+            for first, last, data, offsets in text_chunks(b.column("text"), CHUNK):
                 v = weighted(gram_counts(data, offsets, dimensions), idf).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column("lang").slice(first, last - first), b.column("h").slice(first, last - first), pa.array([x.tobytes() for x in v], pa.binary())], names=["lang", "h", "v"])
 
@@ -162,27 +164,23 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", margin: float
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model  # bounded: languages * centroids * dimensions
         for b in batches:
-            langs, scores, rejected = [], [], []
             letters = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
-            for first, last, data, offsets in text_chunks(b.column(b.num_columns - 2)):
-                if not m.languages:
-                    langs += [UND] * (last - first)
-                    scores.append(np.zeros(last - first))
-                    rejected += [True] * (last - first)
-                    continue
-                cos = weighted(gram_counts(data, offsets, dimensions), m.idf) @ m.centroids.T
-                best = cos.argmax(1)
-                top = np.clip(cos[np.arange(len(best)), best], 0, 1).astype(float)
-                ok = letters[first:last]
-                langs += [m.languages[j] if good else UND for j, good in zip(best, ok)]
-                scores.append(np.where(ok, top, 0.0))
-                rejected += list(~ok | (top < margin * m.floors[best]))
-            pred = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores])), pa.array(rejected, pa.bool_())], names=["lang", "score", "rejected"])
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 2)), pred], names=[*b.schema.names[:-2], "pred"])
+            for first, last, data, offsets in text_chunks(b.column(at), CHUNK):
+                n, ok = last - first, letters[first:last]
+                if m.languages:
+                    cos = weighted(gram_counts(data, offsets, dimensions), m.idf) @ m.centroids.T
+                    best = cos.argmax(1)
+                    top = np.clip(cos[np.arange(n), best], 0, 1).astype(float)
+                    langs, scores, gone = [m.languages[j] if good else UND for j, good in zip(best, ok)], np.where(ok, top, 0.0), ~ok | (top < margin * m.floors[best])
+                else:
+                    langs, scores, gone = [UND] * n, np.zeros(n), np.ones(n, bool)
+                pred = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores), pa.array(gone)], names=["lang", "score", "rejected"])
+                part = b.slice(first, n)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pred], names=[*part.schema.names[:-1], "pred"])
 
     keep = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]
-    rows = docs.select(*keep, F.col(text_col).alias("its text"), has_letter(F.col(text_col)).alias("its letters"))
-    schema = rows.schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields[:-2])
+    at = columns.index(text_col)
+    rows = docs.select(*keep, has_letter(F.col(text_col)).alias("its letters"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     judged = rows.mapInArrow(judge, f"{fields}, {out}")
     return judged.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), F.col("pred.lang").alias("lang_pred"), F.col("pred.score").alias("score"), F.col("pred.rejected").alias("rejected"))

@@ -203,14 +203,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         finder = Voters(model.terms)
         for b in batches:
             out = []
-            for text in b.column(b.num_columns - 1).to_pylist():
+            for text in b.column(at):
+                text = text.as_py()
                 found = finder.votes(text)
                 z = model.bias + sum(model.weights[j] for j in found) + (model.weights[-1] if found else 0.0)
                 out.append(float(1 / (1 + np.exp(-np.clip(z, -50, 50)))))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(out, pa.float64())], names=[*b.schema.names[:-1], "its score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, "its score"])
 
     keep = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]
-    rows = docs.select(*keep, F.col(text_col).alias("its text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    at = columns.index(text_col)
+    rows = docs.select(*keep)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     judged = rows.mapInArrow(judge, f"{fields}, `its score` double")
     return judged.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), F.col("`its score`").alias("toxicity"))
