@@ -104,7 +104,7 @@ def direction_plane(vx: Column, vy: Column, axis: int) -> Column:
 
 
 #: Axis of a slice -> planes faced by steps whose largest component is vy, -vx, -vy, vx; axes are (x: y, z), (y: x, z), (z: x, y).
-SLICE_PLANES = {0: (1, 2, 4, 5), 1: (0, 2, 3, 5), 2: (0, 1, 3, 4)}
+SLICE_PLANES = {0: (4, 5, 1, 2), 1: (3, 5, 0, 2), 2: (4, 3, 1, 0)}
 
 
 def mean_of_four(parts: list[tuple[Column, int]]) -> Column:

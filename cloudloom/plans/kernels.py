@@ -1,9 +1,108 @@
-"""Queries for the operators that work on a whole frame or group of frames at once."""
+"""Queries for the operators that work on a whole frame, slice or group of frames at once."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import atlas, fill, normals, refine, rounds, weave
+from ..params import Parameters
+from . import derived, pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Parameters that suit the derived clouds' six bits.
+PARAMETERS = Parameters(input_depth=6, voxel_depth=6, refine_depth=5, gof_size=3, map_width=128, map_height=128, block=2, mode="RA")
+
+
+def query(thick: bool = False):
+    def add(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(derived.cloud(spark, sf_dir, thick))
+        return f
+
+    return add
+
+
+@query()
+def oriented_normals(pc: DataFrame) -> DataFrame:
+    return normals.with_normals(pc, 12, 4)
+
+
+@query()
+def refine_exact(pc: DataFrame) -> DataFrame:
+    return pipeline.segmented(pc, PARAMETERS).select("frame_id", "pt_idx", "ppi")
+
+
+@query()
+def refine_sliced(pc: DataFrame) -> DataFrame:
+    return refine.refined(pc.withColumn("plane", F.col("ppi")), 1, use_normals=False)
+
+
+@query()
+def slicing_ppi(pc: DataFrame) -> DataFrame:
+    return weave.sliced_planes(pc)
+
+
+@query(thick=True)
+def patch_loop(pc: DataFrame) -> DataFrame:
+    return rounds.patch_pixels(pc, 16)
+
+
+def _patches(pc: DataFrame) -> DataFrame:
+    return pipeline.boxes(rounds.patch_pixels(pc, 5), PARAMETERS)
+
+
+@query()
+def intra_packing(pc: DataFrame) -> DataFrame:
+    return atlas.pack_intra(_patches(pc), 128, 128, 2)
+
+
+@query()
+def inter_packing(pc: DataFrame) -> DataFrame:
+    return atlas.pack_inter(_patches(pc), 3, 128, 128, 2)
+
+
+def _images(pc: DataFrame, work: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Each frame's z-plane as a 64 x 64 image with its occupancy, filled by work: (frame_id, y, row bytes)."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        image, occupancy = np.full((64, 64), fill.BACKGROUND, np.uint8), np.zeros((64, 64), bool)
+        image[frame["y"], frame["x"]] = frame["z"]
+        occupancy[frame["y"], frame["x"]] = True
+        done = work(image, occupancy)
+        return pd.DataFrame({"frame_id": frame["frame_id"].iloc[0], "y": range(64), "line": [r.tobytes() for r in done]})
+
+    return pc.filter("ppi = 2").groupBy("frame_id").applyInPandas(run, "frame_id int, y int, line binary")
+
+
+def _blocks(occupancy: np.ndarray, block: int) -> np.ndarray:
+    h, w = occupancy.shape
+    return occupancy.reshape(h // block, block, w // block, block).any((1, 3))
+
+
+@query()
+def dilate_fill(pc: DataFrame) -> DataFrame:
+    return _images(pc, lambda i, o: fill.copy_left(fill.dilate_blocks(i, _blocks(o, 4), 4), _blocks(o, 4), 4))
+
+
+@query()
+def bbpe_fill(pc: DataFrame) -> DataFrame:
+    return _images(pc, lambda i, o: fill.grow_blocks(i, o, 8))
+
+
+@query()
+def push_pull_fill(pc: DataFrame) -> DataFrame:
+    return _images(pc, fill.pull_push)
+
+
+@query()
+def v3c_units(pc: DataFrame) -> DataFrame:
+    return pipeline.encode(pc, PARAMETERS)["units"]
+
+
+@query()
+def atlas_maps(pc: DataFrame) -> DataFrame:
+    return pipeline.encode(pc, PARAMETERS)["maps"]

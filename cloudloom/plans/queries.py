@@ -133,7 +133,7 @@ def clamp_and_quantise(pc: DataFrame) -> DataFrame:
 
 
 @query("""with w as (select frame_id, pt_idx, [g - b, r - g, b - g, g - r] as v from pc)
-select frame_id, pt_idx, [1, 2, 4, 5][list_position(v, list_max(v))] as face from w""")
+select frame_id, pt_idx, [4, 5, 1, 2][list_position(v, list_max(v))] as face from w""")
 def direction_to_plane(pc: DataFrame) -> DataFrame:
     return pc.select("frame_id", "pt_idx", sc.direction_plane(F.col("g") - F.col("r"), F.col("g") - F.col("b"), 0).alias("face"))
 
