@@ -13,6 +13,7 @@ from ..params import Parameters
 def segmented(points: DataFrame, p: Parameters) -> DataFrame:
     """points with ppi, by normals or by slices, refined."""
     keys = ["frame_id", "pt_idx"]
+    points = points.drop("ppi", "plane")
     if p.sliced:
         first = points.join(weave.sliced_planes(points), keys)
         plane = refine.refined(first, p.input_depth - p.refine_depth, p.sliced_reach, p.indirect_reach + 1, p.sliced_weight, p.sliced_sweeps, use_normals=False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -158,8 +160,9 @@ def test_stream_groups(spark, tmp_path):
     stream = spark.readStream.schema("frame_id int").parquet(str(source))
     got = []
     query = gof.each_group(gof.grouped_frames(stream, 3, idle_ms=500), lambda batch, i: got.extend(batch.collect())).option("checkpointLocation", str(tmp_path / "state")).start()
-    query.processAllAvailable()
-    query.awaitTermination(12)
+    end = time.time() + 60
+    while len(got) < 3 and time.time() < end:
+        time.sleep(0.5)
     query.stop()
     assert {(r["gof_id"], tuple(r["frames"]), r["complete"]) for r in got} == {(0, (0, 1, 2), True), (1, (3, 4, 5), True), (2, (6,), False)}
 
