@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import atlas, fill, normals, refine, rounds, weave
+from ..operators import atlas, color, fill, normals, refine, rounds, weave
 from ..params import Parameters
 from . import derived, pipeline
 
@@ -106,3 +106,16 @@ def v3c_units(pc: DataFrame) -> DataFrame:
 @query()
 def atlas_maps(pc: DataFrame) -> DataFrame:
     return pipeline.encode(pc, PARAMETERS)["maps"]
+
+
+@query()
+def yuv_fir(pc: DataFrame) -> DataFrame:
+    """Each frame's colours seen along z, as luma and filtered chroma rows."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rgb = np.full((64, 64, 3), fill.BACKGROUND, np.uint8)
+        rgb[frame["y"], frame["x"]] = frame[["r", "g", "b"]]
+        planes = zip("yuv", color.filtered_yuv(rgb))
+        return pd.DataFrame([(frame["frame_id"].iloc[0], name, i, line.tobytes()) for name, p in planes for i, line in enumerate(p)], columns=["frame_id", "plane", "y", "line"])
+
+    return pc.filter("ppi = 2").groupBy("frame_id").applyInPandas(run, "frame_id int, plane string, y int, line binary")

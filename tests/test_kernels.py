@@ -185,3 +185,34 @@ def test_encode_whole(spark, tmp_path):
     assert [u["unit_type"] for u in units] == ["VPS", "AD"] * 2
     pipeline.write_file(out["units"], str(tmp_path / "out.bin"))
     assert (tmp_path / "out.bin").stat().st_size == 1 + sum(5 + len(u["payload"]) for u in units)
+
+
+def test_filtered_colour_of_a_flat_image():
+    from cloudloom.operators.color import filtered_yuv
+
+    y, u, v = filtered_yuv(np.full((16, 16, 3), (255, 0, 0), np.uint8))
+    assert (y == round(0.2126 * 255)).all() and (np.abs(u.astype(int) - round(128 - 0.114572 * 255)) <= 1).all() and (v == 255).all() and u.shape == (8, 8)
+
+
+def test_images_and_sinks(spark):
+    from cloudloom.operators import codec
+    from cloudloom.sources import sinks
+
+    frame = pd.DataFrame({"frame_id": [0], "x": [3], "y": [5], "d1": [9], "d2": [11], "r": [1], "g": [2], "b": [3]})
+    found = codec.images(frame, 16, 16, 2)
+    assert found["occupancy"][0].sum() == 1 and [i[5, 3] for i in found["geometry"]] == [9, 11] and found["attribute"][0][:, 5, 3].tolist() == [1, 2, 3]
+    rows = codec.video_units(spark.createDataFrame(frame), 2, 16, 16, 2).orderBy("unit_seq").collect()
+    assert [(r["unit_type"], len(r["payload"])) for r in rows] == [("OVD", 4 + 64), ("GVD", 4 + 512), ("AVD", 4 + 1536)]
+    image = sinks.raw_image(spark.createDataFrame(frame), 16, 16, "d1").first()["image"]
+    assert len(image) == 256 and image[5 * 16 + 3] == 9 and sum(image) == 9
+    assert sinks.repacked(b"rrggbb") == b"rgbrgb"
+    w = container.BitWriter()
+    w.structure(container.NAL_HEADER, {"type": 36})
+    assert sinks.trace_lines(w)[1] == "type u(6) : 36"
+
+
+def test_command_line(capsys):
+    from cloudloom.__main__ import main
+
+    main(["-i", "x", "-o", "y", "-g", "9", "-p", "slow", "-r", "16-22-2", "-n"])
+    assert "gof_size=8" in capsys.readouterr().out
