@@ -6,9 +6,11 @@ vectorised passes and never a Python call.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,41 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that a kernel handles at once; bounds a Python worker's memory, never what is processed.
 CHUNK_BYTES = 2_000_000
 
+#: Rows of an Arrow batch that is sent to a Python worker; texts can be long, so the usual 10,000 are too many.
+BATCH_ROWS = 1000
+
 _U = np.uint64
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that sends at most BATCH_ROWS rows to a Python worker at once."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+def lean(work: Callable) -> Callable:
+    """work (of record batches, in a Python worker) with large blocks returned to the system as soon as they are freed.
+
+    Workers are used again by later tasks; what one kernel needed at most would else stay with the worker.
+    """
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch], *args: object) -> Iterator[pa.RecordBatch]:
+        libc = ctypes.CDLL(None)
+        glibc = hasattr(libc, "mallopt") and hasattr(libc, "malloc_trim")
+        if glibc:
+            libc.mallopt(-3, 1 << 20)  # blocks of 1 MB and more are mapped, and unmapped when freed
+            libc.mallopt(-8, 2)  # few arenas
+        yield from work(batches, *args)
+        pa.default_memory_pool().release_unused()
+        if glibc:
+            libc.malloc_trim(0)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import constants, mix, spans, text_chunks, word_hashes
+from .common import constants, lean, mix, small_batches, spans, text_chunks, word_hashes
 
 #: Items of one pass over the documents; more items take more passes.
 ITEMS = 20_000
@@ -221,9 +221,10 @@ def find_leaks(
     recall: float = RECALL,
 ) -> DataFrame:
     """(id, item, edits, words, first_word, last_word): benchmark items that documents hold with at most rate edits a word."""
-    out = None
+    out, docs = None, small_batches(docs)
     for items in _blocks(benchmark, item_col, item_text_col, rate, least, recall):
 
+        @lean
         def work(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for first, _, words, where in words_of(b.column(1)):
@@ -239,8 +240,9 @@ def find_leaks(
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = EDIT_RATE, least: int = LEAST_WORDS, recall: float = RECALL) -> DataFrame:
     """The rows of docs that hold no benchmark item; a row is judged where it is, nothing is shuffled."""
     for items in _blocks(benchmark, item_col, item_text_col, rate, least, recall):
-        place = docs.columns.index(text_col)
+        place = small_batches(docs).columns.index(text_col)
 
+        @lean
         def work(batches: Iterator[pa.RecordBatch], items: Items = items, place: int = place) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 clean = np.ones(b.num_rows, bool)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, mix, text_chunks
+from .common import LOWER, SPACES, lean, mix, small_batches, text_chunks
 
 UND = "und"
 #: Bounds of the fitted sample, documented: rows of each language, lowest CRC of the id first.
@@ -84,6 +84,7 @@ class Model:
 def document_frequencies(docs: DataFrame, text_col: str, dimensions: int) -> tuple[np.ndarray, int]:
     """How many of all rows hold each n-gram slot, and the number of rows; each task sums before one narrow shuffle."""
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, rows = np.zeros(dimensions, np.int64), 0
         for b in batches:
@@ -92,7 +93,7 @@ def document_frequencies(docs: DataFrame, text_col: str, dimensions: int) -> tup
                 rows += last - first
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dimensions + 1)), pa.array(np.append(df, rows))], names=["slot", "n"])
 
-    found = docs.select(text_col).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = small_batches(docs).select(text_col).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(dimensions + 1, np.int64)
     out[found["slot"]] = found["n"]
     return out[:-1], int(out[-1])
@@ -137,6 +138,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", ord
     few = ranked.filter(u < share).select("lang", F.col("r.text").alias("text"), F.xxhash64(F.col("r.text"), F.lit(5)).alias("h"))
     vectors: dict[str, list] = {}
 
+    @lean
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, last, data, offsets in text_chunks(b.column("text"), CHUNK):
@@ -161,6 +163,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", margin: float
     out = "pred struct<lang:string, score:double, rejected:boolean>"
     columns = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
 
+    @lean
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model  # bounded: languages * centroids * dimensions
         for b in batches:
@@ -180,7 +183,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", margin: float
 
     keep = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]
     at = columns.index(text_col)
-    rows = docs.select(*keep, has_letter(F.col(text_col)).alias("its letters"))
+    rows = small_batches(docs).select(*keep, has_letter(F.col(text_col)).alias("its letters"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     judged = rows.mapInArrow(judge, f"{fields}, {out}")
     return judged.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), F.col("pred.lang").alias("lang_pred"), F.col("pred.score").alias("score"), F.col("pred.rejected").alias("rejected"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import constants, cut_lineage, mix, shingles, spans, text_chunks, word_hashes, written
+from .common import constants, cut_lineage, lean, mix, shingles, small_batches, spans, text_chunks, word_hashes, written
 from .components import UnionFind, connected
 
 LANES, TREES, DEPTH = 96, 16, 3
@@ -69,18 +69,20 @@ def _binary(rows: np.ndarray) -> pa.Array:
 def sign(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(id, n, print, sig) of every row."""
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, last, sets, where in shingle_sets(b.column(1), k):
                 prints, lanes, n = signatures(sets, where)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(n, pa.int64()), _binary(prints), _binary(lanes)], names=["id", "n", "print", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, "id long, n long, print binary, sig binary")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, "id long, n long, print binary, sig binary")
 
 
 def forest(classes: DataFrame) -> DataFrame:
     """(bucket, tree, rep, n, sig) of the classes that share the first DEPTH lanes of some tree with another one."""
 
+    @lean
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, factors = LANES // TREES, constants(DEPTH + 1, 17)
         for b in batches:
@@ -175,6 +177,7 @@ def _reach(adjacent: np.ndarray) -> np.ndarray:
 def candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Edges (u, v) that connect what the windows hold for possible links: stars, so never more than rows."""
 
+    @lean
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v, size = [], [], 0
         for region in regions(batches):
@@ -235,6 +238,7 @@ def _settle(num: int, den: int):
 def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(rep, shingles) of the documents named in ids(rep)."""
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, last, sets, where in shingle_sets(b.column("text"), k):

@@ -13,6 +13,7 @@ an empty table gives an empty result; other columns are ignored; a null id stays
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut_lineage, spans, text_chunks, word_hashes, written
+from .common import LOWER, cut_lineage, lean, small_batches, spans, text_chunks, word_hashes, written
 
 CAPACITY, END = 4096, 1
 GROUP = 1500  # pieces that one island packs at once
@@ -91,6 +92,7 @@ class WordIds:
 
 def word_ids(path: str) -> WordIds:
     """The worker process's own WordIds, kept from task to task."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     import tokenizers
 
     kept = vars(tokenizers).setdefault("_kept_word_ids", {})
@@ -103,6 +105,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """(id, piece, start, length, crc): tokens and end mark of every document, cut only where longer than capacity."""
     schema = "id long, piece int, start long, length long, crc long"
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
         for b in batches:
@@ -117,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                         rows.append((ids_of[first + d], piece, at, len(part), zlib.crc32(part.tobytes())))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["id", "piece", "start", "length", "crc"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
 
 
 # A packing is a list of bins, a bin a list of item numbers.
@@ -201,6 +204,7 @@ def _islands(rows: DataFrame, capacity: int) -> DataFrame:
     state = packed.select("grp", "island", "keys", "lengths", F.lit(None).cast("array<int>").alias("bins"))
     for epoch in range(EPOCHS):
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch], epoch: int = epoch) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out, counts = [], []

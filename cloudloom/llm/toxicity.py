@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, lean, small_batches
 
 #: Bounds of the fitted sample, documented: labelled rows of each class, by a hash of their id; voters.
 SAMPLE_ROWS, VOTERS = 8000, 400
@@ -155,8 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # at most 2 * sample_rows ids and labels: a proven bound, so they go to every executor
     sampled = sample.collect()
     ids = docs.sparkSession.createDataFrame([tuple(r) for r in sampled], known.schema)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("text", "y")
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("text", "y")
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [Counter(), Counter()]
         for b in batches:
@@ -176,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not chosen:
         return Model()
 
+    @lean
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Voters(chosen)
         for b in batches:
@@ -199,6 +201,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with toxicity (0 to 1), which replaces a column of that name: each whole text's votes under the linear classifier."""
     columns = [c for c in docs.columns if c != "toxicity"]
 
+    @lean
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Voters(model.terms)
         for b in batches:
@@ -212,7 +215,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     keep = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]
     at = columns.index(text_col)
-    rows = docs.select(*keep)
+    rows = small_batches(docs).select(*keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     judged = rows.mapInArrow(judge, f"{fields}, `its score` double")
     return judged.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), F.col("`its score`").alias("toxicity"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, small_batches, written
 
 ARCHIVE_BYTES = 8_000_000  # of records in one archive, before compression
 LEVEL = 5
@@ -72,6 +72,7 @@ def write_monolithic(pages: DataFrame, least: int = 100, archive_bytes: int = AR
     d = decisions(pages, least).select(F.col("page_id").alias("d_id"), F.col("digest").alias("d_digest"), "refers_to", F.lit(True).alias("again"))
     joined = marked.join(d, F.col("page_id").eqNullSafe(F.col("d_id")) & (F.col("digest") == F.col("d_digest")), "left").select("page_id", "url", "payload", "digest", "refers_to")
 
+    @lean
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
@@ -93,6 +94,7 @@ INDEX = pa.list_(pa.struct([("record_id", pa.string()), ("at", pa.int64()), ("le
 def normalise(archives: DataFrame) -> DataFrame:
     """(archive, index): each stream inflated once, each record written as its own gzip member, with the sidecar index."""
 
+    @lean
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for archive in b.column("archive"):
@@ -117,6 +119,7 @@ def read_back(archives: DataFrame) -> DataFrame:
     def number(urn: str | None) -> int | None:
         return None if urn is None or urn == "<urn:page:->" else int(urn[len("<urn:page:") : -1])
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for archive, index in zip(b.column("archive"), b.column("index").to_pylist()):
@@ -137,5 +140,5 @@ def read_back(archives: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100) -> DataFrame:
     """Write pages to monolithic archives, normalise these, and read the records back from the normalised ones."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
+    rows = small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     return read_back(written(normalise(written(write_monolithic(rows, least), "warc-monolithic")), "warc"))
