@@ -44,7 +44,7 @@ def lean(work: Callable) -> Callable:
         libc = ctypes.CDLL(None)
         glibc = hasattr(libc, "mallopt") and hasattr(libc, "malloc_trim")
         if glibc:
-            libc.mallopt(-3, 1 << 20)  # blocks of 1 MB and more are mapped, and unmapped when freed
+            libc.mallopt(-3, 8 << 20)  # blocks of 8 MB and more are mapped, and unmapped when freed
             libc.mallopt(-8, 2)  # few arenas
         yield from work(batches, *args)
         pa.default_memory_pool().release_unused()
