@@ -3,8 +3,9 @@
 A page is read as text nodes with their root-to-leaf tag paths. Per path, text length and punctuation are summed and
 divided by the path's nodes; both ratios are smoothed over neighbouring nodes in page order, fused with each other and
 with the share of text outside links, and thresholded. Nodes inside elements that never hold main text (menus, forms,
-notices and so on, by tag, role, class or id) have ratio zero. Paths over the threshold mark the content; where
-they lie in an article or main element, its other nodes belong to the content as well, short ones too.
+notices and so on, by tag, role, class or id) are left out. Nodes over the threshold are the content, wherever they
+lie. An article or main element only rescues what is too short for a ratio: a run of nodes of one path, or a whole list
+or table, that touches a node over the threshold and is mostly text outside links.
 
 Edge cases: a null or empty page, or one without content, has an empty text; unclosed and stray tags, comments and character
 references without an end are read as browsers do; a page of any length is read whole; repeated rows are extracted each.
@@ -16,6 +17,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 PUNCTUATION = ".,;:!?。，…"
+HEADING = re.compile(r"/h[1-6](\.[^/]*)?$")
+LIST = re.compile(r".*?/(?:ul|ol|dl|table)(?=[./]|$)")
 
 
 @dataclass(slots=True)
@@ -136,6 +140,19 @@ def scores(page: list[Node]) -> np.ndarray:
     return text_ratio * np.log1p(1 + mark_ratio) * (1 - per_path(length * linked) / np.maximum(total, 1))[where]
 
 
+def rescued(page: list[Node], over: np.ndarray) -> np.ndarray:
+    """Nodes of the runs in an article or main element that touch a node over the threshold and are mostly outside links."""
+    near = over | np.append(over[1:], False) | np.insert(over[:-1], 0, False)
+    out = np.zeros(len(page), bool)
+    at = 0
+    for (held, _), run in groupby(page, lambda x: (x.held, m[0] if (m := LIST.match(x.path)) else x.path)):
+        nodes_ = list(run)
+        own = slice(at, at := at + len(nodes_))
+        if held and near[own].any():
+            out[own] = 2 * sum(len(x.text.strip()) for x in nodes_ if x.linked) < sum(len(x.text.strip()) for x in nodes_)
+    return out
+
+
 def main_text(html: str | None, share: float = 0.2) -> str:
     """The main text of a page; share: the part of the mean fused ratio (weighted by text) that a path must reach."""
     page = nodes(html) if html else []
@@ -147,12 +164,8 @@ def main_text(html: str | None, share: float = 0.2) -> str:
     over &= fused > 0
     if not over.any():
         over = np.array([not x.linked for x in page])
-    held = np.array([x.held for x in page])
-    if (weight * over * held).sum() >= 0.5 * (weight * over).sum() and held.any():
-        chosen = held
-    else:
-        heading = np.array([re.search(r"/h[1-6](\.[^/]*)?$", x.path) is not None for x in page])
-        chosen = over | heading & np.append(over[1:], False)
+    chosen = over | rescued(page, over)
+    chosen |= np.array([HEADING.search(x.path) is not None for x in page]) & np.append(chosen[1:], False)
     blocks: dict[int, list[str]] = {}
     for x, good in zip(page, chosen):
         if good:

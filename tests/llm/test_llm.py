@@ -206,6 +206,17 @@ def test_main_text():
     assert html_text.main_text(bare) == "Head\nA first paragraph, with text; and punctuation.\nShort."
 
 
+def test_ratios_decide_inside_an_article_too():
+    p = "<p>A paragraph of some length, with words; and with punctuation, as prose has it.</p>"
+    links = "<ul>" + "".join(f"<li><a href={i}>Another story {i}</a></li>" for i in range(9)) + "</ul>"
+    cards = "<div>" + "".join(f"<h5>Lamp {i}</h5><span><div>{i} EUR</div></span>" for i in range(9)) + "</div>"
+    short = "<ul>" + "".join(f"<li>item {i}</li>" for i in range(9)) + "</ul>"
+    for holder in ("article", "main"):
+        got = html_text.main_text(f"<body><{holder}><h1>Head</h1>{p * 3}{links}{p}{cards}{p}{short}{p}</{holder}><div>{p}</div></body>")
+        assert "Another story" not in got and "Lamp 4" not in got and "4 EUR" not in got
+        assert got.startswith("Head\n") and got.count("A paragraph") == 7 and all(f"item {i}" in got for i in range(9))
+
+
 def test_extract_keeps_columns(spark):
     rows = html_text.extract(spark.createDataFrame([(1, "u", PAGE), (2, None, None)], "page_id long, url string, html string").withColumn("c0", F.lit(1)))
     assert rows.columns == ["page_id", "url", "c0", "main_text"] and [r["main_text"] for r in rows.orderBy("page_id").collect()][1] == ""
