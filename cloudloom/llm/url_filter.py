@@ -3,8 +3,9 @@
 Each host's paths form a tree of segments. Level by level, a node whose children are variable (many distinct segments,
 each seen rarely, or segments that look like numbers, ids or dates) gets one wildcard child in their place; children of
 a node whose labelled rows agree statistically are merged, so that they are judged on their common evidence. A template
-is rejected where its smoothed share of bad labels passes a threshold. Labels come from rules (host, path prefix), from
-an optional table, or both; the rule that fits best decides for its own urls, the tree for all others.
+is rejected where its smoothed share of bad labels passes a threshold. Labels come from an optional table of urls, else
+from rules (host, path prefix), else from a pattern of host words; the rule that fits best decides for its own urls, the
+tree for all others. Without a table only rules and host words label, so the tree learns little that these don't say.
 
 Edge cases: a null url, or one without `://`, has empty host and path and is its own template; nulls in labels count as no
 label; an empty table gives an empty result; repeated rows are judged alike, each on its own row.
@@ -104,19 +105,26 @@ def filter_urls(
     rules: dict[str, str] = RULES,
     bad_host: str | None = BAD_HOST,
     depth: int = 4,
+    labels: DataFrame | None = None,
     **tree_options: float,
 ) -> DataFrame:
-    """(id_col, host, path, rule, verdict, template, purity) of every row of pages."""
-    rows = pages.select(F.col(id_col), F.col(url_col).alias("url"))
+    """(id_col, host, path, rule, verdict, template, purity) of every row of pages.
+
+    labels(url, bad): known verdicts, 1 for bad and 0 for good, for all rows of a url; of several for a url the mean is rounded.
+    """
+    rows = pages.select(F.col(id_col), F.col(url_col).alias("url")).withColumn("known", F.lit(None).cast("int"))
+    if labels is not None:
+        known = labels.groupBy("url").agg(F.round(F.avg(F.col("bad").cast("int"))).cast("int").alias("known"))
+        rows = rows.drop("known").join(known, "url", "left")
     host, path = split_url(F.col("url"))
-    rows = rows.select(id_col, host.alias("host"), path.alias("path"))
+    rows = rows.select(id_col, host.alias("host"), path.alias("path"), "known")
     rows = rows.withColumn("rule", matched_rule(rules)).withColumn("shape", generalised(F.col("path"), depth))
     by_rule = F.lit(None).cast("string")
     for rule, verdict in rules.items():
         by_rule = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(by_rule)
     by_host = F.when(F.col("host").rlike(bad_host), 1) if bad_host else F.lit(None).cast("int")
     rows = rows.withColumn("by_rule", by_rule)
-    label = F.coalesce(F.when(F.col("rule").isNotNull(), (F.col("by_rule") == "block").cast("int")), by_host)
+    label = F.coalesce("known", F.when(F.col("rule").isNotNull(), (F.col("by_rule") == "block").cast("int")), by_host)
     tree = template_tree(rows.select("host", "shape", label.alias("bad")), depth, **tree_options)
     judged = verdicts(tree)
     return rows.join(judged, ["host", "shape"], "left").select(id_col, "host", "path", "rule", F.coalesce("by_rule", "judged").alias("verdict"), "template", F.round("purity", 9).alias("purity"))

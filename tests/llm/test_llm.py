@@ -59,6 +59,17 @@ def test_rules_and_templates(spark):
     assert {by[i]["verdict"] for i in range(9, 16)} == {"block"} and {by[i]["template"][:3] for i in range(9, 16)} == {"/*/"}
 
 
+def test_a_label_table_rejects_templates_within_a_host(spark):
+    urls = [f"http://h.org/{kind}/{i}" for kind in ("bad", "good", "none", "one") for i in range(8)] + ["http://h.org/bad/1", None]
+    known = [(f"http://h.org/bad/{i}", 1) for i in range(4)] + [("http://h.org/bad/1", 1), ("http://h.org/bad/2", None), (None, 1), ("http://x.org/", 1)]
+    known += [(f"http://h.org/good/{i}", int(i == 0)) for i in range(4)] + [("http://h.org/one/0", 1)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = url_filter.filter_urls(pages, labels=spark.createDataFrame(known, "url string, bad int")).collect()
+    assert len(rows) == len(urls)
+    assert {r["page_id"] for r in rows if r["verdict"] == "block"} == {*range(8), 32}
+    assert {r["verdict"] for r in url_filter.filter_urls(pages).collect()} == {"allow"}
+
+
 def test_url_filter_on_no_rows(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
