@@ -5,12 +5,14 @@ stays by a random bit of the step and the word read, so sequences a few edits ap
 steps: edit distance becomes Hamming distance. Walks start at every word of every document and at every word of every
 item, and are as long as an item window; each of `samplings` repetitions hashes a few random steps of a walk, and equal
 hashes make a candidate (document, item, place). Each candidate is verified by the exact edit distance, in words,
-between the whole item and the best-fitting stretch of the document. samplings follows from the target recall.
+between the whole item and the best-fitting stretch of the document. samplings follows from the target recall and the
+windows of an item, and goes by item length, as a window counts only if its walk ends inside the item. Items of fewer
+than `least` words offer too few windows and are looked up by exact equality of all their words.
 
 Documents stay where they are: only items travel, in blocks of a bounded number, one pass over the documents a block.
 
-Edge cases: null or blank texts and items hold no words and match nothing; items of fewer than `least` words are no
-evidence of a leak and are not looked for; equal items are each reported; repeated rows are judged each; other columns are ignored.
+Edge cases: null or blank texts and items hold no words and match nothing; an item of a single word is in every document
+that holds the word; equal items are each reported; repeated rows are judged each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ from .common import constants, lean, mix, small_batches, spans, text_chunks, wor
 
 #: Items of one pass over the documents; more items take more passes.
 ITEMS = 20_000
-#: Repetitions for items of at least LONG_WORDS words, and for shorter ones: sampled steps, steps they are sampled from.
-LONG_WORDS = 16
-LONG, SHORT = (8, (20, 24, 28)), (4, (10, 12))
+#: Plans by item length: least words, sampled steps, steps they are sampled from, windows that count as independent
+#: (valid ones overlap; so many give the target recall at the full edit rate for every length of the class).
+PLANS = ((8, 4, (6, 8, 10), 3), (12, 4, (10, 12), 4.2), (31, 8, (20, 24, 28), 8))
 WALKS = 2  # independent walks; repetitions take turns
 CHUNK = 250_000  # bytes of text at once: its arrays stay in a core's cache
 EDIT_RATE, RECALL, DIFFERING = 0.2, 0.99, 0.3
@@ -44,7 +46,7 @@ OUTSIDE[0x30:0x3A] = OUTSIDE[0x41:0x5B] = OUTSIDE[0x61:0x7B] = False
 OUTSIDE[0x80:] = False
 
 
-def samplings(sampled: int, windows: int, recall: float = RECALL, differing: float = DIFFERING) -> int:
+def samplings(sampled: int, windows: float, recall: float = RECALL, differing: float = DIFFERING) -> int:
     """Repetitions after which an item is hit with the target recall, if each of its windows differs in that share of steps."""
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing) ** sampled) / windows))
 
@@ -53,15 +55,15 @@ def samplings(sampled: int, windows: int, recall: float = RECALL, differing: flo
 class Repetition:
     walk: int
     steps: tuple[int, ...]
-    short: bool
+    plan: int
 
 
-def repetitions(recall: float, some_short: bool, some_long: bool, seed: int = 7) -> list[Repetition]:
-    """All repetitions; those for short or long items only where there are such items."""
+def repetitions(recall: float, plans: set[int], seed: int = 7) -> list[Repetition]:
+    """All repetitions of the plans of that number."""
     random, out = np.random.default_rng(seed), []
-    for (sampled, spans_), short, needed in ((LONG, False, some_long), (SHORT, True, some_short)):
-        count = samplings(sampled, LEAST_WORDS, recall) if needed else 0
-        out += [Repetition(r % WALKS, tuple(sorted(random.choice(spans_[r % len(spans_)], sampled, replace=False).tolist())), short) for r in range(count)]
+    for p, (_, sampled, spans_, windows) in enumerate(PLANS):
+        count = samplings(sampled, windows, recall) if p in plans else 0
+        out += [Repetition(r % WALKS, tuple(sorted(random.choice(spans_[r % len(spans_)], sampled, replace=False).tolist())), p) for r in range(count)]
     return out
 
 
@@ -102,18 +104,26 @@ def embed(words: np.ndarray, where: np.ndarray, plan: list[Repetition]) -> list[
     return keys
 
 
+def runs(words: np.ndarray, n: int) -> np.ndarray:
+    """Keys of each run of n words."""
+    with np.errstate(over="ignore"):
+        return sum(words[j : len(words) - n + 1 + j] * f for j, f in enumerate(constants(n, 31)))
+
+
 @dataclass
 class Items:
     """Benchmark items ready to be looked for."""
 
     ids: list[int]
     words: list[np.ndarray]
+    distinct: list[set[int]]
     most: list[int]  # edits allowed
     plan: list[Repetition]
     tables: list[np.ndarray]  # of each repetition: which slots hold a key
     keys: list[np.ndarray]  # sorted keys
     owner: list[np.ndarray]  # item and offset of each key
     offset: list[np.ndarray]
+    exact: dict[int, tuple[np.ndarray, np.ndarray]]  # of each length of short items: sorted keys, item of each
 
 
 def prepare(rows: list[tuple[int, str]], rate: float = EDIT_RATE, least: int = LEAST_WORDS, recall: float = RECALL) -> Items:
@@ -121,17 +131,25 @@ def prepare(rows: list[tuple[int, str]], rate: float = EDIT_RATE, least: int = L
     for first, last, hashes, where in words_of(pa.array([t for _, t in rows], pa.string())):
         for d in range(last - first):
             own = hashes[where[d] : where[d + 1]]
-            if len(own) >= least:
+            if len(own):
                 ids.append(rows[first + d][0])
                 words.append(own)
     sizes = np.array([len(w) for w in words], np.int64)
-    out = Items(ids, words, (rate * sizes).astype(int).tolist(), repetitions(recall, (sizes < LONG_WORDS).any(), (sizes >= LONG_WORDS).any()), [], [], [], [])
+    most = np.where(sizes < least, 0, (rate * sizes).astype(int))
+    kind = np.maximum(np.searchsorted([p[0] for p in PLANS], sizes, "right") - 1, 0)
+    kind[sizes < least] = -1
+    out = Items(ids, words, [set(w.tolist()) for w in words], most.tolist(), repetitions(recall, set(kind.tolist())), [], [], [], [], {})
+    for n in np.unique(sizes[sizes < max(least, LEAST_WORDS)]).tolist():
+        own = np.flatnonzero(sizes == n)
+        key = runs(np.concatenate([words[i] for i in own]), n)[::n]
+        order = np.argsort(key, kind="stable")
+        out.exact[n] = key[order], own[order]
     if words:
         where = np.concatenate([[0], np.cumsum(sizes)])
         item = np.repeat(np.arange(len(words)), sizes)
         offset = np.arange(where[-1]) - where[item]
         for repetition, key in zip(out.plan, embed(np.concatenate(words), where, out.plan)):
-            use = (key != 0) & ((sizes[item] < LONG_WORDS) == repetition.short)
+            use = (key != 0) & (kind[item] == repetition.plan)
             order = np.argsort(key[use], kind="stable")
             table = np.zeros(1 << TABLE_BITS, bool)
             table[_slot(key[use])] = True
@@ -159,10 +177,30 @@ def fitting(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row.min()), int(row.argmin())
 
 
+def exact_in(words: np.ndarray, where: np.ndarray, items: Items) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """{(document, item): (0, first word, word after the last)} of the short items, the first place of each."""
+    out: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for n, (keys, owner) in items.exact.items():
+        key = runs(words, n) if len(words) >= n else words[:0]
+        low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+        at = np.flatnonzero(high > low)
+        doc = np.searchsorted(where, at, "right") - 1
+        inside = at + n <= where[doc + 1]
+        at, doc = at[inside], doc[inside]
+        _, first = np.unique(np.stack([doc, low[at]]), axis=1, return_index=True)
+        for j in first.tolist():
+            d, a = int(doc[j]), int(at[j])
+            for i in owner[low[a] : high[a]].tolist():
+                if (items.words[i] == words[a : a + n]).all():
+                    out[d, i] = (0, a - int(where[d]), a + n - int(where[d]))
+    return out
+
+
 def leaks_in(words: np.ndarray, where: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int]]:
     """(document, item, edits, first word, word after the last) of verified matches, the best of each document and item."""
     if not len(words) or not items.ids:
         return []
+    best = exact_in(words, where, items)
     keys = embed(words, where, items.plan)
     found_at, found_item, found_start = [], [], []
     for r, key in enumerate(keys):
@@ -177,26 +215,24 @@ def leaks_in(words: np.ndarray, where: np.ndarray, items: Items) -> list[tuple[i
             found_item.append(items.owner[r][entry])
             found_start.append(found_at[-1] - items.offset[r][entry])
     if not found_at:
-        return []
+        return [(d, i, *x) for (d, i), x in sorted(best.items())]
     at, item, start = np.concatenate(found_at), np.concatenate(found_item), np.concatenate(found_start)
     doc = np.searchsorted(where, at, "right") - 1
     most = np.array(items.most)
     near = (start - where[doc]) // np.maximum(4, most[item])  # starts this close fit in one verified stretch
     place = (doc * len(items.ids) + item) * (int(near.max()) + 3) + near + 1
     _, first = np.unique(place, return_index=True)
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for j in first.tolist():
-        d, i = int(doc[j]), int(item[j])
+    listed, begins, ends = words.tolist(), where[doc[first]].tolist(), where[doc[first] + 1].tolist()
+    for d, i, at_, begin, end in zip(doc[first].tolist(), item[first].tolist(), start[first].tolist(), begins, ends):
         own, slack = items.words[i], max(4, items.most[i]) + items.most[i] + 1
-        a = max(int(where[d]), int(start[j]) - slack)
-        z = min(int(where[d + 1]), int(start[j]) + len(own) + 2 * slack)
-        text = words[a:z]
-        if len(set(own.tolist()) & set(text.tolist())) < len(set(own.tolist())) - items.most[i] or best.get((d, i), (1 << 30,))[0] == 0:
+        a, z = max(begin, at_ - slack), min(end, at_ + len(own) + 2 * slack)
+        if len(items.distinct[i].intersection(listed[a:z])) < len(items.distinct[i]) - items.most[i] or best.get((d, i), (1 << 30,))[0] == 0:
             continue
-        edits, end = fitting(own, text)
+        text = words[a:z]
+        edits, stop = fitting(own, text)
         if edits <= items.most[i] and edits < best.get((d, i), (1 << 30,))[0]:
-            _, back = fitting(own[::-1], text[:end][::-1])
-            best[d, i] = (edits, a + end - back - int(where[d]), a + end - int(where[d]))
+            _, back = fitting(own[::-1], text[:stop][::-1])
+            best[d, i] = (edits, a + stop - back - begin, a + stop - begin)
     return [(d, i, *x) for (d, i), x in sorted(best.items())]
 
 

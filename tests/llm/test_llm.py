@@ -186,6 +186,31 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontaminate.without_leaks(empty(spark), benchmark.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("length", [8, 10, 12, 16, 17, 20, 25, 30, 31, 45])
+def test_recall_of_every_length_at_the_full_edit_rate(length):
+    r = random.Random(length)
+    word = lambda kind: f"{kind}{r.randrange(50_000)}"
+    plain = [[word("w") for _ in range(length)] for _ in range(400)]
+    items = decontaminate.prepare([(i, " ".join(x)) for i, x in enumerate(plain)])
+    docs = []
+    for own in map(list, plain):
+        for at in sorted(r.sample(range(length), int(0.2 * length)), reverse=True):
+            own[at : at + 1] = r.choice([[word("e")], [own[at], word("e")], []])
+        docs.append(" ".join([*(word("w") for _ in range(40)), *own, *(word("w") for _ in range(40))]))
+    found = set()
+    for first, _, words, where in decontaminate.words_of(pa.array(docs)):
+        found |= {(first + d, i) for d, i, *_ in decontaminate.leaks_in(words, where, items)}
+    assert sum((i, i) in found for i in range(400)) >= 0.98 * 400
+
+
+def test_short_items_are_found_exactly(spark):
+    docs = spark.createDataFrame([(1, "a b c. D e", "en", "s", 1), (2, "c d", "en", "s", 1), (3, "e f x a", "en", "s", 1), (4, "a b x c d e f", "en", "s", 1), (5, "C, d! a b c d", "en", "s", 1), (6, None, "en", "s", 1)], DOCS)
+    benchmark = spark.createDataFrame([(1, "c d"), (2, "A b c d e"), (3, "c d"), (4, "f"), (5, "?!")], "item_id long, text string")
+    got = sorted((x["id"], x["item"], x["edits"], x["words"], x["first_word"], x["last_word"]) for x in decontaminate.find_leaks(docs, benchmark).collect())
+    assert got == [(1, 1, 0, 2, 2, 3), (1, 2, 0, 5, 0, 4), (1, 3, 0, 2, 2, 3), (2, 1, 0, 2, 0, 1), (2, 3, 0, 2, 0, 1), (3, 4, 0, 1, 1, 1), (4, 1, 0, 2, 3, 4), (4, 3, 0, 2, 3, 4), (4, 4, 0, 1, 6, 6), (5, 1, 0, 2, 0, 1), (5, 3, 0, 2, 0, 1)]
+    assert [x["doc_id"] for x in decontaminate.without_leaks(docs, benchmark).collect()] == [6]
+
+
 def test_fitting_is_the_edit_distance():
     r = np.random.default_rng(1)
     for _ in range(50):
