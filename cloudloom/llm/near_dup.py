@@ -6,8 +6,9 @@ The forest holds each class's signature in several orders (trees). In each tree,
 order are neighbours; a crowded region is sorted by the rest of the order, and only the neighbours with the longest
 common prefixes meet, in windows: the depth adapts to the region. Pairs whose signatures and sizes allow the
 threshold (less four standard errors) connect candidates. A candidate component small enough for one task is settled there
-on full sets, all pairs at once; a larger one is settled pair by pair in rounds, each round offering every text more
-partners in other components, the last one all of them, until nothing is left to test.
+on full sets, all pairs at once; a larger one in pairs of blocks, all of them. Candidates are not exact: of a region of more
+than WINDOW classes only neighbours within a window are compared, so a link is lost where its two texts are further apart
+in all trees and no other candidates connect them.
 
 Edge cases: null, empty and blank texts have no shingles and are linked with nothing; with fewer than k words the whole
 sequence is the only shingle; a null id has no component and is kept; rows that repeat an id are judged each on its own
