@@ -123,15 +123,19 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
-_BASE = _U(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
+#: Bytes that are hashed at once.
+HASHED_BYTES = 1 << 18
+_BASE = _U(0x9E3779B97F4A7C15)  # odd, so its powers have inverses modulo 2**64
+_powers = np.ones((2, 1), np.uint64)
 
 
 def _power_table(n: int) -> np.ndarray:
+    """The powers of the base and of its inverse, n of each at least."""
     global _powers
-    if len(_powers) < n:
+    if _powers.shape[1] < n:
+        n = max(n, HASHED_BYTES + 1)
         with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.full(max(n, 64), _BASE | _U(1), np.uint64))
+            _powers = np.cumprod(np.array([[1] + [int(x)] * (n - 1) for x in (_BASE, pow(int(_BASE), -1, 2**64))], np.uint64), axis=1)
     return _powers
 
 
@@ -150,17 +154,21 @@ def spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, lower: np.ndarray | None = LOWER) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = stops - starts
-    ends = np.cumsum(lengths)
-    within = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
-    at = within + np.repeat(starts, lengths)
-    chars = data[at] if lower is None else lower[data[at]]
+    """A 64-bit hash of each word's bytes: differences of prefix sums over runs of words, so no word is gathered on its own."""
+    codes = (np.arange(256) if lower is None else lower).astype(np.uint64) + _U(1)
+    out, i = np.zeros(len(starts), np.uint64), 0
     with np.errstate(over="ignore"):
-        values = (chars.astype(np.uint64) + _U(1)) * _power_table(int(lengths.max()))[within]
-        return mix(np.add.reduceat(values, ends - lengths) ^ (lengths.astype(np.uint64) << _U(48)))
+        while i < len(starts):
+            begin = starts[i]
+            j = max(i + 1, int(np.searchsorted(stops, begin + HASHED_BYTES, "right")))
+            n = int(stops[j - 1] - begin)
+            powers = _power_table(n + 1)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(codes[data[begin : begin + n]] * powers[0, :n], out=sums[1:])
+            a, z = starts[i:j] - begin, stops[i:j] - begin
+            out[i:j] = (sums[z] - sums[a]) * powers[1, a] ^ ((z - a).astype(np.uint64) << _U(48))
+            i = j
+    return mix(out)
 
 
 def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 """Best-fit packing of tokenised documents by a grouping genetic algorithm on islands.
 
-Documents are tokenised once per distinct word of a batch; longer documents are cut into full pieces and a rest. Full
+Documents are tokenised from their distinct words where the tokenizer allows it, else whole; longer documents are cut into
+full pieces and a rest. Full
 pieces are sequences of their own. The others are dealt into groups of bounded size; each group is packed by several
 islands (tasks with their own populations). Crossover injects whole well-filled bins of one parent into the other, drops
 the bins that hold a document twice, and best-fits the displaced documents; after each epoch an island gets the elite of
@@ -13,7 +14,9 @@ an empty table gives an empty result; other columns are ignored; a null id stays
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -24,80 +27,127 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut_lineage, lean, small_batches, spans, text_chunks, word_hashes, written
+from .common import LOWER, cut_lineage, lean, small_batches, text_chunks, word_hashes, written
 
 CAPACITY, END = 4096, 1
 GROUP = 1500  # pieces that one island packs at once
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 3
-WORDS = 400_000  # words whose ids a worker remembers; more are encoded anew
+ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 6, 8
+SLOT_BITS, KEPT_IDS = 21, 6_000_000  # words, and their ids, that a worker remembers; more are encoded anew
 CHUNK = 1_000_000  # bytes of text at once
-ENCODED = 5_000  # words that the tokenizer gets at once: what it returns for each is large
+ENCODED = 2_000  # words that the tokenizer gets at once: what it returns for each is large
+_U = np.uint64
 
+#: Kinds of bytes: white space, ASCII letters, punctuation that the word tokenizer always splits from an ASCII letter
+#: beside it, and all others. Only a letter and a point add up to 3.
+KIND = np.full(256, 8, np.uint8)
+KIND[[0x20, *range(0x09, 0x0E)]] = 0
+KIND[0x41:0x5B] = KIND[0x61:0x7B] = 1
+KIND[list(b".,;:!?%*&#$")] = 2
 
-#: Punctuation that the tokenizer always splits from an ASCII letter beside it, whatever else stands around.
-LETTER, POINT = np.zeros(256, bool), np.zeros(256, bool)
-LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = True
-POINT[list(b".,;:!?%*&#$")] = True
+# What a tokenizer must do before its model for texts to be encoded word by word.
+WORDWISE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+)
 
 
-class WordIds:
-    """Ids of whole texts, from ids of their distinct words.
+def is_wordwise(definition: dict) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and splits there before anything else."""
+    normalizer, split = WORDWISE
+    steps = (definition.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+    return definition.get("normalizer") == normalizer and steps[0] == split and all((t["special"], t["normalized"], t["lstrip"], t["rstrip"]) == (True, False, False, False) and not re.search(r"\s", t["content"]) and t["content"].startswith("<|") for t in definition.get("added_tokens") or [])
 
-    The tokenizer lower-cases, drops white space and splits there, and between an ASCII letter and a POINT, before
-    anything else; so a text's ids are those of its words so split. Its special tokens are matched with their case, so a
-    chunk that may hold one keeps its case.
+
+class TextIds:
+    """Ids of whole texts; of a tokenizer that is_wordwise from ids of their distinct words, of any other text by text.
+
+    A word-wise tokenizer splits at white space, and between an ASCII letter and a point, before anything else; so a text's
+    ids are those of its words so split. Its special tokens are matched with their case, so a chunk that may hold one
+    keeps its case. Words are remembered in a table with one place for each value of some bits of their hash.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, int] = {}  # hash of a word -> its place in `first`
-        self.ids = np.zeros(0, np.uint32)
-        self.first = np.zeros(1, np.int64)
-
-    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.known) + len(words) > WORDS:
-            self.known, self.ids, self.first = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        encoded = [x.ids for i in range(0, len(words), ENCODED) for x in self.tokenizer.encode_batch_fast(words[i : i + ENCODED], add_special_tokens=False)]
-        self.known.update(zip(hashes.tolist(), range(len(self.first) - 1, len(self.first) - 1 + len(words))))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in encoded for i in x), np.uint32)])
-        self.first = np.append(self.first, self.first[-1] + np.cumsum([len(x) for x in encoded]))
+        definition = json.loads(self.tokenizer.to_str())
+        self.wordwise = is_wordwise(definition)
+        self.mark = next(((t["content"], t["id"]) for t in definition.get("added_tokens") or []), None)
+        self.hash, self.first, self.count = (np.zeros(1 << SLOT_BITS, t) for t in (np.uint64, np.int64, np.int32))
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """Appends the ids of words to ids; where each word's begin, and the end of the last."""
+        lengths = []
+        for i in range(0, len(words), ENCODED):
+            part = words[i : i + ENCODED]
+            if self.mark and not any("<|" in w for w in part):  # one text, words parted by a token of its own
+                found = np.array(self.tokenizer.encode_batch_fast([self.mark[0].join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                edges = np.concatenate([[-1], np.flatnonzero(found == self.mark[1]), [len(found)]])
+                own, lengths_ = found[found != self.mark[1]], np.diff(edges) - 1
+            else:
+                each = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                own, lengths_ = np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each])
+            while self.used + len(own) > len(self.ids):
+                self.ids = np.append(self.ids, np.zeros(len(self.ids), np.uint32))
+            self.ids[self.used : self.used + len(own)] = own
+            self.used += len(own)
+            lengths.append(lengths_)
+        lengths = np.concatenate(lengths)
+        return self.used - lengths.sum() + np.append(0, np.cumsum(lengths))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and end)."""
-        starts, stops, words_of = spans(data, offsets)
+        if not self.wordwise:
+            raw = data.tobytes()
+            each = [x.ids for x in self.tokenizer.encode_batch_fast([raw[a:z].decode() for a, z in zip(offsets[:-1], offsets[1:])], add_special_tokens=False)]
+            return np.array([i for x in each for i in x], np.uint32), np.append(0, np.cumsum([len(x) for x in each]))
+        starts, stops, words_of = parts(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        letter, point = LETTER[data], POINT[data]
-        cuts = np.flatnonzero(letter[:-1] & point[1:] | point[:-1] & letter[1:]) + 1
-        cuts = cuts[~np.isin(cuts, offsets)]
-        words_of = words_of + np.searchsorted(cuts, np.append(starts, len(data)))[words_of]
-        starts, stops = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([stops, cuts]))
-        hashes = word_hashes(data, starts, stops, None if b"<|" in data.tobytes() else LOWER)
-        distinct, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        fresh = [j for j, h in enumerate(distinct.tolist()) if h not in self.known]
         raw = data.tobytes()
-        if len(distinct) > WORDS // 2 or len(self.known) + len(fresh) > WORDS:
-            self.known, self.ids, self.first = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
-            fresh = list(range(len(distinct)))
-        if fresh:
-            self.learn(distinct[fresh], [raw[starts[at[j]] : stops[at[j]]].decode("utf-8", "replace") for j in fresh])
-        place = np.array([self.known[h] for h in distinct.tolist()], np.int64)[inverse]
-        lengths = self.first[place + 1] - self.first[place]
-        ends = np.cumsum(lengths)
-        ids = self.ids[np.arange(ends[-1]) - np.repeat(ends - lengths, lengths) + np.repeat(self.first[place], lengths)]
+        hashes = word_hashes(data, starts, stops, None if b"<|" in raw else LOWER) | _U(1)
+        if self.used > KEPT_IDS:
+            self.hash[:], self.used = 0, 0
+        slot = (hashes >> _U(64 - SLOT_BITS)).astype(np.int64)
+        first, count = self.first[slot], self.count[slot]
+        missed = np.flatnonzero(self.hash[slot] != hashes)
+        if len(missed):
+            fresh, at, inverse = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            where = self.learn([raw[a:z].decode("utf-8", "replace") for a, z in zip(starts[missed[at]].tolist(), stops[missed[at]].tolist())])
+            own, lengths = slot[missed[at]], np.diff(where)
+            self.hash[own], self.first[own], self.count[own] = fresh, where[:-1], lengths
+            first[missed], count[missed] = where[:-1][inverse], lengths[inverse]
+        ends = np.cumsum(count, dtype=np.int64)
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(first - ends + count, count)]
         return ids, np.append(0, ends)[words_of]
 
 
-def word_ids(path: str) -> WordIds:
-    """The worker process's own WordIds, kept from task to task."""
+def parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of what a word-wise tokenizer encodes on its own, and the first of each text (one more at the end)."""
+    kind = KIND[data]
+    inside = kind != 0
+    begins, ends = inside.copy(), inside.copy()
+    if len(data):
+        cut = kind[:-1] + kind[1:] == 3
+        begins[1:] &= ~inside[:-1] | cut
+        ends[:-1] &= ~inside[1:] | cut
+        edges = offsets[:-1][offsets[:-1] < len(data)]
+        begins[edges] = inside[edges]
+        edges = edges[edges > 0] - 1
+        ends[edges] = inside[edges]
+    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return starts, stops, np.searchsorted(starts, offsets)
+
+
+def text_ids(path: str) -> TextIds:
+    """The worker process's own TextIds, kept from task to task."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     import tokenizers
 
-    kept = vars(tokenizers).setdefault("_kept_word_ids", {})
+    kept = vars(tokenizers).setdefault("_kept_text_ids", {})
     if path not in kept:
-        kept[path] = WordIds(path)
+        kept[path] = TextIds(path)
     return kept[path]
 
 
@@ -107,7 +157,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer)
+        words = text_ids(tokenizer)
         for b in batches:
             ids_of = b.column(0).to_pylist()
             for first, last, data, offsets in text_chunks(b.column(1), CHUNK):
@@ -149,51 +199,91 @@ def cost(packing: list[list[int]], size: list[int], capacity: int) -> tuple[int,
     return len(packing), -sum((sum(size[i] for i in b) / capacity) ** 2 for b in packing)
 
 
+def fullest(items: list[int], size: list[int], capacity: int, random: Random, noise: float = 0.3) -> list[list[int]]:
+    """Bins filled one after another: the longest item left (with chance noise any), then items until the best one or two fill it."""
+    order = sorted(items, key=lambda i: (size[i], i))
+    ids, left, bins = np.array(order, np.int64), np.array([size[i] for i in order], np.int64), []
+    while len(left):
+        j = random.randrange(len(left)) if random.random() < noise else len(left) - 1
+        own, taken = [j], np.zeros(len(left), bool)
+        taken[j] = True
+        room = capacity - int(left[j])
+        while room > 0:
+            free = np.flatnonzero(~taken)
+            v = left[free]
+            top = int(np.searchsorted(v, room, "right"))
+            if not top:
+                break
+            second = np.searchsorted(v, room - v[:top], "right") - 1  # the longest that fits beside each
+            second = np.where(second == np.arange(top), second - 1, second)
+            both = v[:top] + np.where(second >= 0, v[second], 0)
+            best = int(both.argmax())
+            pair = [best, int(second[best])] if second[best] >= 0 else [best]
+            if both[best] < v[top - 1]:
+                pair = [top - 1]
+            if room - sum(int(v[x]) for x in pair) > 0.002 * capacity and 3 * int(v[0]) <= room:
+                pair = [random.randrange(top)]  # three or more may fill it better
+            own += [int(free[x]) for x in pair]
+            taken[free[pair]] = True
+            room -= sum(int(v[x]) for x in pair)
+        bins.append([int(ids[x]) for x in own])
+        left, ids = left[~taken], ids[~taken]
+    return bins
+
+
+def filled(b: list[int], size: list[int]) -> int:
+    return sum(size[i] for i in b)
+
+
 def crossover(a: list[list[int]], b: list[list[int]], size: list[int], capacity: int, random: Random) -> list[list[int]]:
-    """A child of a with some well-filled bins of b: a's bins that hold their documents go, the rest is best-fitted."""
-    good = sorted(b, key=lambda x: -sum(size[i] for i in x))[: max(1, len(b) // 2)]
-    inject = random.sample(good, max(1, len(good) // 3))
-    inside = {i for x in inject for i in x}
-    bins, loose = [list(x) for x in inject], []
+    """A child of a with well-filled bins of b: a's bins that hold their documents go, unless fuller, and the displaced are best-fitted.
+
+    Bins come in order of their fill, those of both parents; at some fill, drawn at random, the injection ends.
+    """
+    ends = capacity * (1 - 0.08 * random.random() ** 2)
+    both = sorted([(-filled(x, size), random.random(), x) for x in a] + [(-f, random.random(), x) for x in b if (f := filled(x, size)) >= ends])
+    bins, inside = [], set()
+    for fill, _, x in both:
+        if -fill >= ends and inside.isdisjoint(x):
+            bins.append(list(x))
+            inside.update(x)
+    loose = []
     for x in a:
         if inside.isdisjoint(x):
             bins.append(list(x))
+            inside.update(x)
         else:
             loose += [i for i in x if i not in inside]
-    free = [capacity - sum(size[i] for i in x) for x in bins]
+    free = [capacity - filled(x, size) for x in bins]
     best_fit(bins, free, loose, size, capacity)
     return bins
 
 
 def mutate(a: list[list[int]], size: list[int], capacity: int, random: Random) -> list[list[int]]:
-    """Opens the emptiest bin and some others, and best-fits their documents."""
-    order = sorted(range(len(a)), key=lambda j: sum(size[i] for i in a[j]))
-    drop = {order[0], *random.sample(order, min(len(order), 2))}
-    bins = [list(x) for j, x in enumerate(a) if j not in drop]
-    free = [capacity - sum(size[i] for i in x) for x in bins]
-    best_fit(bins, free, [i for j in drop for i in a[j]], size, capacity)
-    return bins
+    """Opens the emptiest bins and some others, and fills bins with their documents anew."""
+    order = sorted(range(len(a)), key=lambda j: filled(a[j], size))
+    n = max(1, len(a) // 10)
+    drop = {*order[:n], *random.sample(order, min(len(order), 3 * n))}
+    return [list(x) for j, x in enumerate(a) if j not in drop] + fullest([i for j in drop for i in a[j]], size, capacity, random)
 
 
 def evolve(size: list[int], capacity: int, seed: int, elite: list[list[int]] | None, population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
     """The best packing of one island's epoch; stops as soon as no packing can have fewer bins."""
-    random, least = Random(seed), -(-sum(size) // capacity)
+    random, least = Random(seed), max(-(-sum(size) // capacity), sum(2 * n > capacity for n in size))
     whole: list[list[int]] = []
     best_fit(whole, [], list(range(len(size))), size, capacity)
     people = [whole] + ([elite] if elite else [])
-    while len(people) < population and len(whole) > least:
-        order, bins, free = random.sample(range(len(size)), len(size)), [], []
-        half = len(order) // 4
-        best_fit(bins, free, order[:half], size, capacity)
-        best_fit(bins, free, order[half:], size, capacity)
-        people.append(bins)
+    while len(people) < population and min(map(len, people)) > least:
+        people.append(fullest(list(range(len(size))), size, capacity, random, random.choice([0.0, 0.1, 0.3])))
+    rank = lambda p: cost(p, size, capacity)
+    people.sort(key=rank)
     for _ in range(generations):
-        people.sort(key=lambda p: cost(p, size, capacity))
-        if len(people[0]) <= least:
+        if len(people[0]) <= least or len(people) < 2:
             break
-        children = [crossover(people[0], random.choice(people[1:]), size, capacity, random), crossover(random.choice(people[1:]), people[0], size, capacity, random), mutate(people[0], size, capacity, random)]
-        people = sorted(people + children, key=lambda p: cost(p, size, capacity))[:population]
-    return min(people, key=lambda p: cost(p, size, capacity))
+        other = random.choice(people[1:])
+        children = [crossover(people[0], other, size, capacity, random), crossover(other, people[0], size, capacity, random), mutate(people[0], size, capacity, random), mutate(other, size, capacity, random)]
+        people = sorted(people + children, key=rank)[:population]
+    return people[0]
 
 
 def _islands(rows: DataFrame, capacity: int) -> DataFrame:
