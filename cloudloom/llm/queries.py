@@ -85,11 +85,11 @@ from p left join f on p.d = f.d and p.n >= 100
 """
 
 OP6 = """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
-  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
-x as (select vec_id, unnest(e) as c, generate_subscripts(e, 1) as i, len(e) as dim from v),
-s as (select q.vec_id as query_id, x.vec_id, sum(q.c * x.c)::bigint as score from x q join x on q.i = x.i and q.dim = x.dim and q.vec_id <> x.vec_id
+with v as (select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+x as (select row, vec_id, unnest(e) as c, generate_subscripts(e, 1) as i, len(e) as dim from v),
+s as (select q.row, q.vec_id as query_id, x.row as other, x.vec_id, sum(q.c * x.c)::bigint as score from x q join x on q.i = x.i and q.dim = x.dim and q.row <> x.row
   where q.vec_id % 20 = 0 group by all),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+r as (select *, row_number() over (partition by row order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 20
 """
