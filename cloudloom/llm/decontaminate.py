@@ -3,16 +3,19 @@
 Texts are sequences of words (ASCII case and punctuation aside). A CGK walk reads a sequence with a pointer that moves or
 stays by a random bit of the step and the word read, so sequences a few edits apart mostly yield equal outputs at equal
 steps: edit distance becomes Hamming distance. Walks start at every word of every document and at every word of every
-item, and are as long as an item window; each of `samplings` repetitions hashes a few random steps of a walk, and equal
-hashes make a candidate (document, item, place). Each candidate is verified by the exact edit distance, in words,
+item. Their windows go by the item's length, up to 28 steps: under many edits two walks over all of a long item agree in
+few steps, so a long item is covered by several windows, any of which can meet. Each of `samplings` repetitions hashes
+a few random steps of a walk, and equal hashes make a candidate (document, item, place). Each candidate is verified by the exact edit distance, in words,
 between the whole item and the best-fitting stretch of the document. samplings follows from the target recall and the
 windows of an item, and goes by item length, as a window counts only if its walk ends inside the item. Items of fewer
 than `least` words offer too few windows and are looked up by exact equality of all their words.
 
-Documents stay where they are: only items travel, in blocks of a bounded number, one pass over the documents a block.
+Documents stay where they are: only items travel, in blocks of a bounded number and size (one item is never split), one
+pass over the documents a block. Equal items are looked for once.
 
 Edge cases: null or blank texts and items hold no words and match nothing; an item of a single word is in every document
-that holds the word; equal items are each reported; repeated rows are judged each; other columns are ignored.
+that holds the word; equal items are each reported; repeated rows are judged each; other columns are ignored; a table
+without items finds nothing.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import constants, lean, mix, small_batches, spans, text_chunks, word_hashes
 
-#: Items of one pass over the documents; more items take more passes.
-ITEMS = 20_000
+#: Items, and bytes of them, of one pass over the documents; more items take more passes.
+ITEMS, ITEM_BYTES = 20_000, 1_000_000
 #: Plans by item length: least words, sampled steps, steps they are sampled from, windows that count as independent
 #: (valid ones overlap; so many give the target recall at the full edit rate for every length of the class).
 PLANS = ((8, 4, (6, 8, 10), 3), (12, 4, (10, 12), 4.2), (31, 8, (20, 24, 28), 8))
@@ -114,31 +117,34 @@ def runs(words: np.ndarray, n: int) -> np.ndarray:
 class Items:
     """Benchmark items ready to be looked for."""
 
-    ids: list[int]
+    ids: list[list[int]]  # of each different text, all ids
     words: list[np.ndarray]
     distinct: list[set[int]]
     most: list[int]  # edits allowed
     plan: list[Repetition]
     tables: list[np.ndarray]  # of each repetition: which slots hold a key
     keys: list[np.ndarray]  # sorted keys
-    owner: list[np.ndarray]  # item and offset of each key
-    offset: list[np.ndarray]
+    entry: list[np.ndarray]  # of each key, its word's place among the words of all items
+    starts: np.ndarray  # where each item's words begin there
     exact: dict[int, tuple[np.ndarray, np.ndarray]]  # of each length of short items: sorted keys, item of each
 
 
 def prepare(rows: list[tuple[int, str]], rate: float = EDIT_RATE, least: int = LEAST_WORDS, recall: float = RECALL) -> Items:
-    ids, words = [], []
+    ids, words, seen = [], [], {}
     for first, last, hashes, where in words_of(pa.array([t for _, t in rows], pa.string())):
         for d in range(last - first):
             own = hashes[where[d] : where[d + 1]]
             if len(own):
-                ids.append(rows[first + d][0])
-                words.append(own)
+                i = seen.setdefault(own.tobytes(), len(ids))
+                if i == len(ids):
+                    ids.append([])
+                    words.append(own)
+                ids[i].append(rows[first + d][0])
     sizes = np.array([len(w) for w in words], np.int64)
     most = np.where(sizes < least, 0, (rate * sizes).astype(int))
     kind = np.maximum(np.searchsorted([p[0] for p in PLANS], sizes, "right") - 1, 0)
     kind[sizes < least] = -1
-    out = Items(ids, words, [set(w.tolist()) for w in words], most.tolist(), repetitions(recall, set(kind.tolist())), [], [], [], [], {})
+    out = Items(ids, words, [set(w.tolist()) for w in words], most.tolist(), repetitions(recall, set(kind.tolist())), [], [], [], np.zeros(1, np.int64), {})
     for n in np.unique(sizes[sizes < max(least, LEAST_WORDS)]).tolist():
         own = np.flatnonzero(sizes == n)
         key = runs(np.concatenate([words[i] for i in own]), n)[::n]
@@ -147,16 +153,16 @@ def prepare(rows: list[tuple[int, str]], rate: float = EDIT_RATE, least: int = L
     if words:
         where = np.concatenate([[0], np.cumsum(sizes)])
         item = np.repeat(np.arange(len(words)), sizes)
-        offset = np.arange(where[-1]) - where[item]
+        out.starts = where[:-1]
         for repetition, key in zip(out.plan, embed(np.concatenate(words), where, out.plan)):
             use = (key != 0) & (kind[item] == repetition.plan)
-            order = np.argsort(key[use], kind="stable")
+            use = np.flatnonzero(use)
+            order = use[np.argsort(key[use], kind="stable")]
             table = np.zeros(1 << TABLE_BITS, bool)
             table[_slot(key[use])] = True
             out.tables.append(table)
-            out.keys.append(key[use][order])
-            out.owner.append(item[use][order])
-            out.offset.append(offset[use][order])
+            out.keys.append(key[order])
+            out.entry.append(order.astype(np.int32))
     return out
 
 
@@ -202,7 +208,7 @@ def leaks_in(words: np.ndarray, where: np.ndarray, items: Items) -> list[tuple[i
         return []
     best = exact_in(words, where, items)
     keys = embed(words, where, items.plan)
-    found_at, found_item, found_start = [], [], []
+    found_at, found_entry = [], []
     for r, key in enumerate(keys):
         hit = np.flatnonzero(items.tables[r][_slot(key)] & (key != 0))
         low = np.searchsorted(items.keys[r], key[hit], "left")
@@ -212,16 +218,20 @@ def leaks_in(words: np.ndarray, where: np.ndarray, items: Items) -> list[tuple[i
         if len(hit):
             entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
             found_at.append(np.repeat(hit, n))
-            found_item.append(items.owner[r][entry])
-            found_start.append(found_at[-1] - items.offset[r][entry])
+            found_entry.append(items.entry[r][entry].astype(np.int64))
     if not found_at:
         return [(d, i, *x) for (d, i), x in sorted(best.items())]
-    at, item, start = np.concatenate(found_at), np.concatenate(found_item), np.concatenate(found_start)
-    doc = np.searchsorted(where, at, "right") - 1
-    most = np.array(items.most)
-    near = (start - where[doc]) // np.maximum(4, most[item])  # starts this close fit in one verified stretch
-    place = (doc * len(items.ids) + item) * (int(near.max()) + 3) + near + 1
-    _, first = np.unique(place, return_index=True)
+    at, entry = np.concatenate(found_at), np.concatenate(found_entry)
+    item = np.searchsorted(items.starts, entry, "right") - 1
+    start, doc, most = at - (entry - items.starts[item]), np.searchsorted(where, at, "right") - 1, np.array(items.most)
+    sizes = np.append(items.starts[1:], items.starts[-1] + len(items.words[-1])) - items.starts
+    # a start that leaves more words of the item outside the document than it may lose to edits matches nothing
+    inside = (start - where[doc] >= -most[item]) & (start + sizes[item] <= where[doc + 1] + most[item])
+    start, doc, item = start[inside], doc[inside], item[inside]
+    if not len(start):
+        return [(d, i, *x) for (d, i), x in sorted(best.items())]
+    near = (start - where[doc] + most[item]) // np.maximum(4, most[item])  # starts this close fit in one verified stretch
+    _, first = np.unique((doc * len(items.ids) + item) * (int(near.max()) + 1) + near, return_index=True)
     listed, begins, ends = words.tolist(), where[doc[first]].tolist(), where[doc[first] + 1].tolist()
     for d, i, at_, begin, end in zip(doc[first].tolist(), item[first].tolist(), start[first].tolist(), begins, ends):
         own, slack = items.words[i], max(4, items.most[i]) + items.most[i] + 1
@@ -238,7 +248,8 @@ def leaks_in(words: np.ndarray, where: np.ndarray, items: Items) -> list[tuple[i
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, rate: float, least: int, recall: float) -> Iterator[Items]:
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    blocks = max(1, -(-rows.count() // ITEMS))
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-count // ITEMS), -(-size // ITEM_BYTES))
     part = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
     for block in range(blocks):
         own = rows if blocks == 1 else rows.filter(part == block)
@@ -264,7 +275,7 @@ def find_leaks(
         def work(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for first, _, words, where in words_of(b.column(1)):
-                    rows = [(b.column(0)[first + d].as_py(), items.ids[i], edits, len(items.words[i]), a, z - 1) for d, i, edits, a, z in leaks_in(words, where, items)]
+                    rows = [(b.column(0)[first + d].as_py(), own, edits, len(items.words[i]), a, z - 1) for d, i, edits, a, z in leaks_in(words, where, items) for own in items.ids[i]]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["id", "item", "edits", "words", "first_word", "last_word"])
 
