@@ -4,11 +4,15 @@ Every text becomes the set of its k-word shingles (64-bit hashes), a fingerprint
 Texts with equal sets collapse into one class first, so a group of exact copies of any size is one row from there on.
 The forest holds each class's signature in several orders (trees). In each tree, classes that share a prefix of the
 order are neighbours; a crowded region is sorted by the rest of the order, and only the neighbours with the longest
-common prefixes meet, in windows: the depth adapts to the region. Pairs whose signatures and sizes allow the
-threshold (less four standard errors) connect candidates. A candidate component small enough for one task is settled there
-on full sets, all pairs at once; a larger one in pairs of blocks, all of them. Candidates are not exact: of a region of more
-than WINDOW classes only neighbours within a window are compared, so a link is lost where its two texts are further apart
-in all trees and no other candidates connect them.
+common prefixes meet, in windows: the depth adapts to the region. Classes of crowded regions get more trees, of longer
+orders. Pairs whose signatures and sizes allow the threshold (less four standard errors) connect candidates.
+
+A candidate component small enough for one task is settled there on full sets, all pairs at once. A larger one is dealt
+into blocks: each is settled together with some texts that all blocks share, and what that links makes one group of most
+texts; only the others are held against all texts, block by block. So a hot group's texts are read once or twice, and no pair
+that could link two groups is left out. Candidates are not exact: of a region of more than WINDOW classes only
+neighbours within a window are compared, so a link is lost where its two texts are further apart in all trees and no
+other candidates connect them.
 
 Edge cases: null, empty and blank texts have no shingles and are linked with nothing; with fewer than k words the whole
 sequence is the only shingle; a null id has no component and is kept; rows that repeat an id are judged each on its own
@@ -26,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import constants, cut_lineage, lean, mix, shingles, small_batches, spans, text_chunks, word_hashes, written
-from .components import UnionFind, connected
+from .components import connected, contract
 
 LANES, TREES, DEPTH = 96, 16, 3
+MORE_TREES = 32  # trees that classes of crowded regions get besides
 WINDOW = 2048  # neighbours that meet in a crowded region
-SMALL_DOCS, SMALL_SHINGLES = 4000, 4_000_000  # a candidate component that one task settles
+SMALL_DOCS, SMALL_SHINGLES = 500, 1_000_000  # a candidate component, or two of its blocks, that one task settles
+SHARED = 32  # texts that all blocks of a large component share, about
 _U = np.uint64
 
 
@@ -80,35 +86,53 @@ def sign(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(work, "id long, n long, print binary, sig binary")
 
 
-def forest(classes: DataFrame) -> DataFrame:
-    """(bucket, tree, rep, n, sig) of the classes that share the first DEPTH lanes of some tree with another one."""
+def orders(more: bool = False) -> np.ndarray:
+    """The order of all lanes in each tree; the first trees begin with lanes of their own, further ones with any."""
+    step = LANES // TREES
+    if not more:
+        return np.array([np.roll(np.arange(LANES), -t * step) for t in range(TREES)])
+    random = np.random.default_rng(19)
+    return np.array([random.permutation(LANES) for _ in range(MORE_TREES)])
+
+
+def _planted(classes: DataFrame, more: bool) -> DataFrame:
+    """(bucket, cls) of each class in each tree, a bucket for equal first DEPTH lanes."""
 
     @lean
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step, factors = LANES // TREES, constants(DEPTH + 1, 17)
+        factors, trees = constants(DEPTH + 2, 17), orders(more)
         for b in batches:
             if not b.num_rows:
                 continue
-            lanes = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, LANES).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                keys = [mix(sum((lanes[:, t * step + j] + _U(1)) * factors[j] for j in range(DEPTH)) + factors[DEPTH] * _U(t + 1)) for t in range(TREES)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.arange(TREES, dtype=np.int32), b.num_rows)), pa.concat_arrays([b.column("rep")] * TREES)], names=["bucket", "tree", "rep"]
-            )
-
-    keyed = classes.select("rep", "sig").mapInArrow(plant, "bucket long, tree int, rep long")
+            lanes = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, LANES)
+            for t, order in enumerate(trees):
+                first = lanes[:, order[:DEPTH]].astype(np.uint64)
+                with np.errstate(over="ignore"):
+                    keys = mix(((first + _U(1)) * factors[:DEPTH]).sum(1) + factors[DEPTH + more] * _U(t + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), t, np.int32)), b.column("cls")], names=["bucket", "tree", "cls"])
+
+    return classes.select("cls", "sig").mapInArrow(plant, "bucket long, tree int, cls long")
+
+
+def forest(classes: DataFrame, more: bool = False) -> DataFrame:
+    """(bucket, tree, cls, n, sig) of the classes that share the first DEPTH lanes of some tree with another one."""
+    keyed = _planted(classes, more)
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
-    return keyed.join(shared, "bucket").join(classes.select("rep", "n", "sig"), "rep").select("bucket", "tree", "rep", "n", "sig")
+    return keyed.join(shared, "bucket").join(classes.select("cls", "n", "sig"), "cls").select("bucket", "tree", "cls", "n", "sig")
 
 
-def in_order(rows: DataFrame) -> DataFrame:
+def in_order(rows: DataFrame, more: bool = False) -> DataFrame:
     """Forest rows in signature order: by bucket, then by the rest of the tree's own order of the lanes."""
-    rest = F.expr(f"substring(concat(sig, sig), tree * {2 * (LANES // TREES)} + {2 * DEPTH + 1}, {LANES})")
-    ordered = rows.withColumn("rest", rest)
-    return ordered.repartitionByRange("bucket", "rest", "rep").sortWithinPartitions("bucket", "rest", "rep")
+    trees = F.array(*(F.array(*(F.lit(int(x)) for x in order[DEPTH:])) for order in orders(more)))
+    lane = lambda j: F.substring("sig", 2 * j + 1, 2)
+    if more:
+        rest = F.concat(*(lane(F.get(F.get(trees, F.col("tree")), F.lit(j))) for j in range(32)))  # more lanes than families share
+    else:
+        rest = F.expr(f"substring(concat(sig, sig), tree * {2 * (LANES // TREES)} + {2 * DEPTH + 1}, {LANES})")
+    return rows.withColumn("rest", rest).repartitionByRange("bucket", "rest", "cls").sortWithinPartitions("bucket", "rest", "cls")
 
 
-def regions(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...] = ("bucket", "rep", "n")) -> Iterator[dict[str, np.ndarray]]:
+def regions(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...] = ("bucket", "cls", "n")) -> Iterator[dict[str, np.ndarray]]:
     """Windows of neighbours: the rows of one bucket, or overlapping runs of a crowded one."""
 
     def decode(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
@@ -175,25 +199,35 @@ def _reach(adjacent: np.ndarray) -> np.ndarray:
         label = least
 
 
-def candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (u, v) that connect what the windows hold for possible links: stars, so never more than rows."""
+def candidates(rows: DataFrame, num: int, den: int, more: bool = False) -> DataFrame:
+    """Edges (u, v) that connect what the windows hold for possible links: stars, so never more than rows.
+
+    A class that lies in a crowded region has an edge to itself besides.
+    """
+
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     @lean
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, v, size = [], [], 0
-        for region in regions(batches):
-            rep, label = region["rep"], _reach(allowed(region, num, den))
-            moved = label != np.arange(len(label))
-            u.append(rep[moved])
-            v.append(rep[label[moved]])
-            size += int(moved.sum())
-            if size > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (u, v)], names=["u", "v"])
-                u, v, size = [], [], 0
-        if u:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (u, v)], names=["u", "v"])
-
-    return in_order(rows).select("bucket", "rep", "n", "sig").mapInArrow(link, "u long, v long").filter("u != v")
+        crowded: list[np.ndarray] = []
+
+        def stars() -> Iterator[pa.RecordBatch]:
+            for region in regions(batches):
+                cls, label = region["cls"], _reach(allowed(region, num, den))
+                moved = label != np.arange(len(label))
+                if moved.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(cls[moved]), pa.array(cls[label[moved]])], schema=schema)
+                if len(label) == WINDOW:  # a full window is one of a crowded region
+                    crowded.append(cls)
+
+        for edges in contract(stars()):
+            yield edges
+            if crowded:
+                own = pa.array(np.unique(np.concatenate(crowded)))
+                crowded.clear()
+                yield pa.RecordBatch.from_arrays([own, own], schema=schema)
+
+    return in_order(rows, more).select("bucket", "cls", "n", "sig").mapInArrow(link, "u long, v long")
 
 
 def linked_in(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -227,17 +261,20 @@ def linked_in(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 def _settle(num: int, den: int):
     def settle(table: pa.Table) -> pa.Table:
-        rep = table.column("rep").to_numpy()
-        label = linked_in([np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()], num, den)
-        roots = np.full(len(rep), np.iinfo(np.int64).max)
-        np.minimum.at(roots, label, rep)
-        return pa.table({"node": pa.array(rep), "component": pa.array(roots[label])})
+        cls = table.column("cls").to_numpy()
+        _, one = np.unique(cls, return_index=True)  # a shared text may come twice
+        cls, own = cls[one], table.column("shingles").take(pa.array(one)).to_pylist()
+        label = linked_in([np.frombuffer(x, np.uint64) for x in own], num, den) if len(one) > 1 else np.zeros(1, np.int64)
+        return pa.table({"u": pa.array(cls), "v": pa.array(cls[label])}).filter(pa.array(label != np.arange(len(label))))
 
     return settle
 
 
+EDGES = "u long, v long"
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(rep, shingles) of the documents named in ids(rep)."""
+    """(cls, shingles) of the texts of ids(rep, cls, print): one document's of each class."""
 
     @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,42 +283,64 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int)
                 same = _binary(signatures(sets, where, 0)[0]).to_pylist()
                 mine = [x == y for x, y in zip(same, b.column("print").slice(first, last - first).to_pylist())]
                 own = [sets[a:z].tobytes() for a, z in zip(where[:-1], where[1:])]
-                yield pa.RecordBatch.from_arrays([b.column("rep").slice(first, last - first), pa.array(own, pa.binary())], names=["rep", "shingles"]).filter(pa.array(mine))
+                yield pa.RecordBatch.from_arrays([b.column("cls").slice(first, last - first), pa.array(own, pa.binary())], names=["cls", "shingles"]).filter(pa.array(mine))
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    named = texts.join(ids.select("rep", "print"), "rep").select("rep", "print", "text")
-    return named.mapInArrow(work, "rep long, shingles binary").dropDuplicates(["rep"])
+    named = texts.join(ids.select("rep", "cls", "print"), "rep").select("cls", "print", "text")
+    return named.mapInArrow(work, "cls long, shingles binary").dropDuplicates(["cls"])
 
 
 def _in_blocks(sets: DataFrame, crowds: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, component) of candidate components too large for one task: crowds(rep, component, blocks).
+    """Edges (u, v) that connect what is linked in candidate components too large for one task: crowds(cls, component, blocks, size).
 
-    A component's documents are dealt into blocks by a hash; each pair of blocks is settled by a task of its own, which
-    gives back stars, not pairs.
+    First every block is settled with the component's shared texts, which links the blocks' groups. Then all texts
+    outside a component's largest group so far are held against all of it, one block of either in a task.
     """
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    met = sets.join(crowds, "rep").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = met.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "shingles")
-    return connected(met.groupBy("component", "i", "j").applyInArrow(_settle(num, den), "node long, component long").filter("node != component").select(F.col("node").alias("u"), F.col("component").alias("v")))
+    met = written(sets.join(crowds, "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))), "crowds")
+    shared = met.filter(F.pmod(F.xxhash64("cls", F.lit(1)), F.col("size")) < SHARED)
+    spread = shared.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    columns = ["component", "block", "cls", "shingles"]
+    within = met.select(columns).unionByName(spread.select(columns)).groupBy("component", "block").applyInArrow(_settle(num, den), EDGES)
+    first = cut_lineage(within)
+    label = connected(first).withColumnRenamed("component", "label")
+    labelled = cut_lineage(met.select("cls", "component").join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "component", F.coalesce("label", "cls").alias("label")))
+    groups = labelled.groupBy("component", "label").agg(F.count("*").alias("c"))
+    largest = groups.groupBy("component").agg(F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("others")).filter("others > 0")
+    largest = cut_lineage(largest.select("component", "main", F.ceil(F.col("others") / SMALL_DOCS * 2).alias("rooms")))
+    if largest.isEmpty():
+        return first
+    again = met.join(F.broadcast(largest), "component") if largest.count() <= 10_000 else met.join(largest, "component")
+    outside = again.join(labelled.select("cls", "label"), "cls").filter("label != main").withColumn("room", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("rooms")))
+    here = again.withColumn("room", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rooms") - 1)))
+    outside = outside.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    columns = ["component", "block", "room", "cls", "shingles"]
+    across = here.select(columns).unionByName(outside.select(columns)).groupBy("component", "block", "room").applyInArrow(_settle(num, den), EDGES)
+    return first.unionByName(across)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id, n, component) of every row: links where den * |A & B| >= num * |A | B|, components by the smallest id."""
     signed = written(sign(docs, id_col, text_col, k), "signatures")
-    groups = cut_lineage(signed.filter("n > 0 and id is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("c")))
-    classes = signed.join(groups.select("print", F.col("rep").alias("id")), ["print", "id"]).select(F.col("id").alias("rep"), "print", "n", "sig")
-    rows = written(forest(classes), "forest")
-    near = connected(candidates(rows, num, den))
-    near = cut_lineage(near.join(classes.select(F.col("rep").alias("node"), "print", "n"), "node"))
+    own = signed.filter("n > 0 and id is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = written(own.withColumn("cls", F.xxhash64("print")), "classes")
+    edges = cut_lineage(candidates(written(forest(classes), "forest"), num, den))
+    crowded = edges.filter("u = v").select(F.col("u").alias("cls"))
+    edges = edges.filter("u != v")
+    if not crowded.isEmpty():
+        rows = written(forest(classes.join(crowded, "cls", "left_semi"), True), "forest")
+        edges = edges.unionByName(candidates(rows, num, den, True).filter("u != v"))
+    near = connected(edges)
+    near = cut_lineage(near.join(classes.select(F.col("cls").alias("node"), "rep", "print", "n"), "node"))
     crowd = F.greatest(F.ceil(F.count("*") / SMALL_DOCS), F.ceil(F.sum("n") / SMALL_SHINGLES))  # 1: one task settles it
-    sizes = near.groupBy("component").agg(crowd.alias("crowd")).select("component", F.when(F.col("crowd") > 1, 2 * F.col("crowd")).otherwise(1).alias("blocks"))
-    placed = cut_lineage(near.join(sizes, "component").select(F.col("node").alias("rep"), "print", "component", "blocks"))
+    sizes = near.groupBy("component").agg(crowd.alias("crowd"), F.count("*").alias("size")).select("component", "size", F.when(F.col("crowd") > 1, 2 * F.col("crowd")).otherwise(1).alias("blocks"))
+    placed = cut_lineage(near.join(sizes, "component").select(F.col("node").alias("cls"), "rep", "print", "component", "blocks", "size"))
     sets = written(sets_of(docs, placed, id_col, text_col, k), "shingles")
-    small = sets.join(placed.filter("blocks = 1"), "rep").select("component", "rep", "shingles").groupBy("component").applyInArrow(_settle(num, den), "node long, component long")
-    final = small
+    final = sets.join(placed.filter("blocks = 1"), "cls").select("component", "cls", "shingles").groupBy("component").applyInArrow(_settle(num, den), EDGES)
     if not placed.filter("blocks > 1").isEmpty():
-        final = final.unionByName(_in_blocks(sets, placed.filter("blocks > 1").select("rep", "component", "blocks"), num, den))
-    linked = final.filter("node != component").groupBy(F.col("node").alias("rep")).agg(F.min("component").alias("component"))
-    wide = groups.join(linked, "rep", "left").filter((F.col("c") > 1) | F.col("component").isNotNull()).select("print", F.coalesce("component", "rep").alias("component"))
+        final = final.unionByName(_in_blocks(sets, placed.filter("blocks > 1").select("cls", "component", "blocks", "size"), num, den))
+    linked = connected(final).select(F.col("node").alias("cls"), F.col("component").alias("group"))
+    linked = cut_lineage(linked.join(classes.select("cls", "rep"), "cls"))
+    named = cut_lineage(linked.join(linked.groupBy("group").agg(F.min("rep").alias("component")), "group").select("cls", "component"))
+    wide = classes.select("cls", "print", "rep", "c").join(named, "cls", "left").filter((F.col("c") > 1) | F.col("component").isNotNull()).select("print", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n", "print").join(wide, "print", "left")
     return out.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("component", "id")).otherwise(F.col("id")).alias("component"))
