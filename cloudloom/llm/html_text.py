@@ -2,18 +2,26 @@
 
 A page is read as text nodes with their root-to-leaf tag paths. Per path, text length and punctuation are summed and
 divided by the path's nodes; both ratios are smoothed over neighbouring nodes in page order, fused with each other and
-with the share of text outside links, and thresholded. Nodes inside elements that never hold main text (menus, forms,
-notices and so on, by tag, role, class or id) are left out. Nodes over the threshold are the content, wherever they
+with the share of text outside links, and thresholded at a share of the page's own mean. What an element says of itself
+(menus, forms, notices and so on, by class, id or role, and forms) only lowers the fused ratio of the paths under it, so a page
+that lies in such an element as a whole loses nothing, and prose under a misleading name can still pass. Only elements
+that never hold a page's main text by their definition (nav, footer, aside, buttons, a header outside an article) have no
+ratio, as has what a browser shows no text of: scripts, styles, templates, hidden elements. Nodes over the threshold are the content, wherever they
 lie. An article or main element only rescues what is too short for a ratio: a run of nodes of one path, or a whole list
 or table, that touches a node over the threshold and is mostly text outside links.
 
+Reading a page takes time in proportion to its length, whatever its tags: every look at the open elements is a look at a
+table kept for it, or closes what it passes.
+
 Edge cases: a null or empty page, or one without content, has an empty text; unclosed and stray tags, comments and character
-references without an end are read as browsers do; a page of any length is read whole; repeated rows are extracted each.
+references without an end are read as browsers do; a page of any length is read whole; repeated rows are extracted each;
+other columns are kept, those of clashing names too; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -24,103 +32,147 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches
+
 # HTML elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp".split())
-SKIPPED = frozenset("head nav footer aside form button select option datalist dialog template svg math canvas object audio video picture map menu script style title textarea noscript iframe noembed noframes xmp label input fieldset".split())
+UNSEEN = frozenset("head template svg math canvas object audio video picture map datalist dialog".split())
+ASIDE = frozenset("nav footer aside button select option menu".split())
+FORMS = frozenset("form fieldset label".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 HOLDERS = frozenset("article main".split())
 # Elements that a start tag closes, if they are open, up to the nearest of the limits.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
+CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 CLOSE_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 # Words of a class, id or role that mark what is no main text.
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|consent|copyright|disqus|disclaimer|footer|gdpr|header|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|overlay|pagination|pager|popup|promo|promoted|recommended|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|toolbar|widget|contentinfo|complementary)(?:$|[\s_-])", re.I)
+NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|consent|copyright|disqus|disclaimer|footer|gdpr|header|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|overlay|pagination|pager|popup|promo|promoted|recommended|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|toolbar|widget|contentinfo|complementary)(?:$|[\s_-])", re.I)
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>", re.S)
+SIMPLE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in RAW}
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+QUOTED = re.compile(r"=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]++)")
+HIDDEN = re.compile(r"aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+BARE_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|/|$)", re.I)
 PUNCTUATION = ".,;:!?。，…"
-HEADING = re.compile(r"/h[1-6](\.[^/]*)?$")
-LIST = re.compile(r".*?/(?:ul|ol|dl|table)(?=[./]|$)")
+LISTS = frozenset("ul ol dl table".split())
+#: What is left of a path's ratio under each element that names itself no main text.
+PRIOR = 0.02
 
 
 @dataclass(slots=True)
 class Node:
-    """A text node: its path, its block's number, its text, and whether it lies in a link or in an article."""
+    """A text node: its path's number, its block's number, its text, and where it lies."""
 
-    path: str
+    path: int
     block: int
     text: str
+    linked: bool  # in a link
+    held: bool  # in an article or main element
+    noisy: int  # elements around it that name themselves no main text
+    heading: bool
+    run: int  # the number of its outermost list or table, else of its path
+
+
+@dataclass(slots=True, frozen=True)
+class Open:
+    """An open element, with what holds for the text in it. Frozen places: of the open elements that a tag can close."""
+
+    tag: str
+    path: int
+    unseen: bool
+    noisy: int
     linked: bool
     held: bool
+    heading: bool
+    run: int  # 0: no list around it
+    p: int  # place of the nearest open p that only inline elements cover, else -1
+    closable: tuple[int, ...]  # of each tag in CLOSES, place of the outermost open element that it closes, else -1
+
+
+ROOT = Open("", 0, False, 0, False, False, False, 0, -1, (-1,) * len(CLOSES))
+CLOSING = list(CLOSES.items())
+SPECIAL = frozenset().union(*(own | limits for own, limits in CLOSES.values()))
+
+
+def _pushed(above: Open, tag: str, attributes: str, at: int, number: dict[tuple[int, str], int]) -> Open:
+    """The element that a start tag opens under another one, as the at-th of the open ones."""
+    marks = " ".join(x or y or z for x, y, z in ATTRIBUTE.findall(attributes)) if "=" in attributes else ""
+    inline = tag in INLINE
+    path = above.path if inline else number.setdefault((above.path, f"{tag}.{marks}"), len(number) + 1)
+    unseen = tag in UNSEEN or tag in ASIDE or tag == "header" and not above.held
+    hidden = bool(attributes) and (HIDDEN.search(attributes) is not None or BARE_HIDDEN.search(QUOTED.sub(" ", attributes)) is not None)
+    root = tag in ("html", "body", "article", "main")
+    noisy = tag in FORMS or (bool(marks) and not root and NOISE.search(marks) is not None)
+    p = at if tag == "p" else above.p if inline else -1
+    closable = above.closable
+    if tag in SPECIAL:
+        closable = tuple((at if now < 0 else now) if tag in own else -1 if tag in limits else now for now, (_, (own, limits)) in zip(closable, CLOSING))
+    return Open(tag, path, above.unseen or hidden or unseen, above.noisy + noisy, above.linked or tag == "a", above.held or tag in HOLDERS,
+                above.heading if inline else len(tag) == 2 and tag[0] == "h" and tag[1] in "123456", above.run or (path if tag in LISTS else 0), p, closable)
 
 
 def nodes(html: str) -> list[Node]:
     """The text nodes of a page in page order."""
     out: list[Node] = []
-    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, path, noise, linked, held
+    stack: list[Open] = [ROOT]
+    count: Counter[str] = Counter()  # of open elements, by tag
+    number: dict[tuple[int, str], int] = {}  # of the paths
     block, at, end = 0, 0, len(html)
-    path, noise, linked, held = "", False, False, False
 
-    def top() -> tuple[str, bool, bool, bool]:
-        return stack[-1][1:] if stack else ("", False, False, False)
+    def close(to: int) -> None:
+        for x in stack[to:]:
+            count[x.tag] -= 1
+        del stack[to:]
 
+    last = html.rfind(">")
     while at < end:
         m, begin = None, at
-        while (begin := html.find("<", begin)) >= 0 and not (m := TAG.match(html, begin)):
+        while (begin := html.find("<", begin)) >= 0:
+            if m := TAG.match(html, begin) or (SIMPLE.match(html, begin) if begin < last else None):
+                break
             begin += 1  # a bare < is text
-        text = html[at : m.start() if m else end]
-        if text and not noise and not text.isspace():
-            out.append(Node(path, block, unescape(text) if "&" in text else text, linked, held))
+            if begin > last and not html.startswith(("<!", "<?"), html.find("<", begin)):
+                break  # no tag can end from here on
+        text, here = html[at : m.start() if m else end], stack[-1]
+        if text and not here.unseen and not text.isspace():
+            out.append(Node(here.path, block, unescape(text) if "&" in text else text, here.linked, here.held, here.noisy, here.heading, here.run or here.path))
         if not m:
             break
-        at = m.end()
-        tag = m[2]
+        at, tag = m.end(), m[2]
         if not tag:
             continue
         tag = tag.lower()
         if tag not in INLINE:
             block += 1
         if m[1]:  # an end tag closes the nearest open element of its name
-            for j in range(len(stack) - 1, -1, -1):
-                if stack[j][0] == tag:
-                    del stack[j:]
-                    break
-            path, noise, linked, held = top()
+            if count[tag]:
+                place = len(stack) - 1
+                while stack[place].tag != tag:
+                    place -= 1
+                close(place)
             continue
-        if tag in CLOSE_P:
-            for j in range(len(stack) - 1, -1, -1):
-                if stack[j][0] == "p":
-                    del stack[j:]
-                    break
-                if stack[j][0] not in INLINE:
-                    break
-        if tag in CLOSES:
-            own, limits = CLOSES[tag]
-            cut = None
-            for j in range(len(stack) - 1, -1, -1):
-                if stack[j][0] in limits:
-                    break
-                if stack[j][0] in own:
-                    cut = j
-            if cut is not None:
-                del stack[cut:]
-        path, noise, linked, held = top()
-        if tag in VOID or m[3].endswith("/") and tag not in INLINE and tag not in CLOSE_P and tag not in RAW:
-            continue
-        attributes = m[3]
-        marks = " ".join(x or y or z for x, y, z in ATTRIBUTE.findall(attributes)) if "=" in attributes else ""
+        if tag in CLOSE_P and stack[-1].p >= 0:
+            close(stack[-1].p)
+        if tag == "body" and count["head"]:
+            close(next(j for j, x in enumerate(stack) if x.tag == "head"))
+        if tag in CLOSES and (place := stack[-1].closable[KINDS[tag]]) >= 0:
+            close(place)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(html, at)
-            at = close.end() if close else end
+            ended = RAW_END[tag].search(html, at) if at <= last else None
+            at = ended.end() if ended else end
+            continue
+        if tag in VOID or m[3].endswith("/") and tag not in INLINE and tag not in CLOSE_P:
             continue
-        root = tag in ("html", "body", "article", "main")
-        bad = tag in SKIPPED or tag == "header" and not held or (bool(marks) and not root and NOISE.search(marks) is not None) or (bool(attributes) and HIDDEN.search(attributes) is not None)
-        stack.append((tag, f"{path}/{tag}{'.' + marks if marks else ''}" if tag not in INLINE else path, noise or bad, linked or tag == "a", held or tag in HOLDERS))
-        path, noise, linked, held = top()
+        count[tag] += 1
+        stack.append(_pushed(stack[-1], tag, m[3], len(stack), number))
     return out
 
 
+KINDS = {tag: i for i, tag in enumerate(CLOSES)}
+
+
 def smooth(values: np.ndarray) -> np.ndarray:
     """Means over each value and its neighbours, weighted 1-2-1."""
     padded = np.concatenate([values[:1], values, values[-1:]])
@@ -129,7 +181,7 @@ def smooth(values: np.ndarray) -> np.ndarray:
 
 def scores(page: list[Node]) -> np.ndarray:
     """Each node's fused ratio: of its path's smoothed text and punctuation per node, and of its text outside links."""
-    number: dict[str, int] = {}
+    number: dict[int, int] = {}
     where = np.array([number.setdefault(x.path, len(number)) for x in page])
     length = np.array([len(x.text.strip()) for x in page], float)
     marks = np.array([sum(map(x.text.count, PUNCTUATION)) for x in page], float)
@@ -140,32 +192,36 @@ def scores(page: list[Node]) -> np.ndarray:
     return text_ratio * np.log1p(1 + mark_ratio) * (1 - per_path(length * linked) / np.maximum(total, 1))[where]
 
 
-def rescued(page: list[Node], over: np.ndarray) -> np.ndarray:
-    """Nodes of the runs in an article or main element that touch a node over the threshold and are mostly outside links."""
+def rescued(page: list[Node], over: np.ndarray, least: int = 0) -> np.ndarray:
+    """Nodes of the runs in an article or main element that touch a node over the threshold and are mostly outside links.
+
+    least: how many elements of a telling name lie around all of the page's text.
+    """
     near = over | np.append(over[1:], False) | np.insert(over[:-1], 0, False)
     out = np.zeros(len(page), bool)
     at = 0
-    for (held, _), run in groupby(page, lambda x: (x.held, m[0] if (m := LIST.match(x.path)) else x.path)):
+    for (held, noisy, _), run in groupby(page, lambda x: (x.held, x.noisy, x.run)):
         nodes_ = list(run)
         own = slice(at, at := at + len(nodes_))
-        if held and near[own].any():
+        if held and noisy == least and near[own].any():
             out[own] = 2 * sum(len(x.text.strip()) for x in nodes_ if x.linked) < sum(len(x.text.strip()) for x in nodes_)
     return out
 
 
-def main_text(html: str | None, share: float = 0.2) -> str:
+def main_text(html: str | None, share: float = 0.2, prior: float = PRIOR) -> str:
     """The main text of a page; share: the part of the mean fused ratio (weighted by text) that a path must reach."""
     page = nodes(html) if html else []
     if not page:
         return ""
-    fused = scores(page)
-    weight = np.array([len(x.text) for x in page], float)
-    over = fused >= share * (fused * weight).sum() / weight.sum()
-    over &= fused > 0
+    least = min(x.noisy for x in page)
+    trust = np.array([prior ** min(3, x.noisy - least) for x in page])
+    fused = scores(page) * trust
+    weight = np.array([len(x.text) for x in page], float) * trust
+    over = (fused >= share * (fused * weight).sum() / weight.sum()) & (fused > 0)
     if not over.any():
-        over = np.array([not x.linked for x in page])
-    chosen = over | rescued(page, over)
-    chosen |= np.array([HEADING.search(x.path) is not None for x in page]) & np.append(chosen[1:], False)
+        over = np.array([not x.linked and x.noisy == least for x in page])
+    chosen = over | rescued(page, over, least)
+    chosen |= np.array([x.heading and x.noisy == least for x in page]) & np.append(chosen[1:], False)
     blocks: dict[int, list[str]] = {}
     for x, good in zip(page, chosen):
         if good:
@@ -177,9 +233,10 @@ def main_text(html: str | None, share: float = 0.2) -> str:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without the html, with its main text (main_text)."""
     keep = [c for c in pages.columns if c != html_col]
-    rows = pages.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col(html_col).alias("its html"))
+    rows = small_batches(pages).select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col(html_col).alias("its html"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
+    @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = pa.array([main_text(x.as_py()) for x in b.column(b.num_columns - 1)], pa.string())
