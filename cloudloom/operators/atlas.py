@@ -75,11 +75,15 @@ def match(now: pd.DataFrame, before: pd.DataFrame, threshold: float) -> dict[int
     return out
 
 
-def pack_group(group: pd.DataFrame, width: int, height: int, block: int, space: int, threshold: float) -> list[tuple[int, int, int, int, bool, bool]]:
-    """As pack_frame, for a group of frames: patches that go on through all of them share one place."""
+def pack_group(group: pd.DataFrame, width: int, height: int, block: int, space: int, threshold: float, grows: bool = True) -> list[tuple[int, int, int, int, bool, bool]]:
+    """As pack_frame, for a group of frames: patches that go on through all of them share one place.
+
+    A frame without patches ends every chain. A chain whose shared rectangle has no place is packed frame by frame.
+    """
     frames = [_in_order(f).reset_index(drop=True) for _, f in sorted(group.groupby("frame_id"))]
-    if len(frames) == 1:
-        return pack_frame(frames[0], Atlas(width, height, block, space))
+    ids = group["frame_id"]
+    if len(frames) == 1 or ids.max() - ids.min() + 1 > len(frames):
+        return [row for f in frames for row in pack_frame(f, Atlas(width, height, block, space, grows))]
     frames[0]["chained"] = True
     links: list[dict[int, int]] = []
     for before, now in zip(frames, frames[1:]):
@@ -92,13 +96,13 @@ def pack_group(group: pd.DataFrame, width: int, height: int, block: int, space:
             chain.append(link[chain[-1]])
         rows = [f.loc[i] for f, i in zip(reversed(frames), chain)]
         unions.append((max(r.w for r in rows), max(r.h for r in rows), [(int(r.frame_id), int(r.patch_id)) for r in rows]))
-    atlas, shared, out = Atlas(width, height, block, space), {}, []
+    atlas, shared, out = Atlas(width, height, block, space, grows), {}, []
     for w, h, chain in sorted(unions, key=lambda u: -max(u[0], u[1])):
-        x, y, turned = atlas.place(w, h)
-        atlas.cover(x, y, w, h, turned)
-        shared |= {p: (x, y, turned) for p in chain}
+        if (spot := atlas.place(w, h)) is not None:
+            atlas.cover(spot[0], spot[1], w, h, spot[2])
+            shared |= {p: spot for p in chain}
     for f in frames:
-        own = Atlas(width, atlas.used.shape[0] * block, block, space)
+        own = Atlas(width, atlas.used.shape[0] * block, block, space, grows)
         rest = []
         for r in f.itertuples():
             if spot := shared.get((r.frame_id, r.patch_id)):
@@ -122,7 +126,7 @@ def pack_intra(patches: DataFrame, width: int = 64, height: int = 64, block: int
     return patches.groupBy("frame_id").applyInPandas(lambda f: _frame_of(pack_frame(f, Atlas(width, height, block, space, grows))), SCHEMA)
 
 
-def pack_inter(patches: DataFrame, gof_size: int, width: int = 64, height: int = 64, block: int = 4, space: int = 1, threshold: float = 0.3) -> DataFrame:
+def pack_inter(patches: DataFrame, gof_size: int, width: int = 64, height: int = 64, block: int = 4, space: int = 1, threshold: float = 0.3, grows: bool = True) -> DataFrame:
     """Places of patches(frame_id, patch_id, ppi, u, v, w, h); a task for each group of frames."""
     keyed = patches.selectExpr("*", f"frame_id div {gof_size} as gof_id")
-    return keyed.groupBy("gof_id").applyInPandas(lambda g: _frame_of(pack_group(g, width, height, block, space, threshold)), SCHEMA)
+    return keyed.groupBy("gof_id").applyInPandas(lambda g: _frame_of(pack_group(g, width, height, block, space, threshold, grows)), SCHEMA)

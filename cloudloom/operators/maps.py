@@ -64,13 +64,13 @@ def chroma(pixels: DataFrame) -> DataFrame:
     return blocks.select("frame_id", "cx", "cy", *((_float(w[0]) * F.col("r") + _float(w[1]) * F.col("g") + _float(w[2]) * F.col("b") + _float(128.0)).cast("int").alias(c) for c, w in CHROMA.items()))
 
 
-def fill_from_left(blocks: DataFrame, value: str) -> DataFrame:
-    """blocks(frame_id, by, bx, value) over a dense grid: a block without value takes that of the nearest one to its left.
+def fill_from_left(blocks: DataFrame, value: str, image: tuple[str, ...] = ("frame_id",)) -> DataFrame:
+    """blocks(image, by, bx, value) over a dense grid: a block without value takes that of the nearest one to its left.
 
     Blocks of the first column take the nearest value above them first; what has none there either stays null.
     """
-    above = Window.partitionBy("frame_id", "bx").orderBy("by")
-    left = Window.partitionBy("frame_id", "by").orderBy("bx")
+    above = Window.partitionBy(*image, "bx").orderBy("by")
+    left = Window.partitionBy(*image, "by").orderBy("bx")
     start = F.when(F.col("bx") == 0, F.last(value, True).over(above)).otherwise(F.col(value))
     return blocks.withColumn("_v", start).withColumn(value, F.last("_v", True).over(left)).drop("_v")
 

@@ -26,8 +26,10 @@ def _offsets(most: int) -> Column:
     return F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip((*o, sum(c * c for c in o)), ("dx", "dy", "dz", "d2")))) for o in stencil(most))))
 
 
-def neighbour_pairs(points: DataFrame, most: int, idx: str = "pt_idx", xyz: tuple[str, str, str] = ("x", "y", "z"), same: tuple[str, ...] = ("ppi",), grid: int | None = None) -> DataFrame:
-    """(frame_id, src, dst, d2): points of one frame within squared distance `most` and equal in columns `same`.
+def neighbour_pairs(points: DataFrame, most: int, idx: str = "pt_idx", xyz: tuple[str, str, str] = ("x", "y", "z"), same: tuple[str, ...] = ("ppi",), grid: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(frame_id, src, dst, d2, same, carry): points of one frame within squared distance `most` and equal in columns `same`.
+
+    carry: further columns of the neighbour.
 
     The stencil is a literal, so a point becomes its probes without a join; probes meet points on (frame, cell).
     """
@@ -35,15 +37,14 @@ def neighbour_pairs(points: DataFrame, most: int, idx: str = "pt_idx", xyz: tupl
     probes = points.select("frame_id", F.col(idx).alias("src"), *xyz, *same, _offsets(most).alias("o")).select("frame_id", "src", *(m.cast("int").alias(c) for m, c in zip(moved, xyz)), *same, F.col("o.d2").alias("d2"))
     if grid is not None:
         probes = probes.filter(" and ".join(f"{c} between 0 and {(1 << grid) - 1}" for c in xyz))
-    targets = points.select("frame_id", F.col(idx).alias("dst"), *xyz, *same)
-    return probes.join(targets, ["frame_id", *xyz, *same]).select("frame_id", "src", "dst", "d2")
+    targets = points.select("frame_id", F.col(idx).alias("dst"), *xyz, *same, *carry)
+    return probes.join(targets, ["frame_id", *xyz, *same]).select("frame_id", "src", "dst", "d2", *same, *carry)
 
 
 def extended_score(voxels: DataFrame, most: int) -> DataFrame:
     """voxels(frame_id, vox_id, vx, vy, vz, n, s0..s5) with e0..e5 and nn: sums over the neighbours; 0 without any."""
-    pairs = neighbour_pairs(voxels, most, "vox_id", ("vx", "vy", "vz"), ())
-    scores = voxels.select("frame_id", F.col("vox_id").alias("dst"), "n", *SCORES)
-    sums = pairs.join(scores, ["frame_id", "dst"]).groupBy("frame_id", F.col("src").alias("vox_id")).agg(F.sum("n").alias("nn"), *(F.sum(f"s{k}").alias(f"e{k}") for k in range(6)))
+    pairs = neighbour_pairs(voxels, most, "vox_id", ("vx", "vy", "vz"), (), carry=("n", *SCORES))
+    sums = pairs.groupBy("frame_id", F.col("src").alias("vox_id")).agg(F.sum("n").alias("nn"), *(F.sum(f"s{k}").alias(f"e{k}") for k in range(6)))
     found = voxels.join(sums, ["frame_id", "vox_id"], "left")
     return found.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("nn", *(f"e{k}" for k in range(6)))})
 

@@ -27,9 +27,16 @@ def bounding_boxes(pixels: DataFrame, patch: list[str]) -> DataFrame:
     return pixels.groupBy(*patch).agg(*(f(c).alias(f"{n}_{c}") for c in "uv" for n, f in (("min", F.min), ("max", F.max))))
 
 
+def in_blocks(pixels: DataFrame, boxes: DataFrame, patch: list[str], block: int) -> DataFrame:
+    """pixels with bu and bv: their block, counted from the corner of their patch's box."""
+    corner = boxes.select(*patch, "min_u", "min_v")
+    return pixels.join(corner, patch).withColumns({"bu": F.expr(f"(u - min_u) div {block}"), "bv": F.expr(f"(v - min_v) div {block}")}).drop("min_u", "min_v")
+
+
 def block_peaks(pixels: DataFrame, patch: list[str], block: int) -> DataFrame:
     """(patch, bu, bv, peak): the nearest depth of each block, as seen from the plane."""
-    return pixels.groupBy(*patch, "mode", F.expr(f"u div {block}").alias("bu"), F.expr(f"v div {block}").alias("bv")).agg(F.min(nearness()).alias("near")).withColumn("peak", F.abs("near")).drop("near")
+    keyed = in_blocks(pixels, bounding_boxes(pixels, patch), patch, block)
+    return keyed.groupBy(*patch, "mode", "bu", "bv").agg(F.min(nearness()).alias("near")).withColumn("peak", F.abs("near")).drop("near")
 
 
 def planes(peaks: DataFrame, patch: list[str]) -> DataFrame:
@@ -63,16 +70,16 @@ def layer_fate(pixels: DataFrame, near: DataFrame, patch: list[str], thickness:
     return joined.withColumn("fate", fate)
 
 
-def within_depth(pixels: DataFrame, planes_: DataFrame, patch: list[str], thickness: int = 4) -> DataFrame:
-    """Points whose depth, with the far layer's thickness, still fits in eight bits."""
-    relative = F.when(F.col("mode") == 1, F.col("min_d") - F.col("d")).otherwise(F.col("d") - F.col("min_d"))
-    return pixels.join(planes_.drop("mode"), patch).filter(relative <= DEEPEST - thickness)
+def within_depth(near: DataFrame, planes_: DataFrame, patch: list[str], thickness: int = 4) -> DataFrame:
+    """Pixels of the near layer whose depth, with the far layer's thickness, still fits in eight bits."""
+    relative = F.when(F.col("mode") == 1, F.col("min_d") - F.col("d1")).otherwise(F.col("d1") - F.col("min_d"))
+    return near.join(planes_.drop("mode"), patch).filter(relative <= DEEPEST - thickness)
 
 
-def near_their_peak(pixels: DataFrame, peaks: DataFrame, patch: list[str], block: int, most: int = PEAK_DISTANCE) -> DataFrame:
-    """Points at most `most` from the peak of their block."""
-    keyed = pixels.withColumns({"bu": F.expr(f"u div {block}"), "bv": F.expr(f"v div {block}")})
-    return keyed.join(peaks.drop("mode"), [*patch, "bu", "bv"]).filter(F.abs(F.col("d") - F.col("peak")) <= most)
+def near_their_peak(near: DataFrame, peaks: DataFrame, boxes: DataFrame, patch: list[str], block: int, most: int = PEAK_DISTANCE) -> DataFrame:
+    """Pixels of the near layer at most `most` from the peak of their block; all points of the others go to the next round."""
+    keyed = in_blocks(near, boxes, patch, block)
+    return keyed.join(peaks.drop("mode"), [*patch, "bu", "bv"]).filter(F.abs(F.col("d1") - F.col("peak")) <= most)
 
 
 def covered(points: DataFrame, kept: DataFrame, most: int = 5, anti: bool = False) -> DataFrame:

@@ -31,8 +31,10 @@ def _near(xyz: np.ndarray, kept: np.ndarray, most: int) -> np.ndarray:
 def patches_of(frame: pd.DataFrame, least: int, propagation: int = 3, covered: int = 5, block: int = 2, distance: int = 32, thickness: int = 4, double: bool = True) -> pd.DataFrame:
     """Pixels (frame_id, patch_id, ppi, u, v, d1, idx1, d2, idx2, min_d) of all patches of one frame's points.
 
-    A point that is too deep behind the near layer, too far from its block's peak or beyond eight bits goes to the next
-    round. A component needs a seed without a covered point near it; points that failed as seeds never seed again.
+    The nearest point of each pixel is judged first: where it is too far from its block's peak (blocks count from the
+    patch's corner) or beyond eight bits, all points of the pixel go to the next round. Points of the other pixels are
+    judged by their distance behind the near layer alone. A component needs a seed without a covered point near it;
+    points that failed as seeds never seed again.
     """
     frame = frame.sort_values("pt_idx", ignore_index=True)
     xyz, plane = frame[["x", "y", "z"]].to_numpy(np.int64), frame["ppi"].to_numpy(np.int64)
@@ -55,17 +57,18 @@ def patches_of(frame: pd.DataFrame, least: int, propagation: int = 3, covered: i
             normal, tangent, bitangent, mode = PLANE_AXES[plane[own[0]]]
             sign = -1 if mode else 1
             u, v, d = xyz[own, tangent], xyz[own, bitangent], xyz[own, normal]
-            cells = (u // block) * 65536 + v // block
+            cells = ((u - u.min()) // block) * 65536 + (v - v.min()) // block
             _, cell = np.unique(cells, return_inverse=True)
             peak = np.full(cell.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(peak, cell, sign * d)
             min_d = -(-int((-peak).max()) // STEP) * STEP if mode else int(peak.min()) // STEP * STEP
             depth = sign * (d - min_d)
-            good = (np.abs(sign * d - peak[cell]) <= distance) & (depth <= DEEPEST - thickness)
-            again.append(own[~good])
-            rows = pd.DataFrame({"u": u, "v": v, "depth": depth, "i": own})[good].sort_values(["depth", "i"])
+            rows = pd.DataFrame({"u": u, "v": v, "depth": depth, "i": own, "off": np.abs(sign * d - peak[cell])}).sort_values(["depth", "i"])
             near = rows.drop_duplicates(["u", "v"])
-            rows = rows.merge(near[["u", "v", "depth", "i"]], on=["u", "v"], suffixes=("", "1"))
+            near = near[(near["off"] <= distance) & (near["depth"] <= DEEPEST - thickness)]
+            rows = rows.merge(near[["u", "v", "depth", "i"]], on=["u", "v"], suffixes=("", "1"), how="left")
+            again.append(rows["i"][rows["i1"].isna()].to_numpy())
+            rows = rows[rows["i1"].notna()].astype({"depth1": np.int64, "i1": np.int64})
             behind = rows["depth"] - rows["depth1"]
             if double:
                 far = rows[behind <= thickness].sort_values(["depth", "i"], ascending=[False, True]).drop_duplicates(["u", "v"])

@@ -46,8 +46,11 @@ def gaps_filled(rows: DataFrame, by: list[str], place: str, value: str) -> DataF
     the right one. A gap at either end has but one side.
     """
     order = Window.partitionBy(*by).orderBy(place)
-    left, right = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    # a frame that grows from the first row on is kept up row by row; the first value to the right is the last one of the reverse order
+    left = order.rowsBetween(Window.unboundedPreceding, 0)
+    right = Window.partitionBy(*by).orderBy(F.col(place).desc()).rowsBetween(Window.unboundedPreceding, 0)
     here = F.when(F.col(value).isNotNull(), F.col(place))
-    marked = rows.withColumns({"_l": F.last(value, True).over(left), "_r": F.first(value, True).over(right), "_lp": F.last(here, True).over(left), "_rp": F.first(here, True).over(right)})
+    marked = rows.withColumns({"_l": F.last(value, True).over(left), "_lp": F.last(here, True).over(left)})
+    marked = marked.withColumns({"_r": F.last(value, True).over(right), "_rp": F.last(here, True).over(right)})
     near = F.col(place) - F.col("_lp") <= F.expr("(_rp - _lp - 1) div 2") + 1
     return marked.withColumn(value, F.when(F.col("_l").isNull(), F.col("_r")).when(F.col("_r").isNull() | near, F.col("_l")).otherwise(F.col("_r"))).drop("_l", "_r", "_lp", "_rp")

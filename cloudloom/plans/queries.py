@@ -246,7 +246,7 @@ PAIRS = f"{OFFSETS}, pairs as (select p.frame_id, p.pt_idx as src, q.pt_idx as d
 
 @query(f"with {PAIRS} select frame_id, ppi, count(*) as pairs, sum(d2)::bigint as d2, sum(src)::bigint as src, sum(dst)::bigint as dst from pairs group by all")
 def neighbor_pairs(pc: DataFrame) -> DataFrame:
-    pairs = neighbors.neighbour_pairs(pc, 3).join(pc.select("frame_id", F.col("pt_idx").alias("src"), "ppi"), ["frame_id", "src"])
+    pairs = neighbors.neighbour_pairs(pc, 3)
     return pairs.groupBy("frame_id", "ppi").agg(F.count("*").alias("pairs"), F.sum("d2").alias("d2"), F.sum("src").alias("src"), F.sum("dst").alias("dst"))
 
 
@@ -287,7 +287,7 @@ def patch_bbox(pc: DataFrame) -> DataFrame:
     return patches.bounding_boxes(patches.projected(pc), PATCH)
 
 
-PEAKS = f"{AXES}, peaks as (select frame_id, ppi, mode, u // 4 as bu, v // 4 as bv, abs(min(near)) as peak from pix group by all)"
+PEAKS = f"{AXES}, cell as (select *, (u - min(u) over (partition by frame_id, ppi)) // 4 as bu, (v - min(v) over (partition by frame_id, ppi)) // 4 as bv from pix), peaks as (select frame_id, ppi, mode, bu, bv, abs(min(near)) as peak from cell group by all)"
 
 
 @query(f"{PEAKS} select * from peaks")
@@ -323,18 +323,19 @@ def layer_rules(pc: DataFrame) -> DataFrame:
     return patches.layer_fate(pixels, patches.near_layer(pixels, PATCH), PATCH).groupBy("frame_id", "fate").agg(F.count("*").alias("points"))
 
 
-@query(f"{PLANES} select p.frame_id, p.ppi, count(*) as points, max(case when p.mode = 1 then min_d - d else d - min_d end)::int as size_d from pix p join planes q on p.frame_id = q.frame_id and p.ppi = q.ppi where case when p.mode = 1 then min_d - d else d - min_d end <= 251 group by all")
+@query(f"{NEAR} select p.frame_id, p.ppi, count(*) as pixels, max(case when p.mode = 1 then min_d - d1 else d1 - min_d end)::int as size_d from near_layer p join planes q on p.frame_id = q.frame_id and p.ppi = q.ppi where case when p.mode = 1 then min_d - d1 else d1 - min_d end <= 251 group by all", thick=True)
 def depth_overflow_filter(pc: DataFrame) -> DataFrame:
     pixels = patches.projected(pc)
     planes_ = patches.planes(patches.block_peaks(pixels, PATCH, 4), PATCH)
-    kept = patches.within_depth(pixels, planes_, PATCH)
-    return kept.groupBy(*PATCH).agg(F.count("*").alias("points"), F.max(sc.relative_depth(F.col("mode"), F.col("d"), F.col("min_d"))).cast("int").alias("size_d"))
+    kept = patches.within_depth(patches.near_layer(pixels, PATCH), planes_, PATCH)
+    return kept.groupBy(*PATCH).agg(F.count("*").alias("pixels"), F.max(sc.relative_depth(F.col("mode"), F.col("d1"), F.col("min_d"))).cast("int").alias("size_d"))
 
 
-@query(f"{PEAKS} select p.frame_id, p.pt_idx from pix p join peaks q on p.frame_id = q.frame_id and p.ppi = q.ppi and p.u // 4 = q.bu and p.v // 4 = q.bv where abs(p.d - q.peak) <= 3", thick=True)
+@query(f"{NEAR} select n.frame_id, n.ppi, n.u, n.v, n.idx1 from near_layer n join cell c on c.frame_id = n.frame_id and c.pt_idx = n.idx1 join peaks q on c.frame_id = q.frame_id and c.ppi = q.ppi and c.bu = q.bu and c.bv = q.bv where abs(n.d1 - q.peak) <= 2", thick=True)
 def peak_distance_filter(pc: DataFrame) -> DataFrame:
     pixels = patches.projected(pc)
-    return patches.near_their_peak(pixels, patches.block_peaks(pixels, PATCH, 4), PATCH, 4, 3).select("frame_id", "pt_idx")
+    near, boxes = patches.near_layer(pixels, PATCH), patches.bounding_boxes(pixels, PATCH)
+    return patches.near_their_peak(near, patches.block_peaks(pixels, PATCH, 4), boxes, PATCH, 4, 2).select(*PATCH, "u", "v", "idx1")
 
 
 SORTED = f"{AXES}, box as (select frame_id, ppi, max(u) - min(u) + 1 + ppi * 3 as w, max(v) - min(v) + 1 + 17 - ppi as h from pix group by frame_id, ppi)"
@@ -356,17 +357,28 @@ def lost_points(pc: DataFrame) -> DataFrame:
     return patches.lost(pc, near).groupBy("frame_id").agg(F.count("*").alias("lost"))
 
 
-COVERED = f"with {OFFSETS}, kept as (select frame_id, pt_idx, x, y, z from pc where pt_idx % 7 = 0), hit as (select distinct p.frame_id, p.pt_idx from pc p, offs o, kept q where d2 between 1 and 5 and q.frame_id = p.frame_id and q.x = p.x + dx and q.y = p.y + dy and q.z = p.z + dz)"
+COVERED = f"""{NEAR}, far_layer as (select p.frame_id, case when p.d = d1 then idx1 else p.pt_idx end as idx2 from pix p join near_layer n on p.frame_id = n.frame_id and p.ppi = n.ppi and p.u = n.u and p.v = n.v
+  where abs(p.d - d1) <= 4 qualify row_number() over (partition by p.frame_id, p.ppi, p.u, p.v order by abs(p.d - d1) desc, p.pt_idx) = 1),
+ layers as (select frame_id, idx1 as pt_idx from near_layer union select frame_id, idx2 from far_layer), kept as (select p.frame_id, p.pt_idx, p.x, p.y, p.z from pc p join layers l on p.frame_id = l.frame_id and p.pt_idx = l.pt_idx),
+ {OFFSETS}, hit as (select distinct p.frame_id, p.pt_idx from pc p, offs o, kept q where d2 between 1 and 5 and q.frame_id = p.frame_id and q.x = p.x + dx and q.y = p.y + dy and q.z = p.z + dz)"""
 
 
-@query(f"{COVERED} select frame_id, pt_idx from hit")
+def _layers(pc: DataFrame) -> DataFrame:
+    """The points of both layers of all patches: what later rounds find covered."""
+    pixels = patches.projected(pc)
+    near = patches.near_layer(pixels, PATCH)
+    far = patches.far_layer(pixels, near, PATCH)
+    return near.select("frame_id", F.col("idx1").alias("pt_idx")).union(far.select("frame_id", "idx2")).distinct()
+
+
+@query(f"{COVERED} select frame_id, pt_idx from hit", thick=True)
 def covered_semi(pc: DataFrame) -> DataFrame:
-    return patches.covered(pc, pc.filter("pt_idx % 7 = 0")).select("frame_id", "pt_idx")
+    return patches.covered(pc, _layers(pc)).select("frame_id", "pt_idx")
 
 
-@query(f"{COVERED} select frame_id, pt_idx from pc where (frame_id, pt_idx) not in (select (frame_id, pt_idx) from hit)")
+@query(f"{COVERED} select frame_id, pt_idx from pc where (frame_id, pt_idx) not in (select (frame_id, pt_idx) from hit)", thick=True)
 def seed_anti(pc: DataFrame) -> DataFrame:
-    return patches.covered(pc, pc.filter("pt_idx % 7 = 0"), anti=True).select("frame_id", "pt_idx")
+    return patches.covered(pc, _layers(pc), anti=True).select("frame_id", "pt_idx")
 
 
 MOVED = f"{AXES}, box as (select frame_id, ppi as patch_id, ppi, (min(u) + frame_id * 2)::int as x, min(v)::int as y, (max(u) - min(u) + 1)::int as w, (max(v) - min(v) + 1 + frame_id)::int as h from pix group by frame_id, ppi)"
@@ -443,15 +455,15 @@ def om_height(pc: DataFrame) -> DataFrame:
     return maps.heights(_placement(pc), 3, 16).withColumn("gof_id", F.col("gof_id").cast("long"))
 
 
-GRID = """with grid as (select f.frame_id, bx, "by", max(case when pc.x // 4 = bx and pc.y // 4 = "by" then pc.z end) as val from (select distinct frame_id from pc) f cross join range(0, 16) a(bx) cross join range(0, 16) b("by") left join pc on pc.frame_id = f.frame_id and pc.x // 4 = bx and pc.y // 4 = "by" and pc.ppi = 2 group by all)"""
+GRID = f"""{AXES}, grid as (select f.frame_id, f.ppi, bx, "by", max(pix.d) as val from (select distinct frame_id, ppi from pc) f cross join range(0, 16) a(bx) cross join range(0, 16) b("by") left join pix on pix.frame_id = f.frame_id and pix.ppi = f.ppi and pix.u // 4 = bx and pix.v // 4 = "by" group by all)"""
 
 
-@query(f"""{GRID}, s as (select *, case when bx = 0 then last_value(val ignore nulls) over (partition by frame_id, bx order by "by" rows unbounded preceding) else val end as v0 from grid) select frame_id, bx::int as bx, "by"::int as "by", coalesce(last_value(v0 ignore nulls) over (partition by frame_id, "by" order by bx rows unbounded preceding), -1) as val from s""")
+@query(f"""{GRID}, s as (select *, case when bx = 0 then last_value(val ignore nulls) over (partition by frame_id, ppi, bx order by "by" rows unbounded preceding) else val end as v0 from grid) select frame_id, ppi, bx::int as bx, "by"::int as "by", coalesce(last_value(v0 ignore nulls) over (partition by frame_id, ppi, "by" order by bx rows unbounded preceding), -1) as val from s""")
 def bg_fill_rows(pc: DataFrame) -> DataFrame:
-    cells = pc.filter("ppi = 2").groupBy("frame_id", F.expr("x div 4").cast("int").alias("bx"), F.expr("y div 4").cast("int").alias("by")).agg(F.max("z").alias("val"))
+    cells = patches.projected(pc).groupBy(*PATCH, F.expr("u div 4").cast("int").alias("bx"), F.expr("v div 4").cast("int").alias("by")).agg(F.max("d").alias("val"))
     axis = lambda n: F.explode(F.sequence(F.lit(0), F.lit(15))).alias(n)
-    grid = pc.select("frame_id").distinct().select("frame_id", axis("bx")).select("frame_id", "bx", axis("by"))
-    return maps.fill_from_left(grid.join(cells, ["frame_id", "bx", "by"], "left"), "val").fillna(-1, ["val"])
+    grid = pc.select(*PATCH).distinct().select(*PATCH, axis("bx")).select(*PATCH, "bx", axis("by"))
+    return maps.fill_from_left(grid.join(cells, [*PATCH, "bx", "by"], "left"), "val", tuple(PATCH)).fillna(-1, ["val"])
 
 
 @query("select distinct r, g, b, trunc(0.2126::float * r::float + 0.7152::float * g::float + 0.0722::float * b::float)::int as luma from pc")
