@@ -1,11 +1,13 @@
 """WARC archives: writing, normalising monolithic gzip files, reading back by offset.
 
 A crawler that compresses a whole archive as one gzip stream leaves a file that nothing can seek in. The normaliser
-inflates such a stream once, writes every record as a gzip member of its own, and keeps a sidecar index of
-(record, offset, length), by which single records are read again.
+inflates such a stream once, piece by piece, writes every record as a gzip member of its own, and keeps a sidecar index of
+(record, offset, length), by which single records are read again. It holds one record and one archive of ARCHIVE_BYTES at a
+time, however long the stream is, and reads streams of several members, padded ones too.
 
 Archives are rows of tables in the shared folder (name, bytes, and for normalised ones the index), bounded in size, so
-Spark's own readers and writers move them and a task that is lost is simply run again.
+Spark's own readers and writers move them and a task that is lost is simply run again. `archives_of` reads .warc.gz files of
+any store that Spark reads, `sidecar` makes a table of its own of the index.
 
 Edge cases: a null or empty html is a record with an empty payload; payloads under `least` bytes are never revisits;
 rows that repeat a page_id with an equal payload are all responses where that page_id is the smallest; a null page_id is kept, sorts
@@ -15,16 +17,18 @@ before others as the smallest and is written as `-`; an empty table writes no ar
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, small_batches, written
+from .common import cut_lineage, lean, small_batches, written
 
 ARCHIVE_BYTES = 8_000_000  # of records in one archive, before compression
+BROADCAST_ROWS = 100_000  # revisits that go to every executor, at most
 LEVEL = 5
 CRLF = b"\r\n"
 
@@ -50,13 +54,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode() + block + CRLF * 2
 
 
+def headers(data: bytes) -> dict[str, str]:
+    return dict(x.split(": ", 1) for x in data.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
+
+
 def records(data: bytes) -> Iterator[tuple[dict[str, str], int, int, int]]:
     """(headers, start, block start, end) of each record in inflated bytes."""
     at = 0
     while at < len(data):
         body = data.index(CRLF * 2, at) + 4
-        lines = data[at:body].decode("utf-8", "replace").split("\r\n")
-        head = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
+        head = headers(data[at:body])
         end = body + int(head["Content-Length"]) + 4
         yield head, at, body, end
         at = end
@@ -67,46 +74,109 @@ def _pack(records_of: list[bytes]) -> bytes:
 
 
 def write_monolithic(pages: DataFrame, least: int = 100, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """(archive binary): whole-file gzip streams over all rows of pages(page_id, url, payload binary)."""
+    """(name, archive): whole-file gzip streams over all rows of pages(page_id, url, payload binary)."""
     marked = pages.withColumn("digest", F.sha2(F.col("payload"), 256))
-    d = decisions(pages, least).select(F.col("page_id").alias("d_id"), F.col("digest").alias("d_digest"), "refers_to", F.lit(True).alias("again"))
+    d = cut_lineage(decisions(pages, least).select(F.col("page_id").alias("d_id"), F.col("digest").alias("d_digest"), "refers_to"))
+    d = F.broadcast(d) if d.count() <= BROADCAST_ROWS else d  # 100 bytes a row; with more rows the payloads are shuffled
     joined = marked.join(d, F.col("page_id").eqNullSafe(F.col("d_id")) & (F.col("digest") == F.col("d_digest")), "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     @lean
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, run = [], 0, uuid.uuid4().hex
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([run]), pa.array([_pack(held)], pa.binary())], names=["name", "archive"])
+
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to"))):
                 held.append(record(*row))
                 size += len(held[-1])
                 if size >= archive_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([_pack(held)], pa.binary())], names=["archive"])
-                    held, size = [], 0
+                    yield done()
+                    held, size, run = [], 0, uuid.uuid4().hex
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([_pack(held)], pa.binary())], names=["archive"])
-
-    return joined.mapInArrow(write, "archive binary")
+            yield done()
+
+    return joined.mapInArrow(write, "name string, archive binary")
+
+
+def archives_of(spark: SparkSession, path: str) -> DataFrame:
+    """(name, archive) of the files at path, monolithic or not."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("name"), F.col("content").alias("archive"))
+
+
+def sidecar(archives: DataFrame) -> DataFrame:
+    """(name, record_id, at, length): the index of normalised archives as a table of its own."""
+    return archives.select("name", F.explode("index").alias("x")).select("name", "x.record_id", "x.at", "x.length")
+
+
+def inflated(raw: memoryview, piece: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a gzip stream of any number of members, in pieces."""
+    at, stream, fresh = 0, zlib.decompressobj(31), True
+    while at < len(raw):
+        part, at = bytes(raw[at : at + piece]), at + piece
+        while part:
+            if fresh and not (part := part.lstrip(b"\0")):  # padding between members
+                break
+            fresh = False
+            if out := stream.decompress(part, 4 * piece):
+                yield out
+            part = stream.unconsumed_tail
+            if stream.eof:
+                part, stream, fresh = stream.unused_data, zlib.decompressobj(31), True
+    while not fresh and (out := stream.decompress(stream.unconsumed_tail, 4 * piece)):
+        yield out
+    if not fresh and not stream.eof:
+        raise ValueError("the archive ends inside a gzip member")
+
+
+def streamed(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, bytes) of each record of an inflated stream."""
+    held, need = bytearray(), 0
+    for piece in pieces:
+        held += piece
+        at = 0
+        while len(held) - at >= need and (body := held.find(CRLF * 2, at)) >= 0:
+            head = headers(bytes(held[at : body + 4]))
+            need = body + 8 + int(head["Content-Length"]) - at
+            if len(held) - at < need:
+                break
+            yield head, bytes(held[at : at + need])
+            at, need = at + need, 0
+        del held[:at]
+    if held:
+        raise ValueError("the archive ends inside a record")
 
 
 INDEX = pa.list_(pa.struct([("record_id", pa.string()), ("at", pa.int64()), ("length", pa.int64())]))
 
 
-def normalise(archives: DataFrame) -> DataFrame:
-    """(archive, index): each stream inflated once, each record written as its own gzip member, with the sidecar index."""
+def normalise(archives: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """(name, archive, index) of archives(name, archive): each stream inflated once, each record written as its own gzip member.
+
+    A stream of more than archive_bytes gives several archives, with numbers behind its name.
+    """
 
     @lean
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for archive in b.column("archive"):
-                data = zlib.decompress(archive.as_buffer(), 31)
-                members, index, at = [], [], 0
-                for head, start, _, end in records(data):
-                    members.append(zlib.compress(data[start:end], LEVEL, 31))
-                    index.append({"record_id": head["WARC-Record-ID"], "at": at, "length": len(members[-1])})
-                    at += len(members[-1])
-                yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary()), pa.array([index], INDEX)], names=["archive", "index"])
+            for name, archive in zip(b.column("name").to_pylist(), b.column("archive")):
+                members, index, at, size, part = [], [], 0, 0, 0
 
-    return archives.mapInArrow(rewrite, "archive binary, index array<struct<record_id string, at long, length long>>")
+                def done(name: str = name) -> pa.RecordBatch:
+                    return pa.RecordBatch.from_arrays([pa.array([f"{name}.{part}"]), pa.array([b"".join(members)], pa.binary()), pa.array([index], INDEX)], names=["name", "archive", "index"])
+
+                for head, record_ in streamed(inflated(memoryview(archive.as_buffer()))):
+                    members.append(zlib.compress(record_, LEVEL, 31))
+                    index.append({"record_id": head["WARC-Record-ID"], "at": at, "length": len(members[-1])})
+                    at, size = at + len(members[-1]), size + len(record_)
+                    if size >= archive_bytes:
+                        yield done()
+                        members, index, at, size, part = [], [], 0, 0, part + 1
+                if members:
+                    yield done()
+
+    return archives.select("name", "archive").mapInArrow(rewrite, "name string, archive binary, index array<struct<record_id string, at long, length long>>")
 
 
 def read_back(archives: DataFrame) -> DataFrame:
