@@ -1,7 +1,7 @@
 """Contiguous shards of nearly equal bytes from global prefix sums.
 
-Rows are put in one global order (digest of the text, then id), which keeps equal texts side by side and spreads a
-hot group over as many range partitions as its rows need. Each partition reports its total bytes and rows; the driver
+Rows are put in one global order (digest of the text, then id, then place in the input), which keeps equal texts side by
+side and spreads a hot group, of equal rows too, over as many range partitions as its rows need. Each partition reports its total bytes and rows; the driver
 turns those totals (three numbers a partition) into prefix sums; every row then knows its global byte position, and
 the shards are cut at equal byte targets.
 
@@ -35,8 +35,10 @@ def ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("crc"),
         F.md5(F.encode(text, "UTF-8")).alias("digest"),
+        F.monotonically_increasing_id().alias("place"),
     )
-    return cut_lineage(rows.repartitionByRange("digest", "id").sortWithinPartitions("digest", "id"))
+    order = ["digest", "id", "place"]
+    return cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("place"))
 
 
 def positions(rows: DataFrame, starts: dict[int, tuple[int, int]]) -> DataFrame:
