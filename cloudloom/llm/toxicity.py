@@ -6,8 +6,9 @@ voters correlate; correlated voters share their weight. A logistic regression on
 the posterior labels, and scores every whole text.
 
 Edge cases: a null or empty text has no votes and gets the score of a text without votes; null labels and labels of unknown
-rows teach nothing; several labels of one id count once, as the largest; repeated rows are scored each; without any
-toxic label no voter exists and every score is 0; other columns are ignored.
+rows teach nothing; several labels of one id count once, as the largest, and of several texts of a labelled id the smallest is
+learned from; repeated rows are scored each; without any toxic label no voter exists and every score is 0; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -155,7 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # at most 2 * sample_rows ids and labels: a proven bound, so they go to every executor
     sampled = sample.collect()
     ids = docs.sparkSession.createDataFrame([tuple(r) for r in sampled], known.schema)
-    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("text", "y")
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    rows = cut_lineage(rows.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y"))  # one text an id: the bound holds
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
