@@ -3,38 +3,78 @@
 from __future__ import annotations
 
 import argparse
+import os
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from .operators import codec
+from .operators import frames
 from .params import resolve
 from .plans import pipeline
-from .sources import ply
+from .sources import ply, sdp, sinks
+
+VERSION = "0.2"
 
 
 def arguments() -> argparse.ArgumentParser:
     a = argparse.ArgumentParser(prog="cloudloom", description=__doc__)
-    a.add_argument("-i", "--input", required=True, help="folder or glob of PLY files, one a frame")
+    a.add_argument("-i", "--input", required=True, help="folder, glob, or pattern like seq_vox10_%%04d.ply")
     a.add_argument("-o", "--output", required=True, help="coded file")
-    a.add_argument("-g", "--depth", type=int, default=10, help="bits of a coordinate")
+    a.add_argument("-n", "--frames", type=int, help="frames to read; of a pattern that tells none, all that follow")
+    a.add_argument("-s", "--start-frame", type=int, help="number of the first file of a pattern")
+    a.add_argument("-l", "--loop-input", type=int, default=1, help="times that the frames are read")
+    a.add_argument("-g", "--geo-precision", type=int, help="bits of a coordinate; else what the name tells")
+    a.add_argument("-t", "--threads", type=int, default=0, help="local threads, 0 for all")
+    a.add_argument("-d", "--dummy-run", type=int, nargs="?", const=1, default=0, help="resolve the parameters, print them and stop")
     a.add_argument("-p", "--preset", choices=("fast", "slow"), default="fast")
     a.add_argument("-m", "--mode", choices=("AI", "RA"), default="RA")
     a.add_argument("-r", "--rate", help="like 16-22-2")
-    a.add_argument("-s", "--set", default="", help="parameters as name=value,name=value")
-    a.add_argument("-n", "--dummy-run", action="store_true", help="resolve the parameters, print them and stop")
+    a.add_argument("--set", default="", help="parameters as name=value,name=value")
+    a.add_argument("--statistics", help="folder for a JSON line a frame")
+    a.add_argument("--sdp-outdir", help="folder for session descriptions")
+    a.add_argument("--dst-port", type=int, default=8890, help="first port that the session descriptions name")
+    a.add_argument("--version", action="version", version=f"%(prog)s {VERSION}")
     return a
 
 
+def read(spark: SparkSession, args: argparse.Namespace, depth: int):
+    """Points of all frames; of a pattern its files in turn, as often as asked."""
+    if "%" not in args.input:
+        points = ply.read(spark, args.input, depth)
+        first = args.start_frame or 0
+        points = points.filter(F.col("frame_id") >= first).withColumn("frame_id", F.col("frame_id") - first)
+        return points if args.frames is None else points.filter(F.col("frame_id") < args.frames)
+    told = spark.range(1).select(frames.from_name(F.lit(args.input)).alias("x")).first()["x"]
+    start = told["start"] if args.start_frame is None else args.start_frame
+    count = args.frames or told["frames"]
+    if not count:
+        raise SystemExit("the pattern tells no number of frames: give --frames")
+    paths = [r["path"] for r in frames.paths(spark, args.input, start, count).orderBy("frame_id").collect()]
+    points = ply.read(spark, paths, depth).withColumn("frame_id", F.col("frame_id") - start)
+    loops = spark.range(args.loop_input).select((F.col("id") * count).cast("int").alias("later"))
+    return points.join(F.broadcast(loops)).withColumn("frame_id", F.col("frame_id") + F.col("later")).drop("later") if args.loop_input > 1 else points
+
+
 def main(argv: list[str] | None = None) -> None:
     args = arguments().parse_args(argv)
-    p = resolve(args.depth, args.preset, args.mode, args.rate, args.set)
+    name = os.path.basename(args.input)
+    told = int(name.split("vox", 1)[1][:2].rstrip("_")) if "vox" in name and name.split("vox", 1)[1][:1].isdigit() else 10
+    depth = args.geo_precision or told
+    p = resolve(depth, args.preset, args.mode, args.rate, args.set)
     if args.dummy_run:
         print(p)
         return
-    spark = SparkSession.builder.appName("cloudloom").getOrCreate()
-    tables = pipeline.encode(ply.read(spark, args.input, args.depth), p)
-    video = codec.video_units(tables["maps"], p.gof_size, p.map_width, p.map_height, p.block, layers=2 if p.double_layer else 1)
-    pipeline.write_file(tables["units"].unionByName(video), args.output)
+    spark = SparkSession.builder.appName("cloudloom").master(f"local[{args.threads or '*'}]").getOrCreate() if args.threads else SparkSession.builder.appName("cloudloom").getOrCreate()
+    tables = pipeline.encode(read(spark, args, depth), p)
+    units = pipeline.all_units(tables, p)
+    pipeline.write_file(units, args.output)
+    if args.statistics:
+        sinks.write_statistics(pipeline.statistics(tables, p), args.statistics)
+    if args.sdp_outdir:
+        os.makedirs(args.sdp_outdir, exist_ok=True)
+        for r in sdp.descriptions(units, args.dst_port).collect():
+            with open(os.path.join(args.sdp_outdir, r["name"]), "w") as f:
+                f.write(r["text"])
 
 
 if __name__ == "__main__":

@@ -35,3 +35,11 @@ def filtered_yuv(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     half = [_filtered(_filtered(np.clip(yuv[..., c], -0.5, 0.5).astype(np.float32), h.astype(np.float32), 1), v.astype(np.float32), 0) for c in (1, 2)]
     whole = lambda x, offset: np.clip(np.floor(255.0 * x.astype(np.float64) + offset + 0.5), 0, 255).astype(np.uint8)
     return whole(y, 0), whole(half[0], 128), whole(half[1], 128)
+
+
+def yuv(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Luma of (height, width, 3) 8-bit pixels, and chroma of the mean colour of each 2 x 2 block: 32-bit floats, truncated."""
+    w, c = WEIGHTS.astype(np.float32), rgb.astype(np.float32)
+    weighed = lambda k, x: (w[k][0] * x[..., 0] + w[k][1] * x[..., 1]) + w[k][2] * x[..., 2]
+    mean = np.float32(0.25) * (((c[::2, ::2] + c[::2, 1::2]) + c[1::2, ::2]) + c[1::2, 1::2])
+    return weighed(0, c).astype(np.uint8), *((weighed(k, mean) + np.float32(128)).astype(np.uint8) for k in (1, 2))

@@ -154,14 +154,16 @@ def unit(kind: str, gof_id: int, payload: bytes) -> bytes:
     return w.bytes() + payload
 
 
-def atlas_unit(gof_id: int, frames: list[tuple[int, list[dict[str, int]]]], width: int, height: int, depth: int, maps: int) -> bytes:
+def atlas_unit(gof_id: int, frames: list[tuple[int, list[dict[str, int]]]], width: int, height: int, depth: int, maps: int, heads: bool = True) -> bytes:
+    """The atlas of some frames; heads: whether parameter sets stand before them."""
     s, f = BitWriter(), BitWriter()
     s.structure(SEQUENCE_SET, {"frame_width": width, "frame_height": height, "depth_3d": depth, "depth_2d": 7, "order_bits_minus4": ORDER_BITS - 4, "quantised_limits": 1, "max_delta": 1, "log2_block": 1, "map_count_minus1": maps - 1})
     s.align()
     f.structure(FRAME_SET, {"single_tile": 1})
     f.align()
     tiles = [nal("IDR_N_LP", tile_layer(order, patches)) for order, patches in frames]
-    return unit("AD", gof_id, sized([nal("ASPS", s.bytes()), nal("AFPS", f.bytes()), *tiles, nal("EOB", b"")]))
+    sets = [nal("ASPS", s.bytes()), nal("AFPS", f.bytes())] if heads else []
+    return unit("AD", gof_id, sized([*sets, *tiles, nal("EOB", b"")]))
 
 
 def parameter_unit(gof_id: int, width: int, height: int, depth: int, maps: int) -> bytes:
@@ -179,18 +181,23 @@ def file_bytes(units: Iterable[bytes]) -> bytes:
     return bytes([(FILE_PRECISION - 1) << 5]) + b"".join(len(u).to_bytes(FILE_PRECISION, "big") + u for u in units)
 
 
-def atlas_units(patches: DataFrame, gof_size: int, width: int, height: int, depth: int, maps: int = 2) -> DataFrame:
+def atlas_units(patches: DataFrame, gof_size: int, width: int, height: int, depth: int, maps: int = 2, low_delay: bool = False) -> DataFrame:
     """(gof_id, unit_seq, unit_type, payload) of patches(frame_id, patch_id and the fields of PATCH): parameter and atlas units.
 
-    A task for each group of frames; the coded maps of a video codec follow as OVD, GVD and AVD units.
+    A task for each group of frames; the coded maps of a video codec follow as OVD, GVD and AVD units. With low_delay each
+    frame has an atlas unit of its own, four places apart, parameter sets only in the first one of a group.
     """
     names = [n for n, _ in PATCH]
 
     def work(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         gof = int(key[0])
         frames = [(int(f) % gof_size, own.sort_values("patch_id")[names].astype(int).to_dict("records")) for f, own in sorted(group.groupby("frame_id"))]
-        units = [("VPS", parameter_unit(gof, width, height, depth, maps)), ("AD", atlas_unit(gof, frames, width, height, depth, maps))]
-        return pd.DataFrame([(gof, i, t, u) for i, (t, u) in enumerate(units)], columns=["gof_id", "unit_seq", "unit_type", "payload"])
+        if low_delay:
+            own = [(1 + 4 * place, "AD", atlas_unit(gof, [(place, patches)], width, height, depth, maps, place == frames[0][0])) for place, patches in frames]
+        else:
+            own = [(1, "AD", atlas_unit(gof, frames, width, height, depth, maps))]
+        units = [(0, "VPS", parameter_unit(gof, width, height, depth, maps)), *own]
+        return pd.DataFrame([(gof, *u) for u in units], columns=["gof_id", "unit_seq", "unit_type", "payload"])
 
     keyed = patches.selectExpr("*", f"frame_id div {gof_size} as gof_id")
     return keyed.groupBy("gof_id").applyInPandas(work, "gof_id long, unit_seq int, unit_type string, payload binary")

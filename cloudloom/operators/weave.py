@@ -106,11 +106,22 @@ def woven(points: DataFrame) -> DataFrame:
     return levels(points).groupBy("frame_id", "axis", "level").applyInPandas(work, "frame_id int, axis int, pt_idx int, plane int, parent int")
 
 
-def sliced_planes(points: DataFrame) -> DataFrame:
-    """(frame_id, pt_idx, plane): the votes of the three axes; undecided points follow their parents in y, x, z, then the votes in that order."""
-    from .slices import inherited, voted
+def sliced_votes(points: DataFrame) -> DataFrame:
+    """(frame_id, pt_idx, plane_x.., parent_x.., ppi): what the slices across each axis say of a point; ppi is null where they decide nothing."""
+    from .slices import voted
 
     rows = woven(points).groupBy("frame_id", "pt_idx").agg(*(F.max(F.when(F.col("axis") == i, F.col(c))).alias(f"{c}_{n}") for c in ("plane", "parent") for i, n in enumerate("xyz")))
-    rows = rows.withColumn("ppi", voted(F.col("plane_x"), F.col("plane_y"), F.col("plane_z")))
-    done = inherited(rows).withColumn("plane", F.coalesce("ppi", "plane_y", "plane_x", "plane_z", F.lit(0)))
+    return rows.withColumn("ppi", voted(F.col("plane_x"), F.col("plane_y"), F.col("plane_z")))
+
+
+def sliced_planes(points: DataFrame) -> DataFrame:
+    """(frame_id, pt_idx, plane): the votes of the three axes; undecided points follow their parents."""
+    return settled(sliced_votes(points))
+
+
+def settled(votes: DataFrame) -> DataFrame:
+    """(frame_id, pt_idx, plane): points without a plane take that of their parents in y, x, z, else the votes in that order."""
+    from .slices import inherited
+
+    done = inherited(votes).withColumn("plane", F.coalesce("ppi", "plane_y", "plane_x", "plane_z", F.lit(0)))
     return done.select("frame_id", "pt_idx", "plane")

@@ -11,7 +11,6 @@ _VALUES = {
     "gof_size": (16, 8, 16, 16, 16, 16),
     "voxel_depth": (8, 9, 9, 10, 9, 10),
     "normal_neighbours": (6, 12, 6, 12, 8, 9),
-    "normal_steps": (4, 8, 4, 8, 8, 13),
     "refine_depth": (7, 8, 8, 9, 6, 10),
     "refine_reach": (2, 9, 2, 9, 5, 9),
     "refine_weight": (3.5, 3.0, 3.5, 3.0, 3.5, 3.5),
@@ -38,7 +37,6 @@ class Parameters:
     gof_size: int = 16
     voxel_depth: int = 9
     normal_neighbours: int = 6
-    normal_steps: int = 4
     orientation_neighbours: int = 4
     refine_depth: int = 8
     refine_reach: int = 2
@@ -67,6 +65,8 @@ class Parameters:
     background_attribute: int = 128
     fill: str = "patchExtension"
     fill_block: int = 8
+    filtered_chroma: bool = False
+    low_delay: bool = False
     double_layer: bool = True
     geometry_qp: int = 32
     attribute_qp: int = 42
@@ -149,6 +149,8 @@ def checked(p: Parameters) -> Parameters:
     rules = {
         "gof_size is 1 to 16": 1 <= p.gof_size <= 16,
         "gof_size is at most in_flight": p.gof_size <= p.in_flight,
+        "fill_block is 1 to 128 and divides the map": 1 <= p.fill_block <= 128 and p.map_width % p.fill_block == p.map_height % p.fill_block == 0,
+        "backgrounds are bytes": all(0 <= b <= 255 for b in (p.background_geometry, p.background_attribute)),
         "iou is 0 to 1": 0 <= p.iou <= 1,
         "block is 2 or 4": p.block in (2, 4),
         "the map's sides are multiples of 8 blocks": p.map_width % (8 * p.block) == p.map_height % (8 * p.block) == 0,

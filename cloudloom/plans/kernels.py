@@ -11,16 +11,23 @@ from pyspark.sql import functions as F
 
 from ..operators import atlas, color, fill, normals, refine, rounds, weave
 from ..params import Parameters
+from ..operators.patches import projected
 from . import derived, pipeline
+from .queries import AXES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 #: Parameters that suit the derived clouds' six bits.
 PARAMETERS = Parameters(input_depth=6, voxel_depth=6, refine_depth=5, gof_size=3, map_width=128, map_height=128, block=2, mode="RA")
 
 
-def query(thick: bool = False):
+def query(thick: bool = False, sql: str | None = None):
+    """Registers f(pc) under its name; sql may name pc and the CTEs of queries.AXES, which stand before it."""
+
     def add(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(derived.cloud(spark, sf_dir, thick))
+        if sql is not None:
+            ORACLES[f.__name__] = f"with {derived.oracle(thick)},\n{AXES[5:]}\n{sql}"
         return f
 
     return add
@@ -66,16 +73,17 @@ def inter_packing(pc: DataFrame) -> DataFrame:
 
 
 def _images(pc: DataFrame, work: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Each frame's z-plane as a 64 x 64 image with its occupancy, filled by work: (frame_id, y, row bytes)."""
+    """Each plane of each frame as a 64 x 64 depth image with its occupancy, filled by work: (frame_id, ppi, y, row bytes)."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(plane: pd.DataFrame) -> pd.DataFrame:
         image, occupancy = np.full((64, 64), fill.BACKGROUND, np.uint8), np.zeros((64, 64), bool)
-        image[frame["y"], frame["x"]] = frame["z"]
-        occupancy[frame["y"], frame["x"]] = True
+        at = plane["v"].to_numpy(), plane["u"].to_numpy()
+        image[at], occupancy[at] = 0, True
+        np.maximum.at(image, at, plane["d"].to_numpy(np.uint8))
         done = work(image, occupancy)
-        return pd.DataFrame({"frame_id": frame["frame_id"].iloc[0], "y": range(64), "line": [r.tobytes() for r in done]})
+        return pd.DataFrame({"frame_id": plane["frame_id"].iloc[0], "ppi": plane["ppi"].iloc[0], "y": range(64), "line": [r.tobytes() for r in done]})
 
-    return pc.filter("ppi = 2").groupBy("frame_id").applyInPandas(run, "frame_id int, y int, line binary")
+    return projected(pc).select("frame_id", "ppi", "u", "v", "d").groupBy("frame_id", "ppi").applyInPandas(run, "frame_id int, ppi int, y int, line binary")
 
 
 def _blocks(occupancy: np.ndarray, block: int) -> np.ndarray:
@@ -110,12 +118,111 @@ def atlas_maps(pc: DataFrame) -> DataFrame:
 
 @query()
 def yuv_fir(pc: DataFrame) -> DataFrame:
-    """Each frame's colours seen along z, as luma and filtered chroma rows."""
+    """The colours of each plane of each frame, as luma and filtered chroma rows."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rgb = np.full((64, 64, 3), fill.BACKGROUND, np.uint8)
-        rgb[frame["y"], frame["x"]] = frame[["r", "g", "b"]]
+    def run(seen: pd.DataFrame) -> pd.DataFrame:
+        rgb, seen = np.full((64, 64, 3), fill.BACKGROUND, np.uint8), seen.sort_values("pt_idx")
+        rgb[seen["v"], seen["u"]] = seen[["r", "g", "b"]]
         planes = zip("yuv", color.filtered_yuv(rgb))
-        return pd.DataFrame([(frame["frame_id"].iloc[0], name, i, line.tobytes()) for name, p in planes for i, line in enumerate(p)], columns=["frame_id", "plane", "y", "line"])
+        return pd.DataFrame([(seen["frame_id"].iloc[0], seen["ppi"].iloc[0], name, i, line.tobytes()) for name, p in planes for i, line in enumerate(p)], columns=["frame_id", "ppi", "plane", "y", "line"])
+
+    return projected(pc).groupBy("frame_id", "ppi").applyInPandas(run, "frame_id int, ppi int, plane string, y int, line binary")
+
+
+# What holds for the results above whatever the kernels do; SQL can say it without them.
+
+COARSE = PARAMETERS.changed(voxel_depth=5, refine_depth=4, refine_sweeps=1)
+
+
+@query(sql="select frame_id, count(*) as points, count(distinct (x >> 1, y >> 1, z >> 1)) as voxels, 0 as split_voxels, 0 as odd_planes from pc group by frame_id")
+def segmented_voxels(pc: DataFrame) -> DataFrame:
+    """Points planned by voxels: none is lost, and the points of a voxel share a plane."""
+    rows = pipeline.segmented(pc, COARSE)
+    voxels = rows.groupBy("frame_id", *(F.shiftright(c, 1).alias(f"v{c}") for c in "xyz")).agg(F.count("*").alias("n"), F.count_distinct("ppi").alias("planes"), F.count_if(~F.col("ppi").between(0, 5)).alias("odd"))
+    return voxels.groupBy("frame_id").agg(F.sum("n").alias("points"), F.count("*").alias("voxels"), F.count_if(F.expr("planes > 1")).cast("int").alias("split_voxels"), F.sum("odd").cast("int").alias("odd_planes"))
+
+
+@query(sql="select frame_id, count(*) as points, 0 as long, 0 as away from pc group by frame_id")
+def normals_rules(pc: DataFrame) -> DataFrame:
+    """Normals have length one and face the plane that is named for them."""
+    n = [F.col(c) for c in ("nx", "ny", "nz")]
+    axes = F.array(*n, *(-c for c in n))
+    rows = normals.with_normals(pc, 12, 4)
+    return rows.groupBy("frame_id").agg(F.count("*").alias("points"), F.count_if(F.abs(sum(c * c for c in n) - 1) > 1e-9).cast("int").alias("long"), F.count_if(F.element_at(axes, F.col("plane") + 1) < F.array_max(axes) - 1e-9).cast("int").alias("away"))
+
+
+@query(thick=True, sql="select frame_id, count(*) as points, 0 as twice, 0 as thick, 0 as strangers, 0 as deep from pc group by frame_id")
+def patch_rules(pc: DataFrame) -> DataFrame:
+    """No pixel of a patch twice, layers at most four apart, both layers' points where their pixel says, depths of eight bits."""
+    pixels = rounds.patch_pixels(pc, 5)
+    own = projected(pc).select("frame_id", F.col("pt_idx").alias("idx"), F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("d").alias("pd"), F.col("ppi").alias("p_ppi"), "mode")
+    near = pixels.join(own.withColumnRenamed("idx", "idx1"), ["frame_id", "idx1"])
+    depth = F.when(F.col("mode") == 1, F.col("min_d") - F.col("pd")).otherwise(F.col("pd") - F.col("min_d"))
+    stranger = (F.col("pu") != F.col("u")) | (F.col("pv") != F.col("v")) | (depth != F.col("d1")) | (F.col("p_ppi") != F.col("ppi"))
+    rules = near.groupBy("frame_id").agg((F.count("*") - F.count_distinct("patch_id", "u", "v")).cast("int").alias("twice"), F.count_if(~(F.col("d2") - F.col("d1")).between(0, 4)).cast("int").alias("thick"), F.count_if(stranger).cast("int").alias("strangers"), F.count_if(~F.col("d2").between(0, 255)).cast("int").alias("deep"))
+    return pc.groupBy("frame_id").agg(F.count("*").alias("points")).join(rules, "frame_id", "left").fillna(0)
+
+
+def _packed(patches: DataFrame, spots: DataFrame, width: int) -> DataFrame:
+    """(frame_id, unplaced, outside, shared_blocks): patches without a place, beyond the map's width, and blocks that two hold."""
+    rows = patches.join(spots, ["frame_id", "patch_id"], "left")
+    w, h = (F.when(F.col("swapped"), F.col(a)).otherwise(F.col(b)) for a, b in (("h", "w"), ("w", "h")))
+    span = lambda at, n, name: F.explode(F.sequence(F.col(at), F.col(at) + n - 1)).alias(name)
+    blocks = rows.select("frame_id", "patch_id", h.alias("tall"), "pos_y", span("pos_x", w, "bx")).select("frame_id", "patch_id", "bx", span("pos_y", F.col("tall"), "by"))
+    shared = blocks.groupBy("frame_id", "bx", "by").agg(F.count("*").alias("n")).groupBy("frame_id").agg(F.count_if(F.expr("n > 1")).cast("int").alias("shared_blocks"))
+    return rows.groupBy("frame_id").agg(F.count_if(F.expr("pos_x is null or discarded")).cast("int").alias("unplaced"), F.count_if(F.col("pos_x") + w > width).cast("int").alias("outside")).join(shared, "frame_id")
+
+
+PACKED = "select distinct frame_id, 0 as unplaced, 0 as outside, 0 as shared_blocks from pc"
+
+
+@query(sql=PACKED)
+def intra_packing_rules(pc: DataFrame) -> DataFrame:
+    boxes = _patches(pc)
+    return _packed(boxes, atlas.pack_intra(boxes, 128, 128, 2), 64)
+
 
-    return pc.filter("ppi = 2").groupBy("frame_id").applyInPandas(run, "frame_id int, plane string, y int, line binary")
+@query(sql=PACKED)
+def inter_packing_rules(pc: DataFrame) -> DataFrame:
+    boxes = _patches(pc)
+    return _packed(boxes, atlas.pack_inter(boxes, 3, 128, 128, 2), 64)
+
+
+@query(sql="select kind, frame_id, ppi, u, v, max(d) as d from pix, (values ('dilate'), ('grow'), ('pull')) k(kind) group by all")
+def fills_keep_pixels(pc: DataFrame) -> DataFrame:
+    """Every fill leaves the occupied pixels as they are."""
+    fills = {"dilate": dilate_fill, "grow": bbpe_fill, "pull": push_pull_fill}
+    spots = projected(pc).select("frame_id", "ppi", "u", "v").distinct()
+    out = None
+    for kind, work in fills.items():
+        value = F.conv(F.hex(F.substring("line", F.col("u") + 1, F.lit(1))), 16, 10).cast("int")
+        rows = spots.join(work(pc).withColumnRenamed("y", "v"), ["frame_id", "ppi", "v"]).select(F.lit(kind).alias("kind"), "frame_id", "ppi", "u", "v", value.alias("d"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query()
+def coded_images(pc: DataFrame) -> DataFrame:
+    """The finished images of all maps: occupancy by block, filled geometry, filled attributes in YUV 4:2:0."""
+    return pipeline.encode(pc, PARAMETERS)["images"]
+
+
+@query()
+def low_delay_units(pc: DataFrame) -> DataFrame:
+    p = PARAMETERS.changed(low_delay=True)
+    return pipeline.all_units(pipeline.encode(pc, p), p)
+
+
+@query()
+def run_statistics(pc: DataFrame) -> DataFrame:
+    return pipeline.statistics(pipeline.encode(pc, PARAMETERS), PARAMETERS)
+
+
+@query()
+def sliced_fast(pc: DataFrame) -> DataFrame:
+    return pipeline.segmented(pc, PARAMETERS.changed(sliced=True)).select("frame_id", "pt_idx", "ppi")
+
+
+@query()
+def sliced_slow(pc: DataFrame) -> DataFrame:
+    return pipeline.segmented(pc, PARAMETERS.changed(sliced=True, preset="slow")).select("frame_id", "pt_idx", "ppi")

@@ -5,22 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import atlas, container, normals, refine, rounds, weave
+from ..operators import atlas, codec, container, frames, normals, refine, rounds, voxel, weave
 from ..operators.maps import coloured, occupancy_blocks, on_map
 from ..params import Parameters
 
 
 def segmented(points: DataFrame, p: Parameters) -> DataFrame:
-    """points with ppi, by normals or by slices, refined."""
-    keys = ["frame_id", "pt_idx"]
+    """points with ppi, by normals or by slices, refined.
+
+    Where voxels are coarser than points, all of this works on voxels, and points take the plane of theirs.
+    """
+    shift = p.input_depth - p.voxel_depth
     points = points.drop("ppi", "plane")
+    if not shift:
+        return points.join(_planes(points, p), ["frame_id", "pt_idx"])
+    voxels = voxel.voxelize(points, shift)
+    cells = voxels.select("frame_id", F.col("vox_id").alias("pt_idx"), *(F.col(f"v{c}").alias(c) for c in "xyz"))
+    planes = voxels.join(_planes(cells, p).withColumnRenamed("pt_idx", "vox_id"), ["frame_id", "vox_id"]).select("frame_id", "vx", "vy", "vz", "ppi")
+    return voxel.devoxelize(points, planes, shift).drop("vx", "vy", "vz")
+
+
+def _planes(points: DataFrame, p: Parameters) -> DataFrame:
+    """(frame_id, pt_idx, ppi) of points or voxels.
+
+    Slices: the fast preset refines the points that have a plane of their own, and the others take their parents' then; the
+    slow one lets them take these first, and refines all.
+    """
+    keys, shift = ["frame_id", "pt_idx"], p.voxel_depth - p.refine_depth
     if p.sliced:
-        first = points.join(weave.sliced_planes(points), keys)
-        plane = refine.refined(first, p.input_depth - p.refine_depth, p.sliced_reach, p.indirect_reach + 1, p.sliced_weight, p.sliced_sweeps, use_normals=False)
+        rules = (shift, p.sliced_reach, p.indirect_reach + 1, p.sliced_weight, p.sliced_sweeps)
+        if p.preset == "slow":
+            plane = refine.refined(points.join(weave.sliced_planes(points), keys), *rules, use_normals=False)
+        else:
+            votes = weave.sliced_votes(points)
+            own = points.join(votes.filter("ppi is not null").select(*keys, F.col("ppi").alias("plane")), keys)
+            fine = refine.refined(own, *rules, use_normals=False).withColumnRenamed("plane", "fine")
+            plane = weave.settled(votes.join(fine, keys, "left").withColumn("ppi", F.coalesce("fine", "ppi")).drop("fine"))
     else:
         found = normals.with_normals(points, p.normal_neighbours, p.orientation_neighbours)
-        plane = refine.refined(points.join(found, keys), p.input_depth - p.refine_depth, p.refine_reach, p.indirect_reach + 1, p.refine_weight, p.refine_sweeps)
-    return points.join(plane.select(*keys, F.col("plane").alias("ppi")), keys)
+        plane = refine.refined(points.join(found, keys), shift, p.refine_reach, p.indirect_reach + 1, p.refine_weight, p.refine_sweeps)
+    return plane.select(*keys, F.col("plane").cast("int").alias("ppi"))
 
 
 def boxes(pixels: DataFrame, p: Parameters) -> DataFrame:
@@ -31,7 +55,7 @@ def boxes(pixels: DataFrame, p: Parameters) -> DataFrame:
 
 def placed(patches: DataFrame, p: Parameters) -> DataFrame:
     if p.mode == "RA":
-        spots = atlas.pack_inter(patches, p.gof_size, p.map_width, p.map_height, p.block, p.space, p.iou)
+        spots = atlas.pack_inter(patches, p.gof_size, p.map_width, p.map_height, p.block, p.space, p.iou, p.growing_height)
     else:
         spots = atlas.pack_intra(patches, p.map_width, p.map_height, p.block, p.space, p.growing_height)
     return patches.join(spots.filter("not discarded").drop("discarded"), ["frame_id", "patch_id"])
@@ -50,8 +74,35 @@ def encode(points: DataFrame, p: Parameters) -> dict[str, DataFrame]:
     patches = placed(boxes(pixels, p), p)
     maps = map_pixels(points, pixels, patches, p)
     coded = patches.select("frame_id", "patch_id", "pos_x", "pos_y", (F.col("w") - 1).alias("size_x_minus1"), (F.col("h") - 1).alias("size_y_minus1"), F.col("u").alias("offset_u"), F.col("v").alias("offset_v"), F.expr(f"min_d div {p.plane_step}").alias("offset_d"), F.when(F.col("size_d") == 0, 0).otherwise(F.expr(f"(size_d + 1) div {p.plane_step}")).alias("range_d"), F.col("ppi").alias("plane"), F.col("swapped").cast("int").alias("swapped"))
-    units = container.atlas_units(coded, p.gof_size, p.map_width, p.map_height, p.input_depth, 2 if p.double_layer else 1)
-    return {"points": planes, "pixels": pixels, "patches": patches, "maps": maps, "occupancy": occupancy_blocks(maps, p.block, p.threshold2 if p.block == 2 else p.threshold4), "units": units}
+    threshold = p.threshold2 if p.block == 2 else p.threshold4
+    units = container.atlas_units(coded, p.gof_size, p.map_width, p.map_height, p.input_depth, 2 if p.double_layer else 1, p.low_delay)
+    return {"points": planes, "pixels": pixels, "patches": patches, "maps": maps, "occupancy": occupancy_blocks(maps, p.block, threshold), "images": codec.finished(maps, p.gof_size, **image_rules(p)), "units": units}
+
+
+def image_rules(p: Parameters) -> dict[str, object]:
+    """What codec.images takes from the parameters."""
+    return {"width": p.map_width, "height": p.map_height, "block": p.block, "layers": 2 if p.double_layer else 1, "threshold": p.threshold2 if p.block == 2 else p.threshold4, "geometry": p.background_geometry, "attribute": p.background_attribute, "fill_": p.fill, "fill_block": p.fill_block, "filtered_chroma": p.filtered_chroma}
+
+
+def statistics(tables: dict[str, DataFrame], p: Parameters) -> DataFrame:
+    """The counters of each frame: points, voxels, points of each plane, patches, their pixels in both layers, lost points, map height."""
+    points = frames.statistics(tables["points"], ["frame_id"])
+    voxels = voxel.with_voxel(tables["points"], p.input_depth - p.voxel_depth).groupBy("frame_id").agg(F.count_distinct("vx", "vy", "vz").alias("voxels"))
+    layers = tables["pixels"].groupBy("frame_id").agg(F.count_distinct("patch_id").alias("patches"), F.count("*").alias("near_pixels"), F.count_if(F.expr("idx1 <> idx2")).alias("far_pixels"))
+    kept = tables["pixels"].select("frame_id", "idx1").union(tables["pixels"].select("frame_id", "idx2")).distinct().groupBy("frame_id").agg(F.count("*").alias("kept_points"))
+    spots = tables["patches"].groupBy("frame_id").agg(F.count("*").alias("placed_patches"), F.max(F.col("pos_y") + F.when(F.col("swapped"), F.col("w")).otherwise(F.col("h"))).alias("used_rows"))
+    occupied = tables["occupancy"].groupBy("frame_id").agg(F.count_if(F.expr("occupied")).alias("occupied_blocks"), F.sum(F.when(F.col("occupied"), 0).otherwise(F.col("filled"))).alias("zeroed_pixels"))
+    out = points
+    for more in (voxels, layers, kept, spots, occupied):
+        out = out.join(more, "frame_id", "left")
+    return out.fillna(0).withColumn("lost_points", F.col("points") - F.col("kept_points"))
+
+
+def all_units(tables: dict[str, DataFrame], p: Parameters, coder: codec.MapCodec | None = None) -> DataFrame:
+    """Parameter, atlas and map units in one table; (gof_id, unit_seq) is their order in a file."""
+    rules = image_rules(p)
+    make = codec.low_delay_units if p.low_delay else codec.video_units
+    return tables["units"].unionByName(make(tables["maps"], p.gof_size, rules.pop("width"), rules.pop("height"), rules.pop("block"), coder, **rules))
 
 
 def write_file(units: DataFrame, path: str) -> None:

@@ -5,4 +5,4 @@ from __future__ import annotations
 from .plans import kernels, queries
 
 QUERIES = queries.QUERIES | kernels.QUERIES
-ORACLES = queries.ORACLES
+ORACLES = queries.ORACLES | kernels.ORACLES

@@ -1,8 +1,8 @@
-"""Statistics, raw images and syntax traces as files and tables."""
+"""Statistics, delays, raw images and syntax traces as files and tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.container import BitWriter
@@ -13,6 +13,12 @@ def write_statistics(statistics: DataFrame, folder: str) -> None:
     statistics.orderBy("frame_id").write.mode("append").json(folder)
 
 
+def delays(groups: DataFrame, done: str = "done", frames: str = "frames") -> DataFrame:
+    """groups(gof_id, done, frames) with seconds since the group before was done, and frames a second."""
+    seconds = F.col(done).cast("double") - F.lag(F.col(done).cast("double")).over(Window.orderBy("gof_id"))  # a row a group
+    return groups.withColumn("delay", seconds).withColumn("fps", F.when(F.col("delay") > 0, F.col(frames) / F.col("delay")))
+
+
 def raw_image(pixels: DataFrame, width: int, height: int, value: str, background: int = 0) -> DataFrame:
     """(frame_id, image): one byte a pixel in raster order, from sparse pixels (frame_id, x, y, value)."""
     filled = F.map_from_entries(F.collect_list(F.struct((F.col("y") * width + F.col("x")).alias("k"), F.col(value).alias("v"))))

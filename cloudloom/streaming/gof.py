@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -36,7 +36,16 @@ def grouped_frames(frames: DataFrame, size: int, frame: str = "frame_id", idle_m
     return keyed.groupBy("gof_id").applyInPandasWithState(collect, "gof_id long, frames array<long>, complete boolean", "frames array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def each_group(stream: DataFrame, work: Callable[[DataFrame, int], None], files_in_flight: int | None = None, seconds: float = 1.0):
+def limited(spark: SparkSession, folder: str, schema: str, files: int, form: str = "binaryFile") -> DataFrame:
+    """A stream of the files of a folder, at most so many a batch: with one batch a second, that many frames a second at most.
+
+    A batch begins when the one before it is done, so a slow consumer holds the source back.
+    """
+    reader = spark.readStream.format(form).option("maxFilesPerTrigger", files)
+    return reader.schema(schema).load(folder)
+
+
+def each_group(stream: DataFrame, work: Callable[[DataFrame, int], None], seconds: float = 1.0):
     """A writer that hands every batch of complete groups to work(batch, batch id), in order, one at a time."""
     ordered = lambda batch, i: work(batch.orderBy("gof_id"), i)
     return stream.writeStream.outputMode("append").foreachBatch(ordered).trigger(processingTime=f"{seconds} seconds")

@@ -73,6 +73,48 @@ def test_patch_layers():
     assert rounds.patches_of(frame, 10_000).empty
 
 
+def frame_of(rows, ppi=2):
+    frame = pd.DataFrame(rows, columns=list("xyz")).assign(frame_id=0, ppi=ppi)
+    frame["pt_idx"] = range(len(frame))
+    return frame
+
+
+def test_points_behind_a_near_one_are_judged_by_their_distance_from_it():
+    """A block's peak is 10; a pixel with 42 and 45 keeps both: 42 is 32 from the peak, 45 three behind 42."""
+    rows = [(x, y, 10) for x in range(4) for y in range(4) if (x, y) != (1, 1)] + [(1, 1, 42), (1, 1, 45)]
+    got = rounds.patches_of(frame_of(rows), 1, propagation=2000)
+    own = got[(got["u"] == 1) & (got["v"] == 1)]
+    assert own[["patch_id", "d1", "d2"]].values.tolist() == [[0, 42, 45]]
+    # one deeper, and all points of the pixel wait for the next round
+    got = rounds.patches_of(frame_of([(x, y, z + (z > 10)) for x, y, z in rows]), 1, propagation=2000)
+    own = got[(got["u"] == 1) & (got["v"] == 1)]
+    assert own["patch_id"].tolist() == [1] and (own["d1"] + own["min_d"]).tolist() == [43] and (own["d2"] + own["min_d"]).tolist() == [46]
+
+
+def test_blocks_count_from_the_corner_of_a_patch():
+    """Pixels 3 and 4 share a block of two if the patch begins at 3."""
+    rows = [(3, 0, 0), (4, 0, 33), (5, 0, 33), (6, 0, 33)]
+    got = rounds.patches_of(frame_of(rows), 1, propagation=2000, block=2)
+    assert sorted(got[got["patch_id"] == 0]["u"]) == [3, 5, 6]  # 4 is 33 from the peak of its block
+
+
+def test_deep_columns_and_two_layers():
+    deep = frame_of([(x, 0, z) for x in range(3) for z in range(0, 400, 3)])
+    got = rounds.patches_of(deep, 1, propagation=9)
+    assert (got["d2"] - got["d1"]).between(0, 4).all() and got["d2"].max() <= 255
+    single = rounds.patches_of(frame_of([(x, y, z) for x in range(4) for y in range(4) for z in (0, 2)]), 1, propagation=9, double=False)
+    assert (single["d1"] == single["d2"]).all() and single["patch_id"].max() == 0
+
+
+def test_groups_of_frames_with_gaps_and_too_wide_patches():
+    patches = pd.DataFrame([(f, i, 0, 0, 0, w, 2) for f in (0, 1, 2) for i, w in enumerate((3, 40))], columns=["frame_id", "patch_id", "ppi", "u", "v", "w", "h"])
+    for group in (patches, patches[patches["frame_id"] != 1]):
+        got = atlas.pack_group(group.copy(), 16, 16, 1, 1, 0.3)
+        assert {(f, i) for f, i, *_ in got} == set(zip(group["frame_id"], group["patch_id"]))
+    fixed = atlas.pack_group(patches.assign(w=30, h=30), 16, 16, 1, 1, 0.3, grows=False)
+    assert all(discarded for *_, discarded in fixed)
+
+
 def test_placed_boxes_are_apart(spark):
     from pyspark.sql import functions as F
 
@@ -200,9 +242,13 @@ def test_images_and_sinks(spark):
 
     frame = pd.DataFrame({"frame_id": [0], "x": [3], "y": [5], "d1": [9], "d2": [11], "r": [1], "g": [2], "b": [3]})
     found = codec.images(frame, 16, 16, 2)
-    assert found["occupancy"][0].sum() == 1 and [i[5, 3] for i in found["geometry"]] == [9, 11] and found["attribute"][0][:, 5, 3].tolist() == [1, 2, 3]
+    assert found["occupancy"][0].sum() == 1 and [i[5, 3] for i in found["geometry"]] == [9, 11]
+    assert found["geometry"][0][5, 2] == 9 and found["geometry"][0][5, 15] == 9 and found["geometry"][0][0, 0] == 128  # dilated, then copied to the right
+    assert found["attribute"][0].shape == (24, 16) and found["attribute"][0][5, 3] == int(0.2126 * 1 + 0.7152 * 2 + 0.0722 * 3)
     rows = codec.video_units(spark.createDataFrame(frame), 2, 16, 16, 2).orderBy("unit_seq").collect()
-    assert [(r["unit_type"], len(r["payload"])) for r in rows] == [("OVD", 4 + 64), ("GVD", 4 + 512), ("AVD", 4 + 1536)]
+    assert [(r["unit_type"], len(r["payload"])) for r in rows] == [("OVD", 4 + 64), ("GVD", 4 + 512), ("AVD", 4 + 768)]
+    few = codec.images(frame, 16, 16, 4, threshold=2, fill_="pushPull")
+    assert not few["occupancy"][0].any()  # one pixel of sixteen is under the threshold
     image = sinks.raw_image(spark.createDataFrame(frame), 16, 16, "d1").first()["image"]
     assert len(image) == 256 and image[5 * 16 + 3] == 9 and sum(image) == 9
     assert sinks.repacked(b"rrggbb") == b"rgbrgb"
@@ -214,5 +260,40 @@ def test_images_and_sinks(spark):
 def test_command_line(capsys):
     from cloudloom.__main__ import main
 
-    main(["-i", "x", "-o", "y", "-g", "9", "-p", "slow", "-r", "16-22-2", "-n"])
+    main(["-i", "x_vox9_%04d.ply", "-o", "y", "-p", "slow", "-r", "16-22-2", "-d"])
     assert "gof_size=8" in capsys.readouterr().out
+
+
+def test_command_line_reads_patterns_and_loops(spark, tmp_path):
+    import argparse
+
+    from cloudloom import __main__ as cli
+
+    for f in (3, 4, 5):
+        (tmp_path / f"s_vox6_{f:04d}.ply").write_text(f"ply\nformat ascii 1.0\nelement vertex 1\nproperty int x\nproperty int y\nproperty int z\nproperty int red\nproperty int green\nproperty int blue\nend_header\n{f} 1 2 3 4 5\n")
+    args = lambda **own: argparse.Namespace(**{"input": str(tmp_path / "s_vox6_%04d.ply"), "frames": 2, "start_frame": 4, "loop_input": 3} | own)
+    got = sorted((r["frame_id"], r["x"]) for r in cli.read(spark, args(), 6).collect())
+    assert got == [(0, 4), (1, 5), (2, 4), (3, 5), (4, 4), (5, 5)]
+    assert sorted(r["x"] for r in cli.read(spark, args(input=str(tmp_path), frames=1, start_frame=3), 6).collect()) == [3]
+
+
+def test_descriptions_taps_statistics_and_low_delay(spark, tmp_path):
+    from cloudloom.sources import sdp, sinks, taps
+
+    pc = derived.cloud(spark, SF).filter("frame_id < 4")
+    p = PARAMETERS.changed(least_points=5, refine_sweeps=1, low_delay=True, voxel_depth=5, refine_depth=4)
+    tables = pipeline.encode(pc, p)
+    units = pipeline.all_units(tables, p).cache()
+    got = [(r["gof_id"], r["unit_type"]) for r in units.orderBy("gof_id", "unit_seq").collect()]
+    assert got == [(0, "VPS"), *[(0, t) for _ in range(3) for t in ("AD", "OVD", "GVD", "AVD")], (1, "VPS"), (1, "AD"), (1, "OVD"), (1, "GVD"), (1, "AVD")]
+    texts = {r["unit_type"]: r["text"] for r in sdp.descriptions(units).collect()}
+    assert set(texts) == {"AD", "OVD", "GVD", "AVD"} and texts["OVD"].startswith("m=video 8892 RTP/AVP 96\na=rtpmap:96 H265/90000\na=v3cfmtp:sprop-v3c-unit-header=")
+    looks = taps.taps(tables)
+    assert looks["planes"].select("r", "g", "b").distinct().count() == 6
+    stats = pipeline.statistics(tables, p).orderBy("frame_id").collect()
+    assert [r["points"] for r in stats] == [r["n"] for r in pc.groupBy("frame_id").count().withColumnRenamed("count", "n").orderBy("frame_id").collect()]
+    assert [r["lost_points"] for r in stats] == [looks["lost"].filter(f"frame_id = {i}").count() for i in range(4)]
+    sinks.write_statistics(pipeline.statistics(tables, p), str(tmp_path / "s"))
+    assert spark.read.json(str(tmp_path / "s")).count() == 4
+    groups = spark.createDataFrame([(0, 10.0, 3), (1, 12.0, 3)], "gof_id int, done double, frames int")
+    assert [(r["delay"], r["fps"]) for r in sinks.delays(groups).orderBy("gof_id").collect()] == [(None, None), (2.0, 1.5)]
