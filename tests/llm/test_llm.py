@@ -687,3 +687,53 @@ def test_pipeline_stages(spark):
             assert {r["doc_id"] for r in docs.collect()} == {i for i in sets if want[i] == i}
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, d).collect()
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()} <= set(texts)
+
+
+def test_pipeline_on_planted_rows(spark, tmp_path):
+    """run() over hand-made tables: who stays is known, and so are the ids of the pieces."""
+    from tokenizers import Tokenizer
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(17)
+    kinds = {"aa": ["ka", "lo", "mu", "sa", "ri", "to", "ne"], "bb": ["stro", "grib", "plu", "nkt", "asch", "ver"]}
+    prose = lambda k, n: " ".join("".join(r.choice(kinds[k]) for _ in range(r.randrange(1, 4))) for _ in range(n))
+    rows, labels, gone = [], [], set()
+    for i in range(500):
+        k = r.choice(["aa", "bb"])
+        words = prose(k, r.choice([30, 60, 200])).split()
+        if i % 6 == 0:
+            for _ in range(3):
+                words.insert(r.randrange(len(words)), r.choice(["vilkor", "grundelo"]))
+            gone.add(i)
+        rows.append((i, " ".join(words), k))
+        if i < 400:
+            labels.append((i, int(i % 6 == 0)))
+    items = [(j, prose("aa", 20)) for j in range(6)]
+    rows += [(1000 + j, f"{prose('aa', 40)} {t} {prose('aa', 40)}", "aa") for j, t in items]  # leaks
+    gone |= {1000 + j for j, _ in items}
+    rows += [(2000 + j, rows[j * 6 + 1][1], rows[j * 6 + 1][2]) for j in range(20)]  # copies, and near ones
+    rows += [(3000 + j, rows[j * 6 + 2][1] + " nearly", rows[j * 6 + 2][2]) for j in range(20) if len(rows[j * 6 + 2][1].split()) > 50]
+    gone |= {i for i, *_ in rows if 2000 <= i < 4000}
+    rows += [(4000, None, None), (4001, "", "aa"), (4002, "12 34 !", "bb"), (4003, "qwy xej zzuq vvyx wuxz " * 12, None), (4004, prose("bb", 9000), "bb")]
+    gone |= {4000, 4001, 4002, 4003}
+    spark.createDataFrame([(i, t, k, "s", 1) for i, t, k in rows], DOCS).withColumns({c: F.lit("x") for c in ("id", "score", "component", "pred", "piece")}).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x["doc_id"] for x in got} == {i for i, *_ in rows} - gone
+    tokens, texts = Tokenizer.from_file(corpus_pipeline.TOKENIZER), {i: t for i, t, _ in rows}
+    bins = defaultdict(int)
+    for x in got:
+        own = np.array([*tokens.encode(texts[x["doc_id"]], add_special_tokens=False).ids, 1], "<u4")
+        part = own[x["start"] : x["start"] + x["length"]]
+        assert x["start"] == 4096 * x["piece"] and len(part) == x["length"] and zlib.crc32(part.tobytes()) == x["ids_crc32"]
+        bins[x["sequence_id"]] += x["length"]
+    assert max(bins.values()) <= 4096 and len(bins) == -(-sum(bins.values()) // 4096)
+
+
+def test_pipeline_on_no_rows(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
