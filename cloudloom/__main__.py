@@ -75,6 +75,7 @@ def main(argv: list[str] | None = None) -> None:
         for r in sdp.descriptions(units, args.dst_port).collect():
             with open(os.path.join(args.sdp_outdir, r["name"]), "w") as f:
                 f.write(r["text"])
+    pipeline.release(tables)
 
 
 if __name__ == "__main__":

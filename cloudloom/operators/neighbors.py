@@ -41,6 +41,11 @@ def neighbour_pairs(points: DataFrame, most: int, idx: str = "pt_idx", xyz: tupl
     return probes.join(targets, ["frame_id", *xyz, *same]).select("frame_id", "src", "dst", "d2", *same, *carry)
 
 
+def around(points: DataFrame, most: int) -> DataFrame:
+    """(frame_id, x, y, z): the cells within squared distance `most` of points, other than their own."""
+    return points.select("frame_id", "x", "y", "z", _offsets(most).alias("o")).select("frame_id", *((F.col(c) + F.col(f"o.d{c}")).cast("int").alias(c) for c in "xyz"))
+
+
 def extended_score(voxels: DataFrame, most: int) -> DataFrame:
     """voxels(frame_id, vox_id, vx, vy, vz, n, s0..s5) with e0..e5 and nn: sums over the neighbours; 0 without any."""
     pairs = neighbour_pairs(voxels, most, "vox_id", ("vx", "vy", "vz"), (), carry=("n", *SCORES))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import on_axis, plane_axis, round_up
-from .neighbors import neighbour_pairs
+from .neighbors import around
 
 #: Depth steps of the plane position, the widest distance from a block's peak, the deepest stored depth.
 PLANE_STEP, PEAK_DISTANCE, DEEPEST = 64, 32, 255
@@ -84,9 +84,8 @@ def near_their_peak(near: DataFrame, peaks: DataFrame, boxes: DataFrame, patch:
 
 def covered(points: DataFrame, kept: DataFrame, most: int = 5, anti: bool = False) -> DataFrame:
     """Points with (or, anti, without) a point of kept(frame_id, pt_idx) within squared distance `most`, other than themselves."""
-    pairs = neighbour_pairs(points, most, same=())
-    near = pairs.join(kept.select("frame_id", F.col("pt_idx").alias("dst")), ["frame_id", "dst"]).select("frame_id", F.col("src").alias("pt_idx"))
-    return points.join(near, ["frame_id", "pt_idx"], "left_anti" if anti else "left_semi")
+    there = points.join(kept.select("frame_id", "pt_idx"), ["frame_id", "pt_idx"], "left_semi")
+    return points.join(around(there, most), ["frame_id", "x", "y", "z"], "left_anti" if anti else "left_semi")
 
 
 def lost(points: DataFrame, *layers: DataFrame) -> DataFrame:

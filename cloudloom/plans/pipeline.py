@@ -68,10 +68,14 @@ def map_pixels(points: DataFrame, pixels: DataFrame, patches: DataFrame, p: Para
 
 
 def encode(points: DataFrame, p: Parameters) -> dict[str, DataFrame]:
-    """All stages' tables for points(frame_id, pt_idx, x, y, z, r, g, b)."""
-    planes = segmented(points, p)
-    pixels = rounds.patch_pixels(planes, p.least_points, propagation=p.propagation, covered=p.covered_distance, block=p.block, distance=p.peak_distance, thickness=p.thickness, double=p.double_layer)
-    patches = placed(boxes(pixels, p), p)
+    """All stages' tables for points(frame_id, pt_idx, x, y, z, r, g, b).
+
+    Planes, pixels and patches are read by several later stages, so they are kept as they are first computed (in memory, else
+    on disk; what an executor loses is computed anew). `release` lets go of them.
+    """
+    planes = segmented(points, p).persist()
+    pixels = rounds.patch_pixels(planes, p.least_points, propagation=p.propagation, covered=p.covered_distance, block=p.block, distance=p.peak_distance, thickness=p.thickness, double=p.double_layer).persist()
+    patches = placed(boxes(pixels, p), p).persist()
     maps = map_pixels(points, pixels, patches, p)
     coded = patches.select("frame_id", "patch_id", "pos_x", "pos_y", (F.col("w") - 1).alias("size_x_minus1"), (F.col("h") - 1).alias("size_y_minus1"), F.col("u").alias("offset_u"), F.col("v").alias("offset_v"), F.expr(f"min_d div {p.plane_step}").alias("offset_d"), F.when(F.col("size_d") == 0, 0).otherwise(F.expr(f"(size_d + 1) div {p.plane_step}")).alias("range_d"), F.col("ppi").alias("plane"), F.col("swapped").cast("int").alias("swapped"))
     threshold = p.threshold2 if p.block == 2 else p.threshold4
@@ -79,6 +83,12 @@ def encode(points: DataFrame, p: Parameters) -> dict[str, DataFrame]:
     return {"points": planes, "pixels": pixels, "patches": patches, "maps": maps, "occupancy": occupancy_blocks(maps, p.block, threshold), "images": codec.finished(maps, p.gof_size, **image_rules(p)), "units": units}
 
 
+def release(tables: dict[str, DataFrame]) -> None:
+    """Frees what encode() keeps."""
+    for name in ("points", "pixels", "patches"):
+        tables[name].unpersist()
+
+
 def image_rules(p: Parameters) -> dict[str, object]:
     """What codec.images takes from the parameters."""
     return {"width": p.map_width, "height": p.map_height, "block": p.block, "layers": 2 if p.double_layer else 1, "threshold": p.threshold2 if p.block == 2 else p.threshold4, "geometry": p.background_geometry, "attribute": p.background_attribute, "fill_": p.fill, "fill_block": p.fill_block, "filtered_chroma": p.filtered_chroma}
