@@ -26,7 +26,7 @@ _U = np.uint64
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session that sends at most BATCH_ROWS rows to a Python worker at once."""
+    """df, in a session that from now on sends at most BATCH_ROWS rows to a Python worker at once: Spark reads it when a query runs."""
     name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
     if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
@@ -59,10 +59,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (only where unset, as in tests) a new one."""
+    """The folder that all executors share: spark.checkpoint.dir, or (only where unset and all runs on one machine) a new one."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not own and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="cloudloom-"))
     return own or sc.getCheckpointDir()
 
