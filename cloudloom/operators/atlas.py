@@ -24,16 +24,26 @@ class Atlas:
     def place(self, w: int, h: int) -> tuple[int, int, bool] | None:
         """First fit in raster order with steps of 1 + space blocks, as it stands before turned; (x, y, turned)."""
         while True:
-            rows, cols = self.used.shape
-            for y in range(0, rows, 1 + self.space):
-                for x in range(0, cols, 1 + self.space):
-                    for turned in (False, True):
-                        if self.fits(x, y, *((h, w) if turned else (w, h))):
-                            return x, y, turned
-            if not self.grows or min(w, h) > cols:
+            before = np.zeros(np.add(self.used.shape, 1), np.int32)  # used blocks above and to the left
+            np.cumsum(np.cumsum(self.used, 0), 1, out=before[1:, 1:])
+            straight, turned = self._spots(before, w, h), self._spots(before, h, w)
+            either = straight | turned
+            if either.any():
+                y, x = divmod(int(either.argmax()), either.shape[1])
+                return x * (1 + self.space), y * (1 + self.space), not straight[y, x]
+            if not self.grows or min(w, h) > self.used.shape[1]:
                 return None
             self.used = np.vstack([self.used, np.zeros_like(self.used)])
 
+    def _spots(self, before: np.ndarray, w: int, h: int) -> np.ndarray:
+        """Whether the rectangle fits, for each place of the raster; before: prefix sums of the used blocks."""
+        rows, cols = self.used.shape
+        y, x = np.arange(0, rows, 1 + self.space), np.arange(0, cols, 1 + self.space)
+        top, left = np.maximum(0, y - self.space)[:, None], np.maximum(0, x - self.space)[None]
+        bottom, right = np.minimum(rows, y + h + self.space)[:, None], np.minimum(cols, x + w + self.space)[None]
+        used = before[bottom, right] - before[top, right] - before[bottom, left] + before[top, left]
+        return (used == 0) & (y + h <= rows)[:, None] & (x + w <= cols)[None]
+
     def cover(self, x: int, y: int, w: int, h: int, turned: bool, filled: np.ndarray | None = None) -> None:
         own = np.ones((h, w), bool) if filled is None else filled
         own = own.T if turned else own

@@ -14,7 +14,23 @@ from ..functions.scalar import PLANE_NORMALS
 from .neighbors import stencil
 
 NO_EDGE, INDIRECT, SINGLE, MULTI = range(4)
-_DOTS = np.array(PLANE_NORMALS, float) @ np.array(PLANE_NORMALS, float).T
+
+
+def neighbourhoods(cells: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, neighbour, squared distance) of all pairs of distinct cells within a squared distance, by cell."""
+    wide, low = int(np.ptp(cells, axis=0).max(initial=0)) + 2 * reach + 3, cells.min(0) - reach - 1
+    key = lambda c: ((c[:, 0] - low[0]) * wide + c[:, 1] - low[1]) * wide + c[:, 2] - low[2]
+    keys = key(cells.astype(np.int64))
+    order = np.argsort(keys)
+    ranked, pairs = keys[order], []
+    for x, y, z in stencil(reach):
+        probe = keys + (x * wide + y) * wide + z
+        at = np.minimum(np.searchsorted(ranked, probe), len(ranked) - 1)
+        src = np.flatnonzero(ranked[at] == probe)
+        pairs.append((src, order[at[src]], np.full(len(src), x * x + y * y + z * z)))
+    src, dst, d2 = (np.concatenate(c) for c in zip(*pairs))
+    by = np.argsort(src, kind="stable")
+    return src[by], dst[by], d2[by]
 
 
 def refine(xyz: np.ndarray, plane: np.ndarray, normals: np.ndarray | None, shift: int, reach: int = 2, indirect: int = 4, weight: float = 3.5, sweeps: int = 3) -> np.ndarray:
@@ -22,54 +38,55 @@ def refine(xyz: np.ndarray, plane: np.ndarray, normals: np.ndarray | None, shift
 
     reach and indirect: squared distances of the voxels that count, and of those whose class a voxel may change.
     With normals, a plane's score is weight / neighbours * votes + normal . plane; without them (the sliced variant)
-    weight * votes + neighbours * (the plane at the start) . plane.
+    weight * votes + neighbours * (the plane at the start) . plane. Within a sweep only classes change, so votes and new
+    planes are found for all voxels at once; what goes voxel by voxel is who wakes whom.
     """
     plane = plane.copy()
+    if not len(plane):
+        return plane
     voxels, first, owner = np.unique(xyz >> shift, axis=0, return_index=True, return_inverse=True)
     order = np.argsort(first, kind="stable")  # voxels in the order of their first points
     rank = np.argsort(order)
     voxels, owner = voxels[order], rank[owner.reshape(-1)]
-    members = np.split(np.argsort(owner, kind="stable"), np.cumsum(np.bincount(owner))[:-1])
-    place = {tuple(v): i for i, v in enumerate(voxels.tolist())}
-    near, close = [], []
-    for x, y, z in voxels.tolist():
-        hits = [(j, dx * dx + dy * dy + dz * dz) for dx, dy, dz in stencil(reach) if (j := place.get((x + dx, y + dy, z + dz))) is not None]
-        near.append([j for j, _ in hits])
-        close.append([j for j, d in hits if d <= indirect])
-    size = np.array([len(m) for m in members])
-    around = np.array([size[j].sum() for j in near])
+    n = len(voxels)
+    src, dst, d2 = neighbourhoods(voxels, reach)
+    close = d2 <= indirect
+    wakes, starts = dst[close].tolist(), np.searchsorted(src[close], np.arange(n + 1)).tolist()
+    size = np.bincount(owner, minlength=n)
+    around = np.bincount(src, size[dst], n)
     axes = (normals if normals is not None else np.array(PLANE_NORMALS, float)[plane]) @ np.array(PLANE_NORMALS, float).T
-    score = np.zeros((len(voxels), 6), int)
-    kind, own = np.zeros(len(voxels), int), np.zeros(len(voxels), int)
 
-    def renew(i: int) -> None:
-        score[i] = np.bincount(plane[members[i]], minlength=6)
-        own[i] = score[i].argmax()
-        kind[i] = SINGLE if size[i] == 1 else NO_EDGE if (score[i] > 0).sum() == 1 else MULTI
+    def scores() -> np.ndarray:
+        return np.bincount(owner * 6 + plane, minlength=6 * n).reshape(n, 6)
 
-    for i in range(len(voxels)):
-        renew(i)
+    score = scores()
+    own = score.argmax(1)
+    kind = np.where(size == 1, SINGLE, np.where((score > 0).sum(1) == 1, NO_EDGE, MULTI))
     for _ in range(sweeps):
-        touched = []
-        for i in range(len(voxels)):
-            if kind[i] == NO_EDGE:
-                continue
-            votes = score[near[i]].sum(0)
-            top = votes.argmax()
-            for j in close[i]:
-                if kind[j] == NO_EDGE and own[j] != top:
-                    kind[j] = INDIRECT
-            if kind[i] != MULTI and (votes > 0).sum() == 1 and votes[own[i]] > 0:
+        votes = np.stack([np.bincount(src, score[dst, k], n) for k in range(6)], 1)
+        top = votes.argmax(1).tolist()
+        classes, owns = kind.tolist(), own.tolist()
+        visited = np.zeros(n, bool)
+        for i in range(n):
+            if classes[i] == NO_EDGE:
                 continue
-            if around[i] == 0:
-                plane[members[i]] = 0
-            elif normals is not None:
-                plane[members[i]] = (weight / around[i] * votes + axes[members[i]]).argmax(1)
+            visited[i] = True
+            for j in wakes[starts[i] : starts[i + 1]]:
+                if classes[j] == NO_EDGE and owns[j] != top[i]:
+                    classes[j] = INDIRECT
+        kind = np.array(classes)
+        settled = (kind != MULTI) & ((votes > 0).sum(1) == 1) & (votes[np.arange(n), own] > 0)
+        touched = visited & ~settled
+        mine = touched[owner]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if normals is not None:
+                best = ((weight / around[:, None] * votes)[owner[mine]] + axes[mine]).argmax(1)
             else:
-                plane[members[i]] = (weight * votes + around[i] * axes[members[i]]).argmax(1)
-            touched.append(i)
-        for i in touched:
-            renew(i)
+                best = ((weight * votes)[owner[mine]] + around[owner[mine], None] * axes[mine]).argmax(1)
+        plane[mine] = np.where(around[owner[mine]] == 0, 0, best)
+        score = np.where(touched[:, None], scores(), score)
+        own = np.where(touched, score.argmax(1), own)
+        kind = np.where(touched, np.where(size == 1, SINGLE, np.where((score > 0).sum(1) == 1, NO_EDGE, MULTI)), kind)
     return plane
 
 

@@ -47,11 +47,13 @@ def patches_of(frame: pd.DataFrame, least: int, propagation: int = 3, covered: i
             banned[left[~may_seed]] = True
         src, dst = grid_edges(xyz[left], plane[left], propagation)
         label = smallest_reached(len(left), src, dst)
-        seeded = np.unique(label[may_seed])
+        seeds = np.flatnonzero(may_seed)
+        seeded, at = np.unique(label[seeds], return_index=True)  # components, and the first seed of each
+        by = np.argsort(label, kind="stable")
+        begins, ends = np.searchsorted(label[by], seeded, "left"), np.searchsorted(label[by], seeded, "right")
         again, new = [], []
-        first = {int(c): int(np.flatnonzero((label == c) & may_seed)[0]) for c in seeded}
-        for c in sorted(seeded.tolist(), key=first.get):
-            own = left[label == c]
+        for k in np.argsort(seeds[at], kind="stable").tolist():
+            own = left[by[begins[k] : ends[k]]]
             if len(own) < least:
                 continue
             normal, tangent, bitangent, mode = PLANE_AXES[plane[own[0]]]
