@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, lean, mix, small_batches, text_chunks
+from .common import LOWER, cut_lineage, lean, small_batches, text_chunks
 
 UND = "und"
 #: Bounds of the fitted sample, documented: different texts of each language, lowest hash of the text first.
@@ -174,7 +174,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.6 * sample_rows / max(n, 1) + 30 / max(n, 1)))).otherwise(share)
     u = F.pmod(F.xxhash64("h", F.lit(5)), F.lit(1_000_003)) / 1_000_003
-    few = ranked.filter(u < share).dropDuplicates(["lang", "h"]).select("lang", "h", "text")
+    few = cut_lineage(ranked.filter(u < share).dropDuplicates(["lang", "h"]).select("lang", "h", "text"))
 
     @lean
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
