@@ -24,8 +24,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -75,9 +77,8 @@ class Node:
     run: int  # the number of its outermost list or table, else of its path
 
 
-@dataclass(slots=True, frozen=True)
-class Open:
-    """An open element, with what holds for the text in it. Frozen places: of the open elements that a tag can close."""
+class Open(NamedTuple):
+    """An open element, with what holds for the text in it."""
 
     tag: str
     path: int
@@ -96,15 +97,21 @@ CLOSING = list(CLOSES.items())
 SPECIAL = frozenset().union(*(own | limits for own, limits in CLOSES.values()))
 
 
+@lru_cache(4096)
+def _said(attributes: str) -> tuple[str, bool, bool]:
+    """What attributes say: class, id and role in one text, whether these name no main text, whether the element is hidden."""
+    marks = " ".join(x or y or z for x, y, z in ATTRIBUTE.findall(attributes)) if "=" in attributes else ""
+    hidden = HIDDEN.search(attributes) is not None or BARE_HIDDEN.search(QUOTED.sub(" ", attributes)) is not None
+    return marks, bool(marks) and NOISE.search(marks) is not None, hidden
+
+
 def _pushed(above: Open, tag: str, attributes: str, at: int, number: dict[tuple[int, str], int]) -> Open:
     """The element that a start tag opens under another one, as the at-th of the open ones."""
-    marks = " ".join(x or y or z for x, y, z in ATTRIBUTE.findall(attributes)) if "=" in attributes else ""
+    marks, named, hidden = (_said(attributes) if len(attributes) < 1000 else _said.__wrapped__(attributes)) if attributes else ("", False, False)
     inline = tag in INLINE
     path = above.path if inline else number.setdefault((above.path, f"{tag}.{marks}"), len(number) + 1)
     unseen = tag in UNSEEN or tag in ASIDE or tag == "header" and not above.held
-    hidden = bool(attributes) and (HIDDEN.search(attributes) is not None or BARE_HIDDEN.search(QUOTED.sub(" ", attributes)) is not None)
-    root = tag in ("html", "body", "article", "main")
-    noisy = tag in FORMS or (bool(marks) and not root and NOISE.search(marks) is not None)
+    noisy = tag in FORMS or (named and tag not in ("html", "body", "article", "main"))
     p = at if tag == "p" else above.p if inline else -1
     closable = above.closable
     if tag in SPECIAL:
