@@ -72,7 +72,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.oracle(), "op6_topk": OP6, "op10_warc": OP10}
+    return {"op1_url_filter": url_filter.oracle(), "op3_near_dup": OP3, "op6_topk": OP6, "op7_sharding": op7_sql(), "op10_warc": OP10}
 
 
 OP10 = """
@@ -93,3 +93,33 @@ s as (select q.row, q.vec_id as query_id, x.row as other, x.vec_id, sum(q.c * x.
 r as (select *, row_number() over (partition by row order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 20
 """
+
+OP3 = """
+with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents),
+s as materialized (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as g from d),
+n as materialized (select doc_id, len(g) as n from s),
+x as materialized (select doc_id, unnest(g) as g from s),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from x a join x b on a.g = b.g and a.doc_id < b.doc_id group by all),
+link as (select a, b from shared join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 85 * (na.n + nb.n - c)),
+both_ways as materialized (select a, b from link union select b, a from link),
+reach as (select a as doc_id, b as other from both_ways union select r.doc_id, e.b from reach r join both_ways e on r.other = e.a),
+far as (select doc_id, min(other) as m from reach group by doc_id)
+select n.doc_id, n.n::bigint as n_shingles, least(n.doc_id, coalesce(m, n.doc_id)) as component_id, least(n.doc_id, coalesce(m, n.doc_id)) = n.doc_id as kept from n left join far on n.doc_id = far.doc_id
+"""
+
+
+def op7_sql(shards: int = 16, slack: float = sharding.SLACK) -> str:
+    """The law of assign_shards in window sums, with CRC-32 by its table."""
+    return f"""
+with bits as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i::bigint, list_transform(range(8), lambda j: 0::bigint)), lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+raw as materialized (select doc_id, md5(coalesce(text, '')) as digest, strlen(coalesce(text, '')) + 1 as size, hex(encode(coalesce(text, ''))) as hx from documents),
+parts as materialized (select * exclude hx, list_transform(range(0, len(hx) // 2), lambda i: ('0x' || hx[2 * i + 1 : 2 * i + 2])::bigint) as bytes from raw),
+p as materialized (select doc_id, digest, size, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, z: xor(c >> 8, t[(xor(c, z) & 255) + 1])), 4294967295) as crc,
+  sum(size) over o - size as b, row_number() over o - 1 as r from parts, bits window o as (order by digest, doc_id nulls first rows unbounded preceding)),
+a as (select sum(size) as total, max(size) as largest from p),
+g as (select digest, min(b) as b0, max(b + size) as b1, min(r) as r0, max(r) + 1 as r1 from p group by digest),
+t as (select total * i // {shards} as aim, greatest({slack} * total / {shards}, largest) as allowed from a, range(1, {shards}) x(i)),
+e as (select aim, allowed, p.b, p.b + p.size as z, p.r, g.* from t join p on p.b <= aim and aim < p.b + p.size join g on g.digest = p.digest),
+cuts as materialized (select case when least(abs(b0 - aim), abs(b1 - aim)) <= allowed then case when abs(b0 - aim) <= abs(b1 - aim) then r0 else r1 end when abs(b - aim) <= abs(z - aim) then r else r + 1 end as cut from e)
+select p.doc_id, p.size::bigint as size, p.crc::bigint as text_crc32, 'bytes' as law, (select count(*) from cuts where cut <= p.r)::int as shard, (p.r - greatest(0, coalesce((select max(cut) from cuts where cut <= p.r), 0)))::bigint as slot, null::int as grown_shard from p
+"""
