@@ -282,6 +282,32 @@ ORACLES["components_26"] = COMPONENTS.format(pc=derived.oracle()) + " select fra
 ORACLES["component_size_filter"] = COMPONENTS.format(pc=derived.oracle()) + " select c.frame_id, c.component, min(p.ppi) as ppi, count(*) as points from comp c join pc p on c.frame_id = p.frame_id and c.pt_idx = p.pt_idx group by c.frame_id, c.component having count(*) >= 16"
 
 
+BY_COMPONENT = f"{COMPONENTS.format(pc=derived.oracle())}, {AXES[5:]}, own as (select p.*, c.component from pix p join comp c on c.frame_id = p.frame_id and c.pt_idx = p.pt_idx)"
+
+
+def _by_component(pc: DataFrame) -> DataFrame:
+    return patches.projected(pc).join(components.components(pc).select("frame_id", "pt_idx", "component"), ["frame_id", "pt_idx"])
+
+
+@query()
+def component_bbox(pc: DataFrame) -> DataFrame:
+    return patches.bounding_boxes(_by_component(pc), ["frame_id", "component"])
+
+
+@query()
+def component_near_layer(pc: DataFrame) -> DataFrame:
+    """The near layer of each component's pixels that is not too far from the peak of its block."""
+    pixels, patch = _by_component(pc), ["frame_id", "component"]
+    near = patches.near_layer(pixels, patch)
+    return patches.near_their_peak(near, patches.block_peaks(pixels, patch, 4), patches.bounding_boxes(pixels, patch), patch, 4, 2).select(*patch, "u", "v", "d1", "idx1")
+
+
+ORACLES["component_bbox"] = f"{BY_COMPONENT} select frame_id, component, min(u) as min_u, max(u) as max_u, min(v) as min_v, max(v) as max_v from own group by all"
+ORACLES["component_near_layer"] = f"""{BY_COMPONENT}, cell as (select *, (u - min(u) over w) // 4 as bu, (v - min(v) over w) // 4 as bv from own window w as (partition by frame_id, component)),
+ peaks as (select frame_id, component, bu, bv, abs(min(near)) as peak from cell group by all), near_layer as (select * from cell qualify row_number() over (partition by frame_id, component, u, v order by near, pt_idx) = 1)
+ select n.frame_id, n.component, u, v, d as d1, pt_idx as idx1 from near_layer n join peaks q on n.frame_id = q.frame_id and n.component = q.component and n.bu = q.bu and n.bv = q.bv where abs(d - peak) <= 2"""
+
+
 @query(f"{AXES} select frame_id, ppi, min(u) as min_u, max(u) as max_u, min(v) as min_v, max(v) as max_v from pix group by all")
 def patch_bbox(pc: DataFrame) -> DataFrame:
     return patches.bounding_boxes(patches.projected(pc), PATCH)

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..params import Parameters
+from ..plans import pipeline
+from ..sources import ply
+
 
 def grouped_frames(frames: DataFrame, size: int, frame: str = "frame_id", idle_ms: int = 10_000) -> DataFrame:
     """(gof_id, frames, complete) of a stream of frames: a group is given out when its frames are all there.
@@ -45,6 +49,26 @@ def limited(spark: SparkSession, folder: str, schema: str, files: int, form: str
     return reader.schema(schema).load(folder)
 
 
+def encode_stream(spark: SparkSession, folder: str, p: Parameters, out: str, files: int = 64, seconds: float = 1.0, idle_ms: int = 10_000):
+    """A writer that encodes PLY files as they come into a folder: the units of each complete group are appended to the table `out`.
+
+    At most `files` files are taken up a batch; a group is encoded when all its frames are there, the last one of a stream after
+    idle_ms without news. Files are named by what precedes their frame's number; (gof_id, unit_seq) is the order of the units.
+    """
+    number = F.coalesce(F.regexp_extract("path", r"([0-9]+)\.ply$", 1).try_cast("int"), F.lit(0)).alias("frame_id")
+    seen = limited(spark, folder, "path string, modificationTime timestamp, length long, content binary", files).select(number)
+
+    def work(batch: DataFrame, _: int) -> None:
+        listed = spark.read.format("binaryFile").load(folder).select("path", number)
+        for group in batch.collect():  # a row a group
+            paths = [r["path"] for r in listed.filter(F.col("frame_id").isin(list(group["frames"]))).collect()]
+            tables = pipeline.encode(ply.read(spark, paths, p.input_depth), p)
+            pipeline.all_units(tables, p).write.mode("append").parquet(out)
+            pipeline.release(tables)
+
+    return each_group(grouped_frames(seen, p.gof_size, idle_ms=idle_ms), work, seconds)
+
+
 def each_group(stream: DataFrame, work: Callable[[DataFrame, int], None], seconds: float = 1.0):
     """A writer that hands every batch of complete groups to work(batch, batch id), in order, one at a time."""
     ordered = lambda batch, i: work(batch.orderBy("gof_id"), i)

@@ -209,6 +209,26 @@ def test_stream_groups(spark, tmp_path):
     assert {(r["gof_id"], tuple(r["frames"]), r["complete"]) for r in got} == {(0, (0, 1, 2), True), (1, (3, 4, 5), True), (2, (6,), False)}
 
 
+def test_a_stream_of_files_is_encoded_group_by_group(spark, tmp_path):
+    pc = derived.cloud(spark, SF).filter("frame_id < 3").persist()
+    (tmp_path / "in").mkdir()
+    for r in ply.lines(pc).collect():
+        (tmp_path / "in" / f"s_{r['frame_id']:04d}.ply").write_text(r["value"])
+    p = PARAMETERS.changed(gof_size=2, least_points=5, refine_sweeps=1)
+    query = gof.encode_stream(spark, str(tmp_path / "in"), p, str(tmp_path / "out"), files=2, idle_ms=500).option("checkpointLocation", str(tmp_path / "state")).start()
+    got, end = [], time.time() + 150
+    while len(got) < 10 and time.time() < end:
+        time.sleep(1)
+        if (tmp_path / "out").exists():
+            got = spark.read.schema("gof_id long, unit_seq int, unit_type string, payload binary").parquet(str(tmp_path / "out")).collect()
+    query.stop()
+    tables = pipeline.encode(pc, p)
+    want = pipeline.all_units(tables, p).collect()
+    key = lambda rows: sorted((r["gof_id"], r["unit_seq"], r["unit_type"], bytes(r["payload"])) for r in rows)
+    assert key(got) == key(want)
+    pipeline.release(tables)
+
+
 def test_parameters():
     p = params.resolve(10, "slow", "AI", "16-22-4", "least_points=7,sliced=true")
     assert (p.geometry_qp, p.block, p.least_points, p.sliced, p.refine_reach, p.map_width) == (16, 4, 7, True, 9, 1024)
