@@ -368,6 +368,20 @@ def test_names_only_weigh():
     assert html_text.main_text(whole).count("A paragraph") == 3 and "My para" not in html_text.main_text(whole) and "Home" not in html_text.main_text(whole)
 
 
+def test_a_page_without_an_article():
+    p = lambda s: f"<p>{s} This is a sentence of the article, which has commas; and it goes on for a while, as prose does.</p>"
+    page = f"""<body class="home"><div id="header"><a href="/">Site</a> Tagline of the site</div><ul class="nav"><li><a href=1>One</a><li><a href=2>Two</a></ul>
+<div id="wrapper" class="has-sidebar"><div id="content"><h1>Title here</h1><div class="meta">By <a href="/a">Ann</a></div>{p("First.")}<ul><li>short item<li>second item</ul><blockquote><p>Quoted words.</p></blockquote>{p("Second.")}<h2>Sub</h2>{p("Third.")}
+<div class="share">Share this: <a href=x>Somewhere</a></div></div><div id="sidebar"><h3>Recent posts</h3><ul><li><a href=1>A long title of some other post, which is here</a></ul><p>About the author, who writes a lot, and likes it; a text of prose with commas.</p></div></div>
+<div id="comments"><h3>2 comments</h3><div class="comment"><p>I really liked this, thank you, it was a good read; and I learned something.</p></div></div><div id="footer">Copyright 2020, all rights reserved. Some long text in the footer, with commas, and more.</div>"""
+    lines = html_text.main_text(page).split("\n")
+    assert lines[0] == "Title here" and [x.split(".")[0] for x in lines if "sentence" in x] == ["First", "Second", "Third"]
+    assert {"short item", "second item", "Quoted words.", "Sub"} <= set(lines) and len(lines) <= 9
+    assert not any(w in x for x in lines for w in ("Tagline", "Share", "Recent", "author", "liked", "comments", "Copyright", "One"))
+    long = page.replace('<div class="comment">', '<div class="comment">' + "<p>Another remark of a reader, which is long, and has commas; more so than the article.</p>" * 20)
+    assert "remark" not in html_text.main_text(long)
+
+
 def test_open_elements_are_closed_as_browsers_do():
     texts = lambda page: [(x.text, x.path) for x in html_text.nodes(page)]
     same = [("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "<ul><li>a</li><li>b<ul><li>c</li></ul></li><li>d</li></ul>"), ("<p>a<b>b<p>c<div>d</div>", "<p>a<b>b</b></p><p>c</p><div>d</div>"), ("<table><tr><td>a<td>b<tr><th>c</table>e", "<table><tr><td>a</td><td>b</td></tr><tr><th>c</th></tr></table>e"), ("<dl><dt>a<dd>b<dt>c</dl>", "<dl><dt>a</dt><dd>b</dd><dt>c</dt></dl>"), ("<div>a</span></i>b</p>c</div>d", "<div>abc</div>d")]
