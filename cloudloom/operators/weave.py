@@ -53,7 +53,7 @@ def weave(a: np.ndarray, b: np.ndarray, axis: int) -> tuple[list[int | None], li
                     planes[start] = 0
             continue
         del free[spot[start]]
-        chain, steps, here, step = [start], [], start, (1, 0)
+        chain, steps, here, step, seen = [start], [], start, (1, 0), []
         while True:
             found, near = None, None
             for d, da, db in _ORDERS[step]:
@@ -64,6 +64,7 @@ def weave(a: np.ndarray, b: np.ndarray, axis: int) -> tuple[list[int | None], li
                     found, near, move = other, d, (da, db)
                 elif d <= near + 1 and parents[other] is None:
                     parents[other] = here
+                    seen.append(other)
             if found is None:
                 break
             home = (spot[start][0] - spot[here][0], spot[start][1] - spot[here][1])
@@ -77,8 +78,9 @@ def weave(a: np.ndarray, b: np.ndarray, axis: int) -> tuple[list[int | None], li
             steps.append(facing(move) if not steps or abs(move[0]) != abs(move[1]) else None)
             here, step = found, move
             chain.append(found)
-        for other in [xy for xy, i in free.items() if parents[i] is not None]:
-            del free[other]
+        for i in seen:
+            if parents[i] is not None and free.get(spot[i]) == i:
+                del free[spot[i]]
         if not steps:
             steps = [0]
         else:
