@@ -58,7 +58,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: No stage but the language filter could be said in SQL; tests/llm compares run() with brute-force versions.
+#: SQL cannot say any stage but near_dup; tests/llm holds run() against planted rows, and near_dup and packing against brute force.
 ORACLE_SQL = None
 
 
