@@ -670,12 +670,22 @@ def test_streams_of_several_members_and_many_archives(spark, tmp_path):
     assert len(entries) == 21
     for e in entries:  # a single record, sought by its offset
         (only,) = warc.records(zlib.decompress(by[e["name"]][e["at"] : e["at"] + e["length"]], 31))
-        assert only[0]["WARC-Record-ID"] == e["record_id"]
+        assert only[0]["warc-record-id"] == e["record_id"]
     for bad in (members(data)[:-20], members(data[:-30])):
         with pytest.raises(ValueError, match="ends inside"):
             list(warc.streamed(warc.inflated(memoryview(bad))))
 
 
+def test_records_of_other_writers(spark, tmp_path):
+    import gzip
+
+    data = b"".join(b"WARC/1.0\r\nwarc-type: %s\r\nWARC-Record-ID: <urn:uuid:%d>\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Length:%d\r\n\r\n%s\r\n\r\n" % (kind, i, len(block), block) for i, (kind, block) in enumerate([(b"warcinfo", b"software: x\r\n\r\n"), (b"request", b"GET /\r\n\r\n"), (b"response", b"")]))
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(data))
+    rows = warc.read_back(warc.normalise(warc.archives_of(spark, str(tmp_path)))).collect()
+    assert [(r["page_id"], r["record_type"], r["payload_bytes"]) for r in rows] == [(None, "warcinfo", 15), (None, "request", 9), (None, "response", 0)]
+    assert rows[1]["payload_digest"] == hashlib.sha256(b"GET /\r\n\r\n").hexdigest()
+
+
 def test_many_revisits_are_joined_without_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(warc, "BROADCAST_ROWS", 3)
     rows = [(i, "u", "x" * 150 + str(i % 4)) for i in range(40)]
