@@ -4,11 +4,13 @@ A page is read as text nodes with their root-to-leaf tag paths. Per path, text l
 divided by the path's nodes; both ratios are smoothed over neighbouring nodes in page order, fused with each other and
 with the share of text outside links, and thresholded at a share of the page's own mean. What an element says of itself
 (menus, forms, notices and so on, by class, id or role, and forms) only lowers the fused ratio of the paths under it, so a page
-that lies in such an element as a whole loses nothing, and prose under a misleading name can still pass. Only elements
+that lies in such an element as a whole loses nothing, and prose under a misleading name can still pass; it says nothing of
+an element that holds half of the page's text and its title, article or main element. Only elements
 that never hold a page's main text by their definition (nav, footer, aside, buttons, a header outside an article) have no
 ratio, as has what a browser shows no text of: scripts, styles, templates, hidden elements. Nodes over the threshold are the content, wherever they
-lie. An article or main element only rescues what is too short for a ratio: a run of nodes of one path, or a whole list
-or table, that touches a node over the threshold and is mostly text outside links.
+lie. What is too short for a ratio is rescued where it is mostly text outside links: a run of nodes of one path, or a whole list
+or table, that touches a node over the threshold in an article or main element, or lies between two such nodes elsewhere;
+and headings that a chosen node follows.
 
 Reading a page takes time in proportion to its length, whatever its tags: every look at the open elements is a look at a
 table kept for it, or closes what it passes.
@@ -73,7 +75,7 @@ class Node:
     linked: bool  # in a link
     held: bool  # in an article or main element
     noisy: int  # elements around it that name themselves no main text
-    heading: bool
+    heading: int  # its level, 0 for none
     run: int  # the number of its outermost list or table, else of its path
 
 
@@ -83,16 +85,16 @@ class Open(NamedTuple):
     tag: str
     path: int
     unseen: bool
-    noisy: int
+    noisy: int  # the number of the innermost element around it that names itself no main text
     linked: bool
     held: bool
-    heading: bool
+    heading: int
     run: int  # 0: no list around it
     p: int  # place of the nearest open p that only inline elements cover, else -1
     closable: tuple[int, ...]  # of each tag in CLOSES, place of the outermost open element that it closes, else -1
 
 
-ROOT = Open("", 0, False, 0, False, False, False, 0, -1, (-1,) * len(CLOSES))
+ROOT = Open("", 0, False, 0, False, False, 0, 0, -1, (-1,) * len(CLOSES))
 CLOSING = list(CLOSES.items())
 SPECIAL = frozenset().union(*(own | limits for own, limits in CLOSES.values()))
 
@@ -105,19 +107,21 @@ def _said(attributes: str) -> tuple[str, bool, bool]:
     return marks, bool(marks) and NOISE.search(marks) is not None, hidden
 
 
-def _pushed(above: Open, tag: str, attributes: str, at: int, number: dict[tuple[int, str], int]) -> Open:
+def _pushed(above: Open, tag: str, attributes: str, at: int, number: dict[tuple[int, str], int], around: list[int]) -> Open:
     """The element that a start tag opens under another one, as the at-th of the open ones."""
     marks, named, hidden = (_said(attributes) if len(attributes) < 1000 else _said.__wrapped__(attributes)) if attributes else ("", False, False)
     inline = tag in INLINE
     path = above.path if inline else number.setdefault((above.path, f"{tag}.{marks}"), len(number) + 1)
     unseen = tag in UNSEEN or tag in ASIDE or tag == "header" and not above.held
     noisy = tag in FORMS or (named and tag not in ("html", "body", "article", "main"))
+    if noisy:
+        around.append(above.noisy)
     p = at if tag == "p" else above.p if inline else -1
     closable = above.closable
     if tag in SPECIAL:
         closable = tuple((at if now < 0 else now) if tag in own else -1 if tag in limits else now for now, (_, (own, limits)) in zip(closable, CLOSING))
-    return Open(tag, path, above.unseen or hidden or unseen, above.noisy + noisy, above.linked or tag == "a", above.held or tag in HOLDERS,
-                above.heading if inline else len(tag) == 2 and tag[0] == "h" and tag[1] in "123456", above.run or (path if tag in LISTS else 0), p, closable)
+    return Open(tag, path, above.unseen or hidden or unseen, len(around) - 1 if noisy else above.noisy, above.linked or tag == "a", above.held or tag in HOLDERS,
+                above.heading if inline else int(tag[1]) if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" else 0, above.run or (path if tag in LISTS else 0), p, closable)
 
 
 def nodes(html: str) -> list[Node]:
@@ -126,6 +130,8 @@ def nodes(html: str) -> list[Node]:
     stack: list[Open] = [ROOT]
     count: Counter[str] = Counter()  # of open elements, by tag
     number: dict[tuple[int, str], int] = {}  # of the paths
+    around = [0]  # of each element that names itself no main text, the one around it; 0 is none
+    titled: set[int] = set()  # those right around a title, article or main element
     block, at, end = 0, 0, len(html)
 
     def close(to: int) -> None:
@@ -173,8 +179,27 @@ def nodes(html: str) -> list[Node]:
         if tag in VOID or m[3].endswith("/") and tag not in INLINE and tag not in CLOSE_P:
             continue
         count[tag] += 1
-        stack.append(_pushed(stack[-1], tag, m[3], len(stack), number))
-    return out
+        stack.append(_pushed(stack[-1], tag, m[3], len(stack), number, around))
+        if tag == "h1" or tag in HOLDERS:
+            titled.add(stack[-1].noisy)
+    return _levelled(out, around, titled)
+
+
+def _levelled(page: list[Node], around: list[int], titled: set[int]) -> list[Node]:
+    """The nodes with the count of the elements around them that name themselves no main text, but for those that hold it."""
+    if len(around) > 1:
+        text, holds = [0] * len(around), [i in titled for i in range(len(around))]
+        for x in page:
+            text[x.noisy] += len(x.text)
+        for i in range(len(around) - 1, 0, -1):
+            text[around[i]] += text[i]
+            holds[around[i]] |= holds[i]
+        level = [0] * len(around)
+        for i in range(1, len(around)):
+            level[i] = level[around[i]] + (not holds[i] or 2 * text[i] < text[0])
+        for x in page:
+            x.noisy = level[x.noisy]
+    return page
 
 
 KINDS = {tag: i for i, tag in enumerate(CLOSES)}
@@ -204,13 +229,13 @@ def rescued(page: list[Node], over: np.ndarray, least: int = 0) -> np.ndarray:
 
     least: how many elements of a telling name lie around all of the page's text.
     """
-    near = over | np.append(over[1:], False) | np.insert(over[:-1], 0, False)
-    out = np.zeros(len(page), bool)
+    before, after = np.insert(over[:-1], 0, False), np.append(over[1:], False)
+    near, out = over | before | after, np.zeros(len(page), bool)
     at = 0
     for (held, noisy, _), run in groupby(page, lambda x: (x.held, x.noisy, x.run)):
         nodes_ = list(run)
         own = slice(at, at := at + len(nodes_))
-        if held and noisy == least and near[own].any():
+        if noisy == least and near[own].any() and (held or before[own][0] and after[own][-1]):
             out[own] = 2 * sum(len(x.text.strip()) for x in nodes_ if x.linked) < sum(len(x.text.strip()) for x in nodes_)
     return out
 
@@ -228,7 +253,11 @@ def main_text(html: str | None, share: float = 0.2, prior: float = PRIOR) -> str
     if not over.any():
         over = np.array([not x.linked and x.noisy == least for x in page])
     chosen = over | rescued(page, over, least)
-    chosen |= np.array([x.heading and x.noisy == least for x in page]) & np.append(chosen[1:], False)
+    soon = np.zeros(len(page), bool)  # a chosen node comes within three
+    for step in (1, 2, 3):
+        soon[:-step] |= chosen[step:]
+    head = np.array([x.heading if x.noisy == least else 0 for x in page])
+    chosen |= (head > 0) & np.append(chosen[1:], False) | (head == 1) & soon
     blocks: dict[int, list[str]] = {}
     for x, good in zip(page, chosen):
         if good:
