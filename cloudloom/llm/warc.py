@@ -17,6 +17,7 @@ before others as the smallest and is written as `-`; an empty table writes no ar
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -55,7 +56,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def headers(data: bytes) -> dict[str, str]:
-    return dict(x.split(": ", 1) for x in data.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
+    """The named fields of a record, their names in lower case."""
+    fields = (x.partition(":") for x in data.decode("utf-8", "replace").split("\r\n")[1:])
+    return {name.strip().lower(): value.strip() for name, colon, value in fields if colon}
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], int, int, int]]:
@@ -64,7 +67,7 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], int, int, int]]:
     while at < len(data):
         body = data.index(CRLF * 2, at) + 4
         head = headers(data[at:body])
-        end = body + int(head["Content-Length"]) + 4
+        end = body + int(head["content-length"]) + 4
         yield head, at, body, end
         at = end
 
@@ -138,7 +141,7 @@ def streamed(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         at = 0
         while len(held) - at >= need and (body := held.find(CRLF * 2, at)) >= 0:
             head = headers(bytes(held[at : body + 4]))
-            need = body + 8 + int(head["Content-Length"]) - at
+            need = body + 8 + int(head["content-length"]) - at
             if len(held) - at < need:
                 break
             yield head, bytes(held[at : at + need])
@@ -168,7 +171,7 @@ def normalise(archives: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFr
 
                 for head, record_ in streamed(inflated(memoryview(archive.as_buffer()))):
                     members.append(zlib.compress(record_, LEVEL, 31))
-                    index.append({"record_id": head["WARC-Record-ID"], "at": at, "length": len(members[-1])})
+                    index.append({"record_id": head["warc-record-id"], "at": at, "length": len(members[-1])})
                     at, size = at + len(members[-1]), size + len(record_)
                     if size >= archive_bytes:
                         yield done()
@@ -182,12 +185,14 @@ def normalise(archives: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFr
 def read_back(archives: DataFrame) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of every record, by the sidecar index.
 
-    A response's length and digest are computed anew from its block, and must be those that its headers name.
+    A response's length and digest are computed anew from its block, and must be those that its headers name, if they do.
+    Records of other writers have no page_id, and any type that they say.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def number(urn: str | None) -> int | None:
-        return None if urn is None or urn == "<urn:page:->" else int(urn[len("<urn:page:") : -1])
+        found = re.fullmatch(r"<urn:page:(-?[0-9]+)>", urn or "")
+        return int(found[1]) if found else None
 
     @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,12 +202,15 @@ def read_back(archives: DataFrame) -> DataFrame:
                 for entry in index:
                     data = zlib.decompress(raw.slice(entry["at"], entry["length"]), 31)
                     ((head, _, body, end),) = records(data)
-                    kind, digest, size = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha256:"), int(head["X-Payload-Length"])
-                    if head["WARC-Record-ID"] != entry["record_id"]:
-                        raise ValueError(f"the index names {entry['record_id']} where {head['WARC-Record-ID']} is")
-                    if kind == "response" and (hashlib.sha256(block := data[body : end - 4]).hexdigest(), len(block)) != (digest, size):
-                        raise ValueError(f"{head['WARC-Record-ID']}: the payload is not the one that was written")
-                    rows.append((number(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), size, digest, kind, number(head.get("WARC-Refers-To"))))
+                    kind, named, size = head.get("warc-type"), head.get("warc-payload-digest", ""), head.get("x-payload-length")
+                    if head["warc-record-id"] != entry["record_id"]:
+                        raise ValueError(f"the index names {entry['record_id']} where {head['warc-record-id']} is")
+                    block = data[body : end - 4]
+                    own = (hashlib.sha256(block).hexdigest(), len(block))
+                    told = (named.removeprefix("sha256:") if named.startswith("sha256:") else own[0], own[1] if size is None else int(size))
+                    if kind != "revisit" and own != told:
+                        raise ValueError(f"{head['warc-record-id']}: the payload is not the one that was written")
+                    rows.append((number(head["warc-record-id"]), head.get("warc-target-uri"), told[1], told[0], kind, number(head.get("warc-refers-to"))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return archives.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
