@@ -35,7 +35,7 @@ from .components import connected, contract
 LANES, TREES, DEPTH = 96, 16, 3
 MORE_TREES = 32  # trees that classes of crowded regions get besides
 WINDOW = 2048  # neighbours that meet in a crowded region
-SMALL_DOCS, SMALL_SHINGLES = 500, 1_000_000  # a candidate component, or two of its blocks, that one task settles
+SMALL_DOCS, SMALL_SHINGLES = 250, 1_000_000  # a candidate component, or two of its blocks, that one task settles
 SHARED = 32  # texts that all blocks of a large component share, about
 _U = np.uint64
 
@@ -273,6 +273,30 @@ def _settle(num: int, den: int):
 EDGES = "u long, v long"
 
 
+def _settled(rows: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
+    """Edges (u, v) within each group of rows(keys, cls, shingles); groups of like size are dealt evenly, in the order of their keys."""
+    settle = _settle(num, den)
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = np.stack([b.column(c).to_numpy() for c in keys])
+            cuts = [0, *(np.flatnonzero((np.diff(own) != 0).any(0)) + 1).tolist(), b.num_rows]
+            for a, z in zip(cuts, cuts[1:]):
+                if held and key != tuple(own[:, a].tolist()):
+                    yield from settle(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                key = tuple(own[:, a].tolist())
+                held.append(b.slice(a, z - a))
+        if held:
+            yield from settle(pa.Table.from_batches(held)).to_batches()
+
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, EDGES)
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(cls, shingles) of the texts of ids(rep, cls, print): one document's of each class."""
 
@@ -300,8 +324,7 @@ def _in_blocks(sets: DataFrame, crowds: DataFrame, num: int, den: int) -> DataFr
     shared = met.filter(F.pmod(F.xxhash64("cls", F.lit(1)), F.col("size")) < SHARED)
     spread = shared.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     columns = ["component", "block", "cls", "shingles"]
-    within = met.select(columns).unionByName(spread.select(columns)).groupBy("component", "block").applyInArrow(_settle(num, den), EDGES)
-    first = cut_lineage(within)
+    first = cut_lineage(_settled(met.select(columns).unionByName(spread.select(columns)), columns[:2], num, den))
     label = connected(first).withColumnRenamed("component", "label")
     labelled = cut_lineage(met.select("cls", "component").join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "component", F.coalesce("label", "cls").alias("label")))
     groups = labelled.groupBy("component", "label").agg(F.count("*").alias("c"))
@@ -314,8 +337,7 @@ def _in_blocks(sets: DataFrame, crowds: DataFrame, num: int, den: int) -> DataFr
     here = again.withColumn("room", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rooms") - 1)))
     outside = outside.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     columns = ["component", "block", "room", "cls", "shingles"]
-    across = here.select(columns).unionByName(outside.select(columns)).groupBy("component", "block", "room").applyInArrow(_settle(num, den), EDGES)
-    return first.unionByName(across)
+    return first.unionByName(_settled(here.select(columns).unionByName(outside.select(columns)), columns[:3], num, den))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
