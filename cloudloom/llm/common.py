@@ -127,18 +127,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 #: Bytes that are hashed at once.
 HASHED_BYTES = 1 << 18
-_BASE = _U(0x9E3779B97F4A7C15)  # odd, so its powers have inverses modulo 2**64
-_powers = np.ones((2, 1), np.uint64)
-
-
-def _power_table(n: int) -> np.ndarray:
-    """The powers of the base and of its inverse, n of each at least."""
-    global _powers
-    if _powers.shape[1] < n:
-        n = max(n, HASHED_BYTES + 1)
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.array([[1] + [int(x)] * (n - 1) for x in (_BASE, pow(int(_BASE), -1, 2**64))], np.uint64), axis=1)
-    return _powers
+#: A random value for each byte at each of 64 places of a word; further places multiply them by a factor of their block of 64.
+_PLACES = 64
+_VALUES = mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,19 +147,27 @@ def spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, lower: np.ndarray | None = LOWER) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: differences of prefix sums over runs of words, so no word is gathered on its own."""
-    codes = (np.arange(256) if lower is None else lower).astype(np.uint64) + _U(1)
+    """A 64-bit hash of each word's bytes: a sum of random values of its (place, byte) pairs, for runs of words at once.
+
+    The values are no powers of one base, so no pattern of bytes makes two words collide; equal hashes of different words
+    are as rare as chance makes them (2**-64 a pair). Who must not take one word for another compares bytes as well.
+    """
     out, i = np.zeros(len(starts), np.uint64), 0
     with np.errstate(over="ignore"):
         while i < len(starts):
             begin = starts[i]
             j = max(i + 1, int(np.searchsorted(stops, begin + HASHED_BYTES, "right")))
             n = int(stops[j - 1] - begin)
-            powers = _power_table(n + 1)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(codes[data[begin : begin + n]] * powers[0, :n], out=sums[1:])
             a, z = starts[i:j] - begin, stops[i:j] - begin
-            out[i:j] = (sums[z] - sums[a]) * powers[1, a] ^ ((z - a).astype(np.uint64) << _U(48))
+            place = np.arange(n) - np.repeat(a, np.diff(np.append(a, n)))
+            codes = data[begin : begin + n] if lower is None else lower[data[begin : begin + n]]
+            values = _VALUES.take((place & (_PLACES - 1)) << 8 | codes)
+            far = np.flatnonzero(place >= _PLACES)
+            if len(far):
+                values[far] *= mix((place[far] // _PLACES).astype(np.uint64)) | _U(1)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(values, out=sums[1:])
+            out[i:j] = sums[z] - sums[a] ^ ((z - a).astype(np.uint64) << _U(48))
             i = j
     return mix(out)
 

@@ -75,6 +75,8 @@ class TextIds:
         self.mark = next(((t["content"], t["id"]) for t in definition.get("added_tokens") or []), None)
         self.hash, self.first, self.count = (np.zeros(1 << SLOT_BITS, t) for t in (np.uint64, np.int64, np.int32))
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.at, self.size = (np.zeros(1 << SLOT_BITS, t) for t in (np.int64, np.int32))  # a word's bytes in text
+        self.text, self.text_used = np.zeros(1 << 16, np.uint8), 0
 
     def learn(self, words: list[str]) -> np.ndarray:
         """Appends the ids of words to ids; where each word's begin, and the end of the last."""
@@ -96,6 +98,28 @@ class TextIds:
         lengths = np.concatenate(lengths)
         return self.used - lengths.sum() + np.append(0, np.cumsum(lengths))
 
+    def differ(self, seen: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each word (at starts of seen, so many) differ from those remembered at `at` (own many)."""
+        out = own != sizes
+        same = np.flatnonzero(~out)
+        n = sizes[same].astype(np.int64)
+        ends = np.cumsum(n)
+        if len(same):
+            inner = np.arange(ends[-1]) - np.repeat(ends - n, n)
+            unequal = seen[inner + np.repeat(starts[same], n)] != self.text[inner + np.repeat(at[same], n)]
+            out[same] = np.add.reduceat(unequal, ends - n, dtype=np.int64) > 0
+        return out
+
+    def remember(self, seen: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Keeps the bytes of words; where each word's are."""
+        ends = np.cumsum(sizes, dtype=np.int64)
+        while self.text_used + ends[-1] > len(self.text):
+            self.text = np.append(self.text, np.zeros(len(self.text), np.uint8))
+        inner = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+        self.text[self.text_used : self.text_used + ends[-1]] = seen[inner + np.repeat(starts, sizes)]
+        self.text_used += int(ends[-1])
+        return self.text_used - ends[-1] + ends - sizes
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and end)."""
         if not self.wordwise:
@@ -106,18 +130,26 @@ class TextIds:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         raw = data.tobytes()
-        hashes = word_hashes(data, starts, stops, None if b"<|" in raw else LOWER) | _U(1)
-        if self.used > KEPT_IDS:
-            self.hash[:], self.used = 0, 0
+        lower = None if b"<|" in raw else LOWER
+        hashes, seen, sizes = word_hashes(data, starts, stops, lower) | _U(1), data if lower is None else lower[data], stops - starts
+        if self.used > KEPT_IDS or self.text_used > 8 * KEPT_IDS:
+            self.hash[:], self.used, self.text_used = 0, 0, 0
         slot = (hashes >> _U(64 - SLOT_BITS)).astype(np.int64)
         first, count = self.first[slot], self.count[slot]
-        missed = np.flatnonzero(self.hash[slot] != hashes)
+        known = self.hash[slot] == hashes
+        known[known] = ~self.differ(seen, starts[known], sizes[known], self.at[slot[known]], self.size[slot[known]])
+        missed = np.flatnonzero(~known)
         if len(missed):
+            words = [raw[a:z].decode("utf-8", "replace") for a, z in zip(starts[missed].tolist(), stops[missed].tolist())]
             fresh, at, inverse = np.unique(hashes[missed], return_index=True, return_inverse=True)
-            where = self.learn([raw[a:z].decode("utf-8", "replace") for a, z in zip(starts[missed[at]].tolist(), stops[missed[at]].tolist())])
-            own, lengths = slot[missed[at]], np.diff(where)
-            self.hash[own], self.first[own], self.count[own] = fresh, where[:-1], lengths
+            where = self.learn([words[k] for k in at])
+            own, lengths, kept = slot[missed[at]], np.diff(where), self.remember(seen, starts[missed[at]], sizes[missed[at]])
+            self.hash[own], self.first[own], self.count[own], self.at[own], self.size[own] = fresh, where[:-1], lengths, kept, sizes[missed[at]]
             first[missed], count[missed] = where[:-1][inverse], lengths[inverse]
+            odd = np.flatnonzero(self.differ(seen, starts[missed], sizes[missed], kept[inverse], sizes[missed[at]][inverse]))
+            if len(odd):  # other words of an equal hash
+                where = self.learn([words[k] for k in odd])
+                first[missed[odd]], count[missed[odd]] = where[:-1], np.diff(where)
         ends = np.cumsum(count, dtype=np.int64)
         ids = self.ids[np.arange(ends[-1]) + np.repeat(first - ends + count, count)]
         return ids, np.append(0, ends)[words_of]
