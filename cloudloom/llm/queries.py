@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, html_text, language_id, near_dup, packing, sharding, topk, toxicity, url_filter, warc, whitening
+from . import alignment, decontaminate, html_text, language_id, near_dup, packing, quality, sharding, topk, toxicity, url_filter, warc, whitening
 from .common import table
 from .labels import fold
 
@@ -72,6 +72,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("deviation", F.expr("try_cast(deviation as long)"))  # null where beyond a long
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model") -> DataFrame:
     import public_tokenizers
 
@@ -81,7 +87,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str, a: str = "byte_bpe_50k.json
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_near_dup, op4_decontaminate, op5_html_text, op6_topk, op7_sharding, op8_language_id, op9_packing, op10_warc, op11_whitening, op13_alignment)}
+    return {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_near_dup, op4_decontaminate, op5_html_text, op6_topk, op7_sharding, op8_language_id, op9_packing, op10_warc, op11_whitening, op12_quality, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -761,3 +761,28 @@ def test_pipeline_on_no_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+# identity of words
+
+
+def test_words_of_patterns_have_hashes_of_their_own():
+    """A Thue-Morse word and its complement collide under every polynomial modulo a power of two; shingles and ids must tell them apart."""
+    from cloudloom.llm import common
+
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    other = word.translate(str.maketrans("ab", "ba"))
+    raw = f"{word} {other} {word.upper()} {word[:64]} {other[:64]}".encode()
+    data = np.frombuffer(raw, np.uint8)
+    starts, stops, _ = common.spans(data, np.array([0, len(raw)]))
+    hashes = common.word_hashes(data, starts, stops).tolist()
+    assert hashes[0] == hashes[2] and len(set(hashes)) == 4
+
+
+def test_ids_of_words_with_equal_hashes(monkeypatch):
+    """Even if all hashes were equal, a word never gets another word's ids."""
+    monkeypatch.setattr(packing, "word_hashes", lambda data, starts, stops, lower=None: np.full(len(starts), 99, np.uint64))
+    ids = packing.TextIds(public_tokenizers.path("word_bpe_49k.json"))
+    for text_ in ("red green red blue", "blue red, red <|x|> green", "", "green green grey"):
+        got, _ = ids.encode(np.frombuffer(text_.encode(), np.uint8), np.array([0, len(text_)]))
+        assert got.tolist() == ids.tokenizer.encode(text_, add_special_tokens=False).ids
