@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import atlas, codec, container, frames, normals, refine, rounds, voxel, weave
 from ..operators.maps import coloured, occupancy_blocks, on_map
 from ..params import Parameters
+from ..sources import v3c_file
 
 
 def segmented(points: DataFrame, p: Parameters) -> DataFrame:
@@ -115,12 +116,6 @@ def all_units(tables: dict[str, DataFrame], p: Parameters, coder: codec.MapCodec
     return tables["units"].unionByName(make(tables["maps"], p.gof_size, rules.pop("width"), rules.pop("height"), rules.pop("block"), coder, **rules))
 
 
-def write_file(units: DataFrame, path: str) -> None:
-    """All units in order as one file; the file is put together where this is called."""
-    rows = units.orderBy("gof_id", "unit_seq").select("payload").toLocalIterator()
-    with open(path, "wb") as f:
-        f.write(container.file_bytes([]))
-        for r in rows:
-            f.write(len(r["payload"]).to_bytes(container.FILE_PRECISION, "big") + bytes(r["payload"]))
-
-
+def write_file(units: DataFrame, path: str) -> int:
+    """All units in order as one file, written in parallel where tasks can write into it, else in parts; its bytes."""
+    return v3c_file.write(units, path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import kernels, queries
+from .plans import kernels, queries, streams
 
-QUERIES = queries.QUERIES | kernels.QUERIES
-ORACLES = queries.ORACLES | kernels.ORACLES
+QUERIES = queries.QUERIES | kernels.QUERIES | streams.QUERIES
+ORACLES = queries.ORACLES | kernels.ORACLES | streams.ORACLES

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # PLY's scalar types as numpy's.
@@ -71,6 +71,11 @@ def cloud_of(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def number(path: str) -> Column:
+    """The digits before `.ply`, else 0; a folder of that name counts as a file."""
+    return F.coalesce(F.regexp_extract(path, r"([0-9]+)\.ply(?:/[^/]*)?$", 1).try_cast("int"), F.lit(0))
+
+
 def read(spark: SparkSession, paths: str | list[str], depth: int | None = None) -> DataFrame:
     """points(frame_id, pt_idx, x, y, z, r, g, b): a frame for each file, numbered by the digits before `.ply`.
 
@@ -86,7 +91,7 @@ def read(spark: SparkSession, paths: str | list[str], depth: int | None = None)
                 n = len(c["x"])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, frame, np.int32)), pa.array(np.arange(n, dtype=np.int32)), *(pa.array(c[k]) for k in "xyzrgb")], names=["frame_id", "pt_idx", *"xyzrgb"])
 
-    files = spark.read.format("binaryFile").load(paths).select(F.coalesce(F.regexp_extract("path", r"([0-9]+)\.ply$", 1).try_cast("int"), F.lit(0)).alias("frame_id"), "content")
+    files = spark.read.format("binaryFile").load(paths).select(number("path").alias("frame_id"), "content")
     points = files.mapInArrow(decode, "frame_id int, pt_idx int, x int, y int, z int, r int, g int, b int")
     return points if depth is None else points.filter(" and ".join(f"shiftright({c}, {depth}) = 0" for c in "xyz"))
 
@@ -99,6 +104,18 @@ def lines(points: DataFrame) -> DataFrame:
     return bodies.select("frame_id", F.concat(head, F.array_join(F.col("rows.line"), "\n"), F.lit("\n")).alias("value"))
 
 
+def _files(points: DataFrame) -> DataFrame:
+    """lines() for a text sink, which adds the last line's end."""
+    return lines(points).withColumn("value", F.expr("left(value, char_length(value) - 1)"))
+
+
 def write(points: DataFrame, folder: str) -> None:
     """One ASCII PLY file a frame, in folders frame_id=N."""
-    lines(points).write.partitionBy("frame_id").option("lineSep", "").mode("overwrite").text(folder)
+    _files(points).write.partitionBy("frame_id").mode("overwrite").text(folder)
+
+
+def write_numbered(points: DataFrame, folder: str, prefix: str = "frame_") -> str:
+    """One ASCII PLY file a frame, each in a folder that is named like a file; the pattern of their names."""
+    named = _files(points).select(F.format_string(f"{prefix}%04d.ply", "frame_id").alias("file"), "value")
+    named.write.partitionBy("file").mode("overwrite").text(folder)
+    return f"{folder}/file={prefix}%04d.ply"
