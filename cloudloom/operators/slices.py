@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def levels(points: DataFrame) -> DataFrame:
-    """(frame_id, axis, level, pt_idx, a, b, place): each point in its slice across each axis, ordered within it."""
+    """(frame_id, axis, level, pt_idx, a, b, place): each point in its slice across each axis, ordered within it.
+
+    a and b: y and z across x, x and z across y, y and x across z; with them a chain that keeps to the right of its steps faces outwards.
+    """
     rows = None
-    for axis, (n, a, b) in enumerate(("xyz", "yxz", "zxy")):
+    for axis, (n, a, b) in enumerate(("xyz", "yxz", "zyx")):
         own = points.select("frame_id", F.lit(axis).alias("axis"), F.col(n).alias("level"), "pt_idx", F.col(a).alias("a"), F.col(b).alias("b"))
         rows = own if rows is None else rows.unionByName(own)
     order = Window.partitionBy("frame_id", "axis", "level").orderBy("a", "b", "pt_idx")

@@ -1,14 +1,11 @@
 """Planes without normals: each slice is woven into chains of neighbouring points, whose steps tell the plane.
 
-The next point of a chain is the nearest one within reach that turns least to the left of the last step; points that
-are about as near become children of the point they were seen from. This is a rule of its own in place of a fixed
-search table, so chains can differ from a table's where several points are equally near.
+From a point of a chain the next one is looked for in an order of places around it that depends on the last step, so that a chain keeps
+to the outside of what it goes around; points that are about as near become children of the point they were seen from.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,74 +15,124 @@ from ..functions.scalar import SLICE_PLANES
 from .slices import levels
 
 REACH = 3
+# The orders in which places are looked at after a step upwards or up to the left. Rows go from a + 3 down to a - 3, columns from
+# b - 3 to b + 3; a dot is a place that is not looked at. The orders after other steps are these, turned.
+ORDERS = """
+ .  . 19 13 14  .  .    .  . 14  8  9  .  .    .  . 15  9 10  .  .
+ . 20 12  7  8 11  .    . 15  7  4  5  6  .    . 16  8  4  6  7  .
+23 18  6  5  2  4 10   18 13  3  2  1  .  .   19 14  3  2  1  5  .
+22 17 15  .  1  3  9   17 12 10  .  .  .  .   18 13 11  .  .  .  .
+26 21 16  .  .  .  .   22 16 11 19  .  .  .   23 17 12 20  .  .  .
+ . 27 25 24  .  .  .    . 23 21 20 24 28  .    . 24 22 21  .  .  .
+ .  . 29 28  .  .  .    .  . 26 25 27  .  .    .  . 27 26 28  .  .
+
+ .  . 16 10 11  .  .    .  . 13  7  8  .  .    .  .  8  6  7  .  .
+ . 17  9  4  6  8  .    . 14  6  4  5  .  .    . 12  5  4  .  .  .
+20 15  3  2  1  5  7   17 12  2  1  .  .  .   15  9  2  1  .  .  .
+19 14 12  .  .  .  .   16 11  3  .  .  .  .   14 11  3  .  .  .  .
+24 18 13 21  .  .  .   21 15  9 10 18  .  .   20 13 10 16 17 25  .
+ . 25 23 22  .  .  .    . 22 20 19 23 27  .    . 21 19 18 22 26  .
+ .  . 27 26  .  .  .    .  . 25 24 26  .  .    .  . 24 23 27  .  .
+"""
+# Which of the six is for a step up (any number of rows) or to the upper left.
+BASE = {(1, 0): 0, (2, 0): 0, (3, 0): 0, (1, -1): 1, (2, -2): 1, (2, -1): 2, (3, -1): 3, (1, -2): 4, (1, -3): 5}
+# Rings of places by |a| (rows) and |b| (columns), 0 to 3.
+RINGS = ((0, 1, 2, 5), (1, 1, 3, 6), (2, 3, 4, 7), (5, 6, 7, 8))
+
+
+def ring(step: tuple[int, int]) -> int:
+    return RINGS[abs(step[0])][abs(step[1])]
+
+
+def _tables() -> dict[tuple[int, int], dict[tuple[int, int], int]]:
+    """{step: {place: rank}} for every step, places in the order of their ranks: the six orders in each of four turns."""
+    blocks = [[line.split() for line in b.splitlines()] for b in ORDERS.strip("\n").split("\n\n")]
+    matrices = [np.array([[0 if c == "." else int(c) for c in line[7 * i : 7 * i + 7]] for line in block]) for block in blocks for i in range(3)]
+    out = {}
+    for step, base in BASE.items():
+        matrix = matrices[base]
+        for _ in range(4):
+            ranks = {(REACH - i, j - REACH): int(matrix[i, j]) for i, j in np.argwhere(matrix)}
+            out[step] = dict(sorted(ranks.items(), key=lambda x: x[1]))
+            step, matrix = (step[1], -step[0]), np.rot90(matrix)
+    return out
+
 
+_RANKS = _tables()
+#: What is looked at after a step: an order ends before the first rank that no place has.
+_LISTS = {step: [(ring(place), *place) for n, (place, rank) in enumerate(ranks.items(), 1) if n == rank] for step, ranks in _RANKS.items()}
 
-def _order(step: tuple[int, int]) -> list[tuple[int, int, int]]:
-    """Offsets of a 7 x 7 window by ring, then by the turn from the step, as (distance, da, db)."""
-    back = math.atan2(-step[1], -step[0])
-    out = []
-    for a in range(-REACH, REACH + 1):
-        for b in range(-REACH, REACH + 1):
-            d = 1 if max(abs(a), abs(b)) == 1 else a * a + b * b
-            if 0 < a * a + b * b <= 10:
-                out.append((d, (math.atan2(b, a) - back) % (2 * math.pi), a, b))
-    return [(d, a, b) for d, _, a, b in sorted(out)]
 
+def closes(home: tuple[int, int], step: tuple[int, int], move: tuple[int, int]) -> bool:
+    """Whether a chain ends here: its start (at home from here) is nearer than the next point (at move), or as near and looked at no later.
 
-_ORDERS = {(a, b): _order((a, b)) for a in range(-REACH, REACH + 1) for b in range(-REACH, REACH + 1) if a or b}
+    The start's nearness is its squared distance (1 for a diagonal neighbour), the next point's its ring. A start that lies just where
+    the last step came from ends nothing when both are as near.
+    """
+    near = 1 if abs(home[0]) == abs(home[1]) == 1 else home[0] ** 2 + home[1] ** 2
+    if near != ring(move):
+        return near < ring(move)
+    if home == (-step[0], -step[1]):
+        return False
+    return _RANKS[step].get(home, 0) <= _RANKS[step][move]
 
 
 def weave(a: np.ndarray, b: np.ndarray, axis: int) -> tuple[list[int | None], list[int | None]]:
-    """(plane, parent) of each point of a slice, given in slice order; a point has one of both."""
+    """(plane, parent) of each point of a slice, given in slice order; a point has one of both.
+
+    A point at the place of another takes that one as its parent.
+    """
     planes, parents = [None] * len(a), [None] * len(a)
-    free = {(x, y): i for i, (x, y) in reversed(list(enumerate(zip(a.tolist(), b.tolist()))))}
     spot = list(zip(a.tolist(), b.tolist()))
+    free = {at: i for i, at in reversed(list(enumerate(spot)))}
+    first = dict(free)
+    taken = [False] * len(a)
 
     def facing(step: tuple[int, int]) -> int:
         dots = (step[1], -step[0], -step[1], step[0])
         return SLICE_PLANES[axis][dots.index(max(dots))]
 
     for start in range(len(a)):
-        if planes[start] is not None or parents[start] is not None or free.get(spot[start]) != start:
-            if planes[start] is None and parents[start] is None:
-                parents[start] = free.get(spot[start], start) if free.get(spot[start]) is not None else None
-                if parents[start] is None:
-                    planes[start] = 0
+        if taken[start]:
+            continue
+        taken[start] = True
+        if first[spot[start]] != start:
+            parents[start] = first[spot[start]]
             continue
-        del free[spot[start]]
-        chain, steps, here, step, seen = [start], [], start, (1, 0), []
+        free.pop(spot[start], None)
+        chain, steps, seen = [start], [], []
+        here, step, home = start, (1, 0), None
         while True:
-            found, near = None, None
-            for d, da, db in _ORDERS[step]:
-                other = free.get((spot[here][0] + da, spot[here][1] + db))
+            found = None
+            x, y = spot[here]
+            for d, da, db in _LISTS[step]:
+                at = (x + da, y + db)
+                other = free.get(at)
                 if other is None:
                     continue
                 if found is None:
                     found, near, move = other, d, (da, db)
-                elif d <= near + 1 and parents[other] is None:
-                    parents[other] = here
-                    seen.append(other)
+                    del free[at]
+                elif d <= near + 1 and not taken[other]:
+                    taken[other], parents[other] = True, here
+                    seen.append(at)
             if found is None:
                 break
-            home = (spot[start][0] - spot[here][0], spot[start][1] - spot[here][1])
-            ring = 1 if max(map(abs, home)) == 1 else home[0] ** 2 + home[1] ** 2
-            del free[spot[found]]
-            if len(chain) > 1 and home != (-step[0], -step[1]) and ring <= near:
-                if parents[found] is None:
-                    parents[found] = here
+            if home is not None and closes(home, step, move):
+                if not taken[found]:
+                    taken[found], parents[found] = True, here
                 break
-            parents[found] = None
-            steps.append(facing(move) if not steps or abs(move[0]) != abs(move[1]) else None)
-            here, step = found, move
+            steps.append(facing(move) if home is None or abs(move[0]) != abs(move[1]) else None)
+            taken[found], parents[found] = True, None
             chain.append(found)
-        for i in seen:
-            if parents[i] is not None and free.get(spot[i]) == i:
-                del free[spot[i]]
-        if not steps:
+            here, step = found, move
+            home = (spot[start][0] - spot[here][0], spot[start][1] - spot[here][1])
+        for at in seen:
+            free.pop(at, None)
+        if home is None:
             steps = [0]
         else:
-            home = (spot[start][0] - spot[here][0], spot[start][1] - spot[here][1])
-            steps.append(steps[-1] if steps[-1] is not None else facing(home if any(home) else (1, 0)))
+            steps.append(steps[-1] if steps[-1] is not None else facing(home))
         known = [i for i, s in enumerate(steps) if s is not None]
         for low, high in zip(known, known[1:]):
             half = (high - low - 1) // 2 + 1

@@ -11,6 +11,7 @@ _VALUES = {
     "gof_size": (16, 8, 16, 16, 16, 16),
     "voxel_depth": (8, 9, 9, 10, 9, 10),
     "normal_neighbours": (6, 12, 6, 12, 8, 9),
+    "diagonal_steps": (4, 8, 4, 8, 8, 13),
     "refine_depth": (7, 8, 8, 9, 6, 10),
     "refine_reach": (2, 9, 2, 9, 5, 9),
     "refine_weight": (3.5, 3.0, 3.5, 3.0, 3.5, 3.5),
@@ -37,6 +38,8 @@ class Parameters:
     gof_size: int = 16
     voxel_depth: int = 9
     normal_neighbours: int = 6
+    diagonal_steps: int = 4
+    carried_turns: bool = False
     orientation_neighbours: int = 4
     refine_depth: int = 8
     refine_reach: int = 2
@@ -156,6 +159,7 @@ def checked(p: Parameters) -> Parameters:
         "the map's sides are multiples of 8 blocks": p.map_width % (8 * p.block) == p.map_height % (8 * p.block) == 0,
         "reaches are 1 to 9": all(1 <= r <= 9 for r in (p.refine_reach, p.sliced_reach)),
         "thresholds lie within their blocks": 1 <= p.threshold2 <= 4 and 1 <= p.threshold4 <= 16,
+        "diagonal_steps is 1 or more": p.diagonal_steps >= 1,
         "depths fit": p.refine_depth <= p.voxel_depth <= p.input_depth,
         "fill is known": p.fill in ("patchExtension", "bbpe", "pushPull", "none"),
     }

@@ -9,9 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import SLICE_PLANES
 from ..operators import atlas, color, fill, normals, refine, rounds, weave
+from ..operators.neighbors import nearest
 from ..params import Parameters
 from ..operators.patches import projected
+from ..operators.slices import levels
 from . import derived, pipeline
 from .queries import AXES
 
@@ -151,6 +154,45 @@ def normals_rules(pc: DataFrame) -> DataFrame:
     return rows.groupBy("frame_id").agg(F.count("*").alias("points"), F.count_if(F.abs(sum(c * c for c in n) - 1) > 1e-9).cast("int").alias("long"), F.count_if(F.element_at(axes, F.col("plane") + 1) < F.array_max(axes) - 1e-9).cast("int").alias("away"))
 
 
+@query(sql="select frame_id, count(*) as points, 0 as away from pc group by frame_id")
+def bounded_normals(pc: DataFrame) -> DataFrame:
+    """The bounded diagonaliser finds the exact normals where it has looks enough and the two least spreads are apart."""
+    keys = ["frame_id", "pt_idx"]
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("pt_idx", ignore_index=True)
+        xyz = frame[["x", "y", "z"]].to_numpy(np.int64)
+        found = nearest(xyz, 12)
+        near = xyz[np.where(found < 0, found[:, :1], found)].astype(float)
+        near -= near.mean(1, keepdims=True)
+        spread = np.linalg.eigvalsh(np.einsum("nki,nkj->nij", near, near) / 11)
+        same = np.abs((normals.principal_normals(xyz, found) * normals.principal_normals(xyz, found, 40, carried=False)).sum(1))
+        return frame[keys].assign(away=(same < 1 - 1e-6) & (spread[:, 1] - spread[:, 0] > 1e-3))
+
+    rows = pc.select(*keys, "x", "y", "z").groupBy("frame_id").applyInPandas(work, "frame_id int, pt_idx int, away boolean")
+    return rows.groupBy("frame_id").agg(F.count("*").alias("points"), F.count_if("away").cast("int").alias("away"))
+
+
+@query(sql="select frame_id, axis, count(*) as points, 0 as twice, 0 as idle, 0 as far, 0 as childless, 0 as foreign from pc, (values (0), (1), (2)) a(axis) group by all")
+def woven_rules(pc: DataFrame) -> DataFrame:
+    """Every point of a slice has a plane or a parent, not both; parents have planes and lie in reach in the same slice; planes are those that the axis can tell."""
+    rows, places = weave.woven(pc), levels(pc).select("frame_id", "axis", "pt_idx", "level", "a", "b")
+    own = rows.join(places, ["frame_id", "axis", "pt_idx"])
+    above = own.select("frame_id", "axis", *(F.col(c).alias(f"up_{c}") for c in ("pt_idx", "plane", "level", "a", "b")))
+    both = own.join(above, (own["frame_id"] == above["frame_id"]) & (own["axis"] == above["axis"]) & (own["parent"] == above["up_pt_idx"]), "left").select(own["*"], "up_pt_idx", "up_plane", "up_level", "up_a", "up_b")
+    child, reach = F.col("parent").isNotNull(), F.pow(F.col("a") - F.col("up_a"), 2) + F.pow(F.col("b") - F.col("up_b"), 2)
+    told = F.element_at(F.array(*(F.array(*map(F.lit, SLICE_PLANES[i])) for i in range(3))), F.col("axis") + 1)
+    count = lambda c, name: F.count_if(c).cast("int").alias(name)
+    return both.groupBy("frame_id", "axis").agg(
+        F.count("*").alias("points"),
+        count(child & F.col("plane").isNotNull(), "twice"),
+        count(~child & F.col("plane").isNull(), "idle"),
+        count(child & ((F.col("up_level") != F.col("level")) | (reach > 10)), "far"),
+        count(child & F.col("up_plane").isNull(), "childless"),
+        count(F.col("plane").isNotNull() & (F.col("plane") != 0) & ~F.array_contains(told, F.col("plane")), "foreign"),
+    )
+
+
 @query(thick=True, sql="select frame_id, count(*) as points, 0 as twice, 0 as thick, 0 as strangers, 0 as deep from pc group by frame_id")
 def patch_rules(pc: DataFrame) -> DataFrame:
     """No pixel of a patch twice, layers at most four apart, both layers' points where their pixel says, depths of eight bits."""

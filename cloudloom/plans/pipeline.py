@@ -43,7 +43,7 @@ def _planes(points: DataFrame, p: Parameters) -> DataFrame:
             fine = refine.refined(own, *rules, use_normals=False).withColumnRenamed("plane", "fine")
             plane = weave.settled(votes.join(fine, keys, "left").withColumn("ppi", F.coalesce("fine", "ppi")).drop("fine"))
     else:
-        found = normals.with_normals(points, p.normal_neighbours, p.orientation_neighbours)
+        found = normals.with_normals(points, p.normal_neighbours, p.orientation_neighbours, p.diagonal_steps, p.carried_turns)
         plane = refine.refined(points.join(found, keys), shift, p.refine_reach, p.indirect_reach + 1, p.refine_weight, p.refine_sweeps)
     return plane.select(*keys, F.col("plane").cast("int").alias("ppi"))
 

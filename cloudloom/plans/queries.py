@@ -508,7 +508,7 @@ def patch_borders(pc: DataFrame) -> DataFrame:
     return maps.borders(patches.projected(pc), PATCH)
 
 
-@query("""with s as (select frame_id, 0 as axis, x as level, y as a, z as b, pt_idx from pc union all select frame_id, 1, y, x, z, pt_idx from pc union all select frame_id, 2, z, x, y, pt_idx from pc)
+@query("""with s as (select frame_id, 0 as axis, x as level, y as a, z as b, pt_idx from pc union all select frame_id, 1, y, x, z, pt_idx from pc union all select frame_id, 2, z, y, x, pt_idx from pc)
 select *, row_number() over (partition by frame_id, axis, level order by a, b, pt_idx) - 1 as place from s""")
 def slice_levels(pc: DataFrame) -> DataFrame:
     return slices.levels(pc)

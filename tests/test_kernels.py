@@ -166,6 +166,79 @@ def test_container_round_trip():
     assert container.nal("ASPS", b"")[0] >> 1 == 36
 
 
+def woven(points, axis=2):
+    return weave.weave(*map(np.array, zip(*points)), axis)
+
+
+def test_weaving_of_slices_worked_by_hand():
+    """A chain keeps to the right of its steps, so it goes round a ring; planes are those that its steps face."""
+    ring = [(a, b) for a in range(3) for b in range(3) if (a, b) != (1, 1)]
+    planes, parents = woven(ring)
+    assert dict(zip(ring, planes)) == {(0, 0): 4, (0, 1): 4, (0, 2): 0, (1, 2): 0, (2, 2): 1, (2, 1): 1, (2, 0): 3, (1, 0): 3} and not any(p is not None for p in parents)
+    assert woven([(0, 0), (0, 3)]) == ([4, 4], [None, None])  # three apart is in reach
+    assert woven([(0, 0), (0, 4)]) == ([0, 0], [None, None])  # four is not: two chains of one point
+    assert woven([(0, 0), (1, 1), (2, 2)]) == ([4, 4, 3], [None] * 3)  # a diagonal step takes the plane before it, the last point looks home
+    # (0, 1) and (1, 0) are as near: the first looked at goes on, the other is a child until the chain comes back for it
+    assert woven([(0, 0), (0, 1), (1, 0)])[1] == [None, None, None]
+    # three points in a row, seen from the middle of a chain that ends: (5, 6) stays a child of (5, 5)
+    assert woven([(5, 5), (5, 5), (5, 6)])[1] == [None, 0, None]
+
+
+def test_orders_of_places():
+    assert len(weave._LISTS) == 28 + 4 + 4 and len({id(v) for v in weave._LISTS.values()}) == 36
+    up = [place for _, *place in weave._LISTS[1, 0]]
+    assert len(up) == 29 and up[:5] == [[0, 1], [1, 1], [0, 2], [1, 2], [1, 0]]
+    right = [place for _, *place in weave._LISTS[0, 2]]
+    assert right[:5] == [[-1, 0], [-1, 1], [-2, 0], [-2, 1], [0, 1]]
+    assert [len(weave._LISTS[s]) for s in ((1, -1), (2, -1), (3, -1), (1, -2), (1, -3))] == [28, 24, 27, 27, 27]  # the third order has no place 25
+    for step, places in weave._LISTS.items():
+        assert all(0 < a * a + b * b <= 10 and d == weave.ring((a, b)) for d, a, b in places)
+
+
+@pytest.mark.parametrize(
+    ("home", "step", "move", "ends"),
+    [((0, 1), (0, 1), (0, 2), True), ((0, 2), (1, 0), (0, 1), False), ((0, -1), (0, 1), (0, 1), False), ((1, 0), (1, 0), (1, 1), False), ((1, 1), (1, 0), (1, 0), True), ((-1, 0), (0, 1), (0, 1), True), ((-1, 1), (1, 0), (0, 1), True), ((1, 2), (1, 0), (0, 3), True), ((0, 3), (1, 0), (2, 2), False)],
+)
+def test_when_a_chain_ends(home, step, move, ends):
+    assert weave.closes(home, step, move) == ends
+
+
+def test_diagonaliser_with_a_step_limit():
+    r = np.random.default_rng(5)
+    m = r.standard_normal((500, 3, 3))
+    a = m @ m.transpose(0, 2, 1)
+    values, vectors = np.linalg.eigh(a)
+    found, axes = normals.diagonalised(a, 30, carried=False)
+    order = np.argsort(found, 1)
+    assert np.allclose(np.take_along_axis(found, order, 1), values)
+    same = np.abs(np.einsum("nij,nij->nj", np.take_along_axis(axes, order[:, None], 2), vectors))
+    apart = np.diff(values, axis=1).min(1) > 0.05
+    assert np.allclose(same[apart], 1, atol=1e-4)
+    few = normals.diagonalised(a, 3, carried=False)[1]
+    assert np.abs(np.abs(np.einsum("nij,nij->nj", few, axes)) - 1).max() > 0.01  # three looks are not enough for all
+    for steps in (1, 4, 13):
+        for carried in (True, False):
+            found, axes = normals.diagonalised(a, steps, carried)
+            assert np.allclose(axes @ axes.transpose(0, 2, 1), np.eye(3)) and np.allclose(found.sum(1), np.trace(a, axis1=1, axis2=2))
+    assert np.allclose(normals.diagonalised(a, 1)[1], np.eye(3))  # one look and no turn
+    # worked by hand: one element off the diagonal, equal ones beside it. The turn of 45 degrees has the half angle's sine s and cosine c; as the
+    # product renews z first, w becomes c - s * s
+    one = np.array([[[2.0, 1, 0], [1, 2, 0], [0, 0, 5]]])
+    s_, c_ = np.sin(np.pi / 8), np.cos(np.pi / 8)
+    angle = 2 * np.arctan2(s_, c_ - s_ * s_)
+    found, axes = normals.diagonalised(one, 2)
+    assert np.allclose(found[0], [2 + np.sin(2 * angle), 2 - np.sin(2 * angle), 5]) and np.allclose(axes[0, :2, 0], [np.cos(angle), np.sin(angle)])
+    assert np.allclose(sorted(normals.diagonalised(one, 30, carried=False)[0][0]), [1, 3, 5])
+    plane = np.array([(x, y, 5) for x in range(9) for y in range(9)])
+    assert np.allclose(np.abs(normals.principal_normals(plane, nearest(plane, 6), 4)[:, 2]), 1)
+
+
+def test_step_limits_of_the_presets():
+    assert [params.resolve(d, n).diagonal_steps for d in (9, 10, 11) for n in ("fast", "slow")] == [4, 8, 4, 8, 8, 13]
+    with pytest.raises(ValueError, match="diagonal_steps"):
+        params.resolve(overrides="diagonal_steps=0")
+
+
 def test_weaving_gives_every_point_a_plane_or_a_parent():
     ring = sorted({(int(20 + 12 * np.cos(t)), int(20 + 12 * np.sin(t))) for t in np.linspace(0, 6.3, 300)})
     a, b = map(np.array, zip(*ring))
