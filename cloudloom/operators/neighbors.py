@@ -75,11 +75,11 @@ def unscaled_plane(weight: float, has_normal: Column) -> Column:
     return F.when(F.col("nn") == 0, 0).otherwise(argmax_first(F.array(*scores)))
 
 
-def nearest(xyz: np.ndarray, k: int, reach: int = 36) -> np.ndarray:
+def nearest(xyz: np.ndarray, k: int, reach: int = 36, asked: np.ndarray | None = None) -> np.ndarray:
     """Indices of the k nearest points of each, itself included; ties to the smaller index; -1 where there are fewer.
 
     Shells of the stencil are looked up in the sorted cells until all points have k; the few that are too isolated
-    for that are compared with all.
+    for that are compared with all. asked: the points whose neighbours are wanted (else all); the others' rows are -1.
     """
     n, k_found = len(xyz), min(k, len(xyz))
     out = np.full((n, k), -1, np.int64)
@@ -90,7 +90,7 @@ def nearest(xyz: np.ndarray, k: int, reach: int = 36) -> np.ndarray:
     keys = key(xyz.astype(np.int64))
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
-    todo, have = np.arange(n), np.zeros(n, np.int64)
+    todo, have = np.arange(n) if asked is None else asked, np.zeros(n, np.int64)
     offsets = np.array(stencil(reach, True))
     lengths = (offsets**2).sum(1)
     for d in np.unique(lengths):

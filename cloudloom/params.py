@@ -41,6 +41,7 @@ class Parameters:
     diagonal_steps: int = 4
     carried_turns: bool = False
     orientation_neighbours: int = 4
+    tile: int = 0
     refine_depth: int = 8
     refine_reach: int = 2
     refine_weight: float = 3.5
@@ -160,6 +161,7 @@ def checked(p: Parameters) -> Parameters:
         "reaches are 1 to 9": all(1 <= r <= 9 for r in (p.refine_reach, p.sliced_reach)),
         "thresholds lie within their blocks": 1 <= p.threshold2 <= 4 and 1 <= p.threshold4 <= 16,
         "diagonal_steps is 1 or more": p.diagonal_steps >= 1,
+        "tile is 0 (a frame is a task) or 8 and more": p.tile == 0 or p.tile >= 8,
         "depths fit": p.refine_depth <= p.voxel_depth <= p.input_depth,
         "fill is known": p.fill in ("patchExtension", "bbpe", "pushPull", "none"),
     }

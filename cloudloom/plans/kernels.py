@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import SLICE_PLANES
-from ..operators import atlas, color, fill, normals, refine, rounds, weave
+from ..operators import atlas, color, fill, normals, refine, rounds, tiles, weave
 from ..operators.neighbors import nearest
 from ..params import Parameters
 from ..operators.patches import projected
@@ -173,6 +173,16 @@ def bounded_normals(pc: DataFrame) -> DataFrame:
     return rows.groupBy("frame_id").agg(F.count("*").alias("points"), F.count_if("away").cast("int").alias("away"))
 
 
+@query(sql="select frame_id, count(*) as points, 0 as unequal, 0 as turned from pc group by frame_id")
+def tiled_normals(pc: DataFrame) -> DataFrame:
+    """Normals found and turned by tiles of 16 cells are those of whole frames."""
+    whole = normals.with_normals(pc, 12, 4)
+    own = tiles.oriented(pc, 12, 4, tile=16, halo=2).select("frame_id", "pt_idx", *(F.col(c).alias(f"m{c}") for c in ("nx", "ny", "nz")))
+    along = sum(F.col(c) * F.col(f"m{c}") for c in ("nx", "ny", "nz"))
+    both = whole.join(own, ["frame_id", "pt_idx"], "left")
+    return both.groupBy("frame_id").agg(F.count("*").alias("points"), F.count_if(F.coalesce(F.abs(along), F.lit(0)) < 1 - 1e-9).cast("int").alias("unequal"), F.count_if(along < 0).cast("int").alias("turned"))
+
+
 @query(sql="select frame_id, axis, count(*) as points, 0 as twice, 0 as idle, 0 as far, 0 as childless, 0 as foreign from pc, (values (0), (1), (2)) a(axis) group by all")
 def woven_rules(pc: DataFrame) -> DataFrame:
     """Every point of a slice has a plane or a parent, not both; parents have planes and lie in reach in the same slice; planes are those that the axis can tell."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import atlas, codec, container, frames, normals, refine, rounds, voxel, weave
+from ..operators import atlas, codec, container, frames, normals, refine, rounds, tiles, voxel, weave
 from ..operators.maps import coloured, occupancy_blocks, on_map
 from ..params import Parameters
 from ..sources import v3c_file
@@ -43,7 +43,8 @@ def _planes(points: DataFrame, p: Parameters) -> DataFrame:
             fine = refine.refined(own, *rules, use_normals=False).withColumnRenamed("plane", "fine")
             plane = weave.settled(votes.join(fine, keys, "left").withColumn("ppi", F.coalesce("fine", "ppi")).drop("fine"))
     else:
-        found = normals.with_normals(points, p.normal_neighbours, p.orientation_neighbours, p.diagonal_steps, p.carried_turns)
+        rules = (p.normal_neighbours, p.orientation_neighbours, p.diagonal_steps, p.carried_turns)
+        found = tiles.oriented(points, *rules, tile=p.tile) if p.tile else normals.with_normals(points, *rules)
         plane = refine.refined(points.join(found, keys), shift, p.refine_reach, p.indirect_reach + 1, p.refine_weight, p.refine_sweeps)
     return plane.select(*keys, F.col("plane").cast("int").alias("ppi"))
 
