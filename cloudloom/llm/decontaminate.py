@@ -8,7 +8,8 @@ few steps, so a long item is covered by several windows, any of which can meet.
 a few random steps of a walk, and equal hashes make a candidate (document, item, place). Each candidate is verified by the exact edit distance, in words,
 between the whole item and the best-fitting stretch of the document. samplings follows from the target recall and the
 windows of an item, and goes by item length, as a window counts only if its walk ends inside the item. Items of fewer
-than `least` words offer too few windows and are looked up by exact equality of all their words.
+than LEAST_WORDS words offer too few windows and are looked up without chance: an item that may have e edits is cut into e + 1
+pieces, one of which every leak holds unedited, and where a piece stands the whole item is verified.
 
 Documents stay where they are: only items travel, in blocks of a bounded number and size (one item is never split), one
 pass over the documents a block. Equal items are looked for once.
@@ -40,6 +41,7 @@ WALKS = 2  # independent walks; repetitions take turns
 CHUNK = 250_000  # bytes of text at once: its arrays stay in a core's cache
 EDIT_RATE, RECALL, DIFFERING = 0.2, 0.99, 0.3
 LEAST_WORDS = 8
+SLICE = 200_000  # candidates of short items that are verified at once
 _U = np.uint64
 TABLE_BITS = 20
 
@@ -127,9 +129,10 @@ class Items:
     entry: list[np.ndarray]  # of each key, its word's place among the words of all items
     starts: np.ndarray  # where each item's words begin there
     exact: dict[int, tuple[np.ndarray, np.ndarray]]  # of each length of short items: sorted keys, item of each
+    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # of each length of pieces of short items with edits: sorted keys, item, its words before
 
 
-def prepare(rows: list[tuple[int, str]], rate: float = EDIT_RATE, least: int = LEAST_WORDS, recall: float = RECALL) -> Items:
+def prepare(rows: list[tuple[int, str]], rate: float = EDIT_RATE, recall: float = RECALL) -> Items:
     ids, words, seen = [], [], {}
     for first, last, hashes, where in words_of(pa.array([t for _, t in rows], pa.string())):
         for d in range(last - first):
@@ -141,15 +144,24 @@ def prepare(rows: list[tuple[int, str]], rate: float = EDIT_RATE, least: int = L
                     words.append(own)
                 ids[i].append(rows[first + d][0])
     sizes = np.array([len(w) for w in words], np.int64)
-    most = np.where(sizes < least, 0, (rate * sizes).astype(int))
+    most = (rate * sizes).astype(int)
     kind = np.maximum(np.searchsorted([p[0] for p in PLANS], sizes, "right") - 1, 0)
-    kind[sizes < least] = -1
-    out = Items(ids, words, [set(w.tolist()) for w in words], most.tolist(), repetitions(recall, set(kind.tolist())), [], [], [], np.zeros(1, np.int64), {})
-    for n in np.unique(sizes[sizes < max(least, LEAST_WORDS)]).tolist():
+    kind[sizes < LEAST_WORDS] = -1
+    out = Items(ids, words, [set(w.tolist()) for w in words], most.tolist(), repetitions(recall, set(kind.tolist())), [], [], [], np.zeros(1, np.int64), {}, {})
+    for n in np.unique(sizes[sizes < LEAST_WORDS]).tolist():
         own = np.flatnonzero(sizes == n)
         key = runs(np.concatenate([words[i] for i in own]), n)[::n]
         order = np.argsort(key, kind="stable")
         out.exact[n] = key[order], own[order]
+    cut: dict[int, list[tuple[int, int, int]]] = {}
+    for i in np.flatnonzero((sizes < LEAST_WORDS) & (most > 0)).tolist():
+        n, parts = len(words[i]), min(most[i] + 1, len(words[i]))
+        for j in range(parts):
+            a, z = n * j // parts, n * (j + 1) // parts
+            cut.setdefault(z - a, []).append((int(runs(words[i][a:z], z - a)[0]), i, a))
+    for n, found in cut.items():
+        found.sort()
+        out.pieces[n] = tuple(np.array(c, t) for c, t in zip(zip(*found), (np.uint64, np.int64, np.int64)))
     if words:
         where = np.concatenate([[0], np.cumsum(sizes)])
         item = np.repeat(np.arange(len(words)), sizes)
@@ -202,11 +214,75 @@ def exact_in(words: np.ndarray, where: np.ndarray, items: Items) -> dict[tuple[i
     return out
 
 
+def one_edit(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Whether each row of text (one word more than a row of item) begins with that row of item, but for one edit at most."""
+    m = item.shape[1]
+    same = text[:, :m] == item
+    first = np.where(same.all(1), m, (~same).argmax(1))  # words before the first that differs
+    tail = lambda equal: np.where(equal.all(1), equal.shape[1], (~equal[:, ::-1]).argmax(1)) if equal.shape[1] else np.zeros(len(item), np.int64)
+    lost = tail(text[:, : m - 1] == item[:, 1:]) >= m - 1 - first
+    more = tail(text[:, 1:] == item) >= m - first
+    return ((~same).sum(1) <= 1) | lost | more
+
+
+def edited_in(words: np.ndarray, where: np.ndarray, items: Items, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+    """Adds to best the short items that stand in a document with edits: wherever one of their pieces does, all of them are verified."""
+    padded = np.zeros(len(words) + 2 * LEAST_WORDS, np.uint64)
+    padded[LEAST_WORDS : LEAST_WORDS + len(words)] = words
+    for n, (keys, owner, before) in items.pieces.items():
+        if len(words) < n:
+            continue
+        key = runs(words, n)
+        at = np.flatnonzero(np.isin(key, keys))
+        doc = np.searchsorted(where, at, "right") - 1
+        at, doc = at[at + n <= where[doc + 1]], doc[at + n <= where[doc + 1]]
+        low, high = np.searchsorted(keys, key[at], "left"), np.searchsorted(keys, key[at], "right")
+        ends = np.cumsum(high - low)
+        for begin in range(0, int(ends[-1]) if len(ends) else 0, SLICE):  # a place and each piece that stands there
+            pair = np.arange(begin, min(begin + SLICE, int(ends[-1])))
+            place = np.searchsorted(ends, pair, "right")
+            entry = low[place] + pair - (ends - (high - low))[place]
+            _verify(words, where, padded, items, best, at[place], doc[place], owner[entry], before[entry], n)
+
+
+def _verify(words: np.ndarray, where: np.ndarray, padded: np.ndarray, items: Items, best: dict, at: np.ndarray, doc: np.ndarray, item: np.ndarray, before: np.ndarray, n: int) -> None:
+    """One slice of edited_in: candidates (place of a piece, document, item, words of the item before the piece)."""
+    sizes, most = np.array([len(w) for w in items.words]), np.array(items.most)
+    keep = np.ones(len(at), bool)
+    for size, a in set(zip(sizes[item].tolist(), before.tolist())):
+        own = np.flatnonzero((sizes[item] == size) & (before == a) & (most[item] == 1))
+        if not len(own):
+            continue
+        whole = np.stack([items.words[i] for i in item[own].tolist()])
+        right, left = size - a - n, a  # words of the item behind and before the piece; one of the two sides is empty
+        begin, end = where[doc[own]], where[doc[own] + 1]
+        if right:
+            spot = at[own][:, None] + n + np.arange(right + 1)
+            text = np.where(spot < end[:, None], padded[spot + LEAST_WORDS], 0)
+            keep[own] = one_edit(whole[:, a + n :], text)
+        else:
+            spot = at[own][:, None] - 1 - np.arange(left + 1)
+            text = np.where(spot >= begin[:, None], padded[spot + LEAST_WORDS], 0)
+            keep[own] = one_edit(whole[:, :a][:, ::-1], text)
+    for k in np.flatnonzero(keep).tolist():
+        d, i, e = int(doc[k]), int(item[k]), items.most[item[k]]
+        if best.get((d, i), (1 << 30,))[0] == 0:
+            continue
+        own, begin, end = items.words[i], int(where[d]), int(where[d + 1])
+        a, z = max(begin, int(at[k] - before[k]) - e), min(end, int(at[k] - before[k]) + len(own) + e)
+        edits, stop = fitting(own, words[a:z])
+        _, back = fitting(own[::-1], words[a : a + stop][::-1])
+        found = (edits, a + stop - back - begin, a + stop - begin)
+        if edits <= e and found < best.get((d, i), (1 << 30,)):
+            best[d, i] = found
+
+
 def leaks_in(words: np.ndarray, where: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int]]:
     """(document, item, edits, first word, word after the last) of verified matches, the best of each document and item."""
     if not len(words) or not items.ids:
         return []
     best = exact_in(words, where, items)
+    edited_in(words, where, items, best)
     keys = embed(words, where, items.plan)
     found_at, found_entry = [], []
     for r, key in enumerate(keys):
@@ -246,14 +322,14 @@ def leaks_in(words: np.ndarray, where: np.ndarray, items: Items) -> list[tuple[i
     return [(d, i, *x) for (d, i), x in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, rate: float, least: int, recall: float) -> Iterator[Items]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, rate: float, recall: float) -> Iterator[Items]:
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-count // ITEMS), -(-size // ITEM_BYTES))
     part = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
     for block in range(blocks):
         own = rows if blocks == 1 else rows.filter(part == block)
-        yield prepare([(r["id"], r["text"]) for r in own.orderBy("id", "text").collect()], rate, least, recall)
+        yield prepare([(r["id"], r["text"]) for r in own.orderBy("id", "text").collect()], rate, recall)
 
 
 def find_leaks(
@@ -264,12 +340,11 @@ def find_leaks(
     item_col: str = "item_id",
     item_text_col: str = "text",
     rate: float = EDIT_RATE,
-    least: int = LEAST_WORDS,
     recall: float = RECALL,
 ) -> DataFrame:
     """(id, item, edits, words, first_word, last_word): benchmark items that documents hold with at most rate edits a word."""
     out, docs = None, small_batches(docs)
-    for items in _blocks(benchmark, item_col, item_text_col, rate, least, recall):
+    for items in _blocks(benchmark, item_col, item_text_col, rate, recall):
 
         @lean
         def work(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
@@ -284,9 +359,9 @@ def find_leaks(
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = EDIT_RATE, least: int = LEAST_WORDS, recall: float = RECALL) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = EDIT_RATE, recall: float = RECALL) -> DataFrame:
     """The rows of docs that hold no benchmark item; a row is judged where it is, nothing is shuffled."""
-    for items in _blocks(benchmark, item_col, item_text_col, rate, least, recall):
+    for items in _blocks(benchmark, item_col, item_text_col, rate, recall):
         place = small_batches(docs).columns.index(text_col)
 
         @lean
