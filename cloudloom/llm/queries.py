@@ -99,7 +99,7 @@ with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')
 f as (select d, min(page_id) as first from p where n >= 100 group by d)
 select page_id, n::bigint as payload_bytes, p.d as payload_digest,
   case when f.first is null or f.first = page_id then 'response' else 'revisit' end as record_type,
-  case when f.first <> page_id then f.first end as refers_to
+  case when f.first is not null and f.first is distinct from page_id then f.first end as refers_to
 from p left join f on p.d = f.d and p.n >= 100
 """
 

@@ -2,16 +2,16 @@
 
 A crawler that compresses a whole archive as one gzip stream leaves a file that nothing can seek in. The normaliser
 inflates such a stream once, piece by piece, writes every record as a gzip member of its own, and keeps a sidecar index of
-(record, offset, length), by which single records are read again. It holds one record and one archive of ARCHIVE_BYTES at a
-time, however long the stream is, and reads streams of several members, padded ones too.
+(record, offset, length), by which single records are read again. It reads streams of several members, padded ones too.
 
 Archives are rows of tables in the shared folder (name, bytes, and for normalised ones the index), bounded in size, so
-Spark's own readers and writers move them and a task that is lost is simply run again. `archives_of` reads .warc.gz files of
-any store that Spark reads, `sidecar` makes a table of its own of the index.
+Spark's own readers and writers move them and a task that is lost is simply run again. `normalise_files` streams .warc.gz files of
+any size from stores that Arrow opens, and holds one record and one archive of ARCHIVE_BYTES at a time; `archives_of` reads files of
+any store that Spark reads, but whole (a file is one value of at most 2 GB). `sidecar` makes a table of its own of the index.
 
 Edge cases: a null or empty html is a record with an empty payload; payloads under `least` bytes are never revisits;
-rows that repeat a page_id with an equal payload are all responses where that page_id is the smallest; a null page_id is kept, sorts
-before others as the smallest and is written as `-`; an empty table writes no archive; other columns are ignored.
+rows that repeat a page_id with an equal payload are all responses where that page_id is the smallest; a null page_id is kept, is written
+as `-` and is larger than all others, so such a row revisits the smallest page_id that has its payload (all are responses where none has one); an empty table writes no archive; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,7 @@ CRLF = b"\r\n"
 def decisions(pages: DataFrame, least: int) -> DataFrame:
     """(page_id, digest, refers_to) of the rows that revisit an equal payload; narrow, and only for digests seen twice."""
     narrow = pages.select(F.col("page_id"), F.sha2(F.col("payload"), 256).alias("digest"), F.octet_length("payload").alias("n")).filter(F.col("n") >= least).drop("n")
-    first = narrow.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id")).alias("m"), F.count("*").alias("copies")).filter("copies > 1").select("digest", F.col("m.page_id").alias("refers_to"))
+    first = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1 and refers_to is not null").drop("copies")
     return narrow.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
 
 
@@ -113,11 +114,10 @@ def sidecar(archives: DataFrame) -> DataFrame:
     return archives.select("name", F.explode("index").alias("x")).select("name", "x.record_id", "x.at", "x.length")
 
 
-def inflated(raw: memoryview, piece: int = 1 << 20) -> Iterator[bytes]:
+def inflated(raw: BinaryIO, piece: int = 1 << 20) -> Iterator[bytes]:
     """The bytes of a gzip stream of any number of members, in pieces."""
-    at, stream, fresh = 0, zlib.decompressobj(31), True
-    while at < len(raw):
-        part, at = bytes(raw[at : at + piece]), at + piece
+    stream, fresh = zlib.decompressobj(31), True
+    while part := raw.read(piece):
         while part:
             if fresh and not (part := part.lstrip(b"\0")):  # padding between members
                 break
@@ -154,32 +154,56 @@ def streamed(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 INDEX = pa.list_(pa.struct([("record_id", pa.string()), ("at", pa.int64()), ("length", pa.int64())]))
 
 
-def normalise(archives: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """(name, archive, index) of archives(name, archive): each stream inflated once, each record written as its own gzip member.
+NORMALISED = "name string, archive binary, index array<struct<record_id string, at long, length long>>"
 
-    A stream of more than archive_bytes gives several archives, with numbers behind its name.
-    """
+
+def rewritten(name: str, raw: BinaryIO, archive_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The normalised archives of one stream, inflated once: every record as its own gzip member, and where each is."""
+    members, index, at, size, part = [], [], 0, 0, 0
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f"{name}.{part}"]), pa.array([b"".join(members)], pa.binary()), pa.array([index], INDEX)], names=["name", "archive", "index"])
+
+    for head, record_ in streamed(inflated(raw)):
+        members.append(zlib.compress(record_, LEVEL, 31))
+        index.append({"record_id": head["warc-record-id"], "at": at, "length": len(members[-1])})
+        at, size = at + len(members[-1]), size + len(record_)
+        if size >= archive_bytes:
+            yield done()
+            members, index, at, size, part = [], [], 0, 0, part + 1
+    if members:
+        yield done()
+
+
+def normalise(archives: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """(name, archive, index) of archives(name, archive): a stream of more than archive_bytes gives several, with numbers behind its name."""
 
     @lean
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, archive in zip(b.column("name").to_pylist(), b.column("archive")):
-                members, index, at, size, part = [], [], 0, 0, 0
-
-                def done(name: str = name) -> pa.RecordBatch:
-                    return pa.RecordBatch.from_arrays([pa.array([f"{name}.{part}"]), pa.array([b"".join(members)], pa.binary()), pa.array([index], INDEX)], names=["name", "archive", "index"])
-
-                for head, record_ in streamed(inflated(memoryview(archive.as_buffer()))):
-                    members.append(zlib.compress(record_, LEVEL, 31))
-                    index.append({"record_id": head["warc-record-id"], "at": at, "length": len(members[-1])})
-                    at, size = at + len(members[-1]), size + len(record_)
-                    if size >= archive_bytes:
-                        yield done()
-                        members, index, at, size, part = [], [], 0, 0, part + 1
-                if members:
-                    yield done()
+                yield from rewritten(name, pa.BufferReader(archive.as_buffer()), archive_bytes)
+
+    return archives.select("name", "archive").mapInArrow(rewrite, NORMALISED)
+
+
+def normalise_files(spark: SparkSession, path: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """As normalise, of the files at path: Spark lists them, and a task streams its files one after another without holding one."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # no content is read for these
+    count, size = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+
+    @lean
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", name).replace(" ", "%20"))
+                with store.open_input_stream(at, compression=None) as raw:
+                    yield from rewritten(name, raw, archive_bytes)
 
-    return archives.select("name", "archive").mapInArrow(rewrite, "name string, archive binary, index array<struct<record_id string, at long, length long>>")
+    tasks = max(1, min(count, size // (64 << 20) + 1))
+    return files.repartitionByRange(tasks, F.xxhash64("path")).select("path").mapInArrow(rewrite, NORMALISED)
 
 
 def read_back(archives: DataFrame) -> DataFrame:
