@@ -1,6 +1,7 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier on its posterior labels.
 
-Voters are a lexicon and word-stem patterns that stand out in labelled toxic texts. The label model (EM over a
+Voters are a lexicon of words and patterns of stems that stand out in labelled toxic texts. A stem's pattern is that a text holds
+several different words that begin with it, so a stem that stands for one word alone never votes. The label model (EM over a
 latent class) estimates from the votes alone how often each voter fires in either class, and from the residuals how
 voters correlate; correlated voters share their weight. A logistic regression on the votes is then fitted to
 the posterior labels, and scores every whole text.
@@ -28,16 +29,17 @@ from .common import cut_lineage, lean, small_batches
 
 #: Bounds of the fitted sample, documented: labelled rows of each class, by a hash of their id; voters.
 SAMPLE_ROWS, VOTERS = 8000, 400
-STEMS = range(3, 9)
+STEMS, DIFFERENT = range(3, 9), (2, 3, 4)  # letters of a stem; different words under it that a pattern asks for
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms(text: str) -> set[str]:
-    """Whole words (`word`) and stems (`stem*`) of a text."""
+    """Whole words (`word`) of a text, and stems with the least number of different words under them (`stem*2`)."""
     words = set(_WORD.findall(text.lower()))
     out = {w for w in words if 3 <= len(w) <= 40}
     for n in STEMS:
-        out |= {f"{w[:n]}*" for w in words if len(w) > n}
+        for stem, found in Counter(w[:n] for w in words if len(w) > n).items():
+            out |= {f"{stem}*{k}" for k in DIFFERENT if found >= k}
     return out
 
 
@@ -48,27 +50,33 @@ class Voters:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        by: dict[str, list[tuple[int, bool]]] = {}
+        by: dict[str, list[tuple[int, int]]] = {}
         for j, t in enumerate(terms_):
-            by.setdefault(t.rstrip("*"), []).append((j, t.endswith("*")))
+            key, _, different = t.partition("*")
+            by.setdefault(key, []).append((j, int(different or 0)))
         for key, votes in by.items():
             self.automaton.add_word(key, (len(key), votes))
         if by:
             self.automaton.make_automaton()
         self.any = bool(by)
 
-    def votes(self, text: str | None) -> Counter[int]:
-        found: Counter[int] = Counter()
+    def votes(self, text: str | None) -> set[int]:
+        """The terms that the text holds."""
+        found: set[int] = set()
         if not text or not self.any:
             return found
-        low = text.lower()
+        low, under = text.lower(), {}
         for end, (n, votes) in self.automaton.iter(low):
             if end >= n and low[end - n].isalpha():
                 continue
-            inner = end + 1 < len(low) and low[end + 1].isalpha()
-            for j, stem in votes:
-                if stem == inner:
-                    found[j] += 1
+            if end + 1 < len(low) and low[end + 1].isalpha():
+                if any(k for _, k in votes):
+                    key = low[end - n + 1 : end + 1]
+                    under.setdefault(key, (votes, set()))[1].add(_WORD.match(low, end - n + 1).group())
+            else:
+                found.update(j for j, k in votes if not k)
+        for votes, words in under.values():
+            found.update(j for j, k in votes if k and len(words) >= k)
         return found
 
 
@@ -118,15 +126,17 @@ def covering(votes: np.ndarray, toxic: np.ndarray, terms_: list[str], least: int
     rows are voters in any case.
     """
     left = votes[toxic].astype(bool)
-    chosen = [t.rstrip("*") for t, n in zip(terms_, left.sum(0)) if n >= max(least, 0.05 * len(left))]
+    chosen = [t for t, n in zip(terms_, left.sum(0)) if n >= max(least, 0.05 * len(left))]
     while left.size:
         gain = left.sum(0)
         j = max(range(len(terms_)), key=lambda j: (gain[j], -len(terms_[j]), terms_[j]))
         if gain[j] < least:
             break
-        chosen.append(terms_[j].rstrip("*"))
+        chosen.append(terms_[j])
         left = left[~left[:, j]]
-    return [j for j, t in enumerate(terms_) if any(t.startswith(c) or c.startswith(t.rstrip("*")) for c in chosen)]
+    stem = lambda t: t.partition("*")[0]
+    stems = [stem(c) for c in chosen]
+    return [j for j, t in enumerate(terms_) if any(stem(t).startswith(c) or c.startswith(stem(t)) for c in stems)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40) -> tuple[np.ndarray, float]:

@@ -109,6 +109,32 @@ def test_toxicity_learns_planted_words(spark):
     assert all((got[i] >= 0.5) == (i % 5 == 0) for i in range(600))
     assert {r["toxicity"] < 0.5 for r in toxicity.score(odd_docs(spark), model).collect()} == {True}
     assert toxicity.fit(empty(spark), spark.createDataFrame([], "doc_id long, toxic int")).terms == []
+    assert toxicity.score(empty(spark), model).collect() == []
+
+
+SENTENCES = ["The train stops at a clock tower.", "We discuss trade, close the path and move on.", "Each worth a look tomorrow morning.", "The distant mountain path was closed to trade for more than a month.", "Our class cloned the morning's display of idiomatic clocks.", "El tren se detiene cerca de la torre del reloj y el bosque.", "Der Zug hält jeden Morgen am alten Uhrturm, achtlos und ruhig.", "Le train s'arrête près de la réunion des réeux et des réseaux.", "Losers of the first round may discuss the losses with a scribe.", "Stupendous scenery, and a moral tale of trash collectors' wages."]
+
+
+def test_toxicity_on_held_out_rows_and_clean_sentences(spark):
+    """Nine of ten labelled toxic rows that were not learned from are found, one clean row in a hundred is taken at most; everyday sentences are left alone."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels.filter(fold("doc_id", 5) != 0))
+    rows = toxicity.score(docs.join(labels.filter(fold("doc_id", 5) == 0), "doc_id"), model).collect()
+    toxic, clean = ([r["toxicity"] >= 0.5 for r in rows if r["toxic"] == y] for y in (1, 0))
+    assert sum(toxic) >= 0.9 * len(toxic) > 80 and sum(clean) <= 0.01 * len(clean)
+    scored = toxicity.score(spark.createDataFrame(list(enumerate(SENTENCES)), "doc_id long, text string"), model).collect()
+    assert {r["doc_id"]: r["toxicity"] >= 0.5 for r in scored} == {i: i == 9 for i in range(10)}  # the last one does hold a listed word
+    assert all(int(t.partition("*")[2]) > 1 for t in model.terms if "*" in t)  # no stem for one word
+
+
+def test_votes_are_those_of_the_terms_of_a_text():
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["Ach", "achlich", "achlicher", "ACHLICHTE", "bo", "bosco", "x1achlichte", "boßte"]) + r.choice(["", ",", "-x", "1"]) for _ in range(r.randrange(12))) for _ in range(200)]
+    every = sorted({t for x in texts for t in toxicity.terms(x)})
+    finder = toxicity.Voters(every)
+    assert all({every[j] for j in finder.votes(x)} == toxicity.terms(x) for x in texts) and any("*3" in t for t in every)
+    assert finder.votes(None) == finder.votes("") == toxicity.Voters([]).votes("achlich") == set()
 
 
 # 3 near duplicates
