@@ -16,7 +16,10 @@ MAPS = {"occupancy": "OVD", "geometry": "GVD", "attribute": "AVD"}
 
 
 class MapCodec(Protocol):
-    """Codes one group's images of one map, in frame order (near and far layer of a frame in turns)."""
+    """Codes one group's images of one map, in frame order (near and far layer of a frame in turns).
+
+    A codec with a method configured(options) is asked for one that is set up: options[map] is Parameters.codec_options of the map.
+    """
 
     def encode(self, kind: str, images: list[np.ndarray]) -> bytes: ...
 

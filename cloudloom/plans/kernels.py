@@ -270,6 +270,20 @@ def run_statistics(pc: DataFrame) -> DataFrame:
     return pipeline.statistics(pipeline.encode(pc, PARAMETERS), PARAMETERS)
 
 
+SWEEPS = """, vox as (select frame_id, count(distinct (x >> 1, y >> 1, z >> 1)) as voxels, count(*) as points from pc group by frame_id)
+select frame_id, sweep, voxels, voxels as of_classes, 0 as over, 0 as idle, 0 as no_edge_refined from vox, (values (0), (1), (2)) s(sweep)"""
+
+
+@query(sql=SWEEPS)
+def sweep_counters(pc: DataFrame) -> DataFrame:
+    """The counters of every sweep of the refinement: classes sum to the voxels; no more is judged than is not skipped, no more changes than is judged."""
+    rows = pipeline.sweeps(pc, PARAMETERS)
+    sizes = pc.groupBy("frame_id").agg(F.count_distinct(*(F.shiftright(c, 1) for c in "xyz")).alias("voxels"), F.count("*").alias("points"))
+    judged = sum(F.col(f"{c}_refined") for c in refine.CLASSES)
+    over = (judged > F.col("voxels") - F.col("skipped_voxels")) | (F.col("plane_changes") > F.col("score_computations")) | (F.col("score_computations") > F.col("points"))
+    return rows.join(F.broadcast(sizes), "frame_id").select("frame_id", "sweep", "voxels", sum(F.col(c) for c in refine.CLASSES).alias("of_classes"), over.cast("int").alias("over"), ((judged > 0) & (F.col("score_computations") == 0)).cast("int").alias("idle"), "no_edge_refined")
+
+
 @query()
 def sliced_fast(pc: DataFrame) -> DataFrame:
     return pipeline.segmented(pc, PARAMETERS.changed(sliced=True)).select("frame_id", "pt_idx", "ppi")

@@ -49,6 +49,16 @@ def _planes(points: DataFrame, p: Parameters) -> DataFrame:
     return plane.select(*keys, F.col("plane").cast("int").alias("ppi"))
 
 
+def sweeps(points: DataFrame, p: Parameters) -> DataFrame:
+    """(frame_id, sweep, refine.COUNTERS) of the refinement by normals, on the voxels that segmented() works on."""
+    keys, shift = ["frame_id", "pt_idx"], p.input_depth - p.voxel_depth
+    points = points.drop("ppi", "plane")
+    if shift:
+        points = voxel.voxelize(points, shift).select("frame_id", F.col("vox_id").alias("pt_idx"), *(F.col(f"v{c}").alias(c) for c in "xyz"))
+    found = normals.with_normals(points, p.normal_neighbours, p.orientation_neighbours, p.diagonal_steps, p.carried_turns)
+    return refine.counters_of(refine.refined_with_counters(points.join(found, keys), p.voxel_depth - p.refine_depth, p.refine_reach, p.indirect_reach + 1, p.refine_weight, p.refine_sweeps))
+
+
 def boxes(pixels: DataFrame, p: Parameters) -> DataFrame:
     """(frame_id, patch_id, ppi, u, v, w, h, size_d, min_d): each patch's rectangle, w and h in blocks."""
     blocks = lambda c: F.expr(f"(max({c}) - min({c}) + {p.block}) div {p.block}").cast("int")
@@ -114,6 +124,8 @@ def all_units(tables: dict[str, DataFrame], p: Parameters, coder: codec.MapCodec
     """Parameter, atlas and map units in one table; (gof_id, unit_seq) is their order in a file."""
     rules = image_rules(p)
     make = codec.low_delay_units if p.low_delay else codec.video_units
+    if hasattr(coder, "configured"):
+        coder = coder.configured({kind: p.codec_options(kind) for kind in codec.MAPS})
     return tables["units"].unionByName(make(tables["maps"], p.gof_size, rules.pop("width"), rules.pop("height"), rules.pop("block"), coder, **rules))
 
 
