@@ -96,11 +96,20 @@ def read(spark: SparkSession, paths: str | list[str], depth: int | None = None)
     return points if depth is None else points.filter(" and ".join(f"shiftright({c}, {depth}) = 0" for c in "xyz"))
 
 
+# The properties of a written vertex, with the type of each; normals only where points have them.
+WRITTEN = (("x", "ushort", "%d"), ("y", "ushort", "%d"), ("z", "ushort", "%d"), ("r", "uchar red", "%d"), ("g", "uchar green", "%d"), ("b", "uchar blue", "%d"), ("nx", "float", "%.6f"), ("ny", "float", "%.6f"), ("nz", "float", "%.6f"))
+
+
 def lines(points: DataFrame) -> DataFrame:
-    """(frame_id, value): each frame as the text of an ASCII PLY file; a frame is put together in one task."""
-    row = F.format_string("%d %d %d %d %d %d", *"xyzrgb")
+    """(frame_id, value): each frame as the text of an ASCII PLY file; a frame is put together in one task.
+
+    Points with nx, ny, nz are written with their normals.
+    """
+    written = [w for w in WRITTEN if w[0] in points.columns]
+    row = F.format_string(" ".join(f for *_, f in written), *(name for name, *_ in written))
     bodies = points.groupBy("frame_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pt_idx", row.alias("line")))).alias("rows"))
-    head = F.format_string("ply\nformat ascii 1.0\nelement vertex %d\nproperty ushort x\nproperty ushort y\nproperty ushort z\nproperty uchar red\nproperty uchar green\nproperty uchar blue\nend_header\n", "n")
+    properties = "".join(f"property {kind if ' ' in kind else f'{kind} {name}'}\n" for name, kind, _ in written)
+    head = F.format_string(f"ply\nformat ascii 1.0\nelement vertex %d\n{properties}end_header\n", "n")
     return bodies.select("frame_id", F.concat(head, F.array_join(F.col("rows.line"), "\n"), F.lit("\n")).alias("value"))
 
 

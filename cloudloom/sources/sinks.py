@@ -20,10 +20,22 @@ def delays(groups: DataFrame, done: str = "done", frames: str = "frames") -> Dat
 
 
 def raw_image(pixels: DataFrame, width: int, height: int, value: str, background: int = 0) -> DataFrame:
-    """(frame_id, image): one byte a pixel in raster order, from sparse pixels (frame_id, x, y, value)."""
-    filled = F.map_from_entries(F.collect_list(F.struct((F.col("y") * width + F.col("x")).alias("k"), F.col(value).alias("v"))))
-    byte = lambda i: F.lpad(F.hex(F.coalesce(F.col("m")[i], F.lit(background)).cast("long")), 2, "0")
-    return pixels.groupBy("frame_id").agg(filled.alias("m")).select("frame_id", F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), byte), "")).alias("image"))
+    """(frame_id, image): one byte a pixel in raster order, from sparse pixels (frame_id, x, y, value).
+
+    A row's pixels are put in order once and the gaps between them are filled, so a frame costs as much as it has pixels and rows; a pixel
+    given twice takes its largest value.
+    """
+    byte = lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")
+    blank = f"{background:02X}"
+    rows = pixels.groupBy("frame_id", "y", "x").agg(F.max(value).alias("v")).groupBy("frame_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", "v"))).alias("own"))  # a row has `width` pixels at most
+    begun = F.struct(F.lit(0).alias("x"), F.lit("").alias("text"))
+    step = lambda acc, p: F.struct((p["x"] + 1).cast("int").alias("x"), F.concat(acc["text"], F.repeat(F.lit(blank), (p["x"] - acc["x"]).cast("int")), byte(p["v"])).alias("text"))
+    line = F.aggregate("own", begun, step, lambda acc: F.concat(acc["text"], F.repeat(F.lit(blank), F.lit(width) - acc["x"])))
+    lines = rows.select("frame_id", "y", line.alias("line")).groupBy("frame_id").agg(F.sort_array(F.collect_list(F.struct("y", "line"))).alias("lines"))  # `height` rows at most
+    empty = blank * width
+    stack = lambda acc, r: F.struct((r["y"] + 1).cast("int").alias("x"), F.concat(acc["text"], F.repeat(F.lit(empty), (r["y"] - acc["x"]).cast("int")), r["line"]).alias("text"))
+    whole = F.aggregate("lines", begun, stack, lambda acc: F.concat(acc["text"], F.repeat(F.lit(empty), F.lit(height) - acc["x"])))
+    return lines.select("frame_id", F.unhex(whole).alias("image"))
 
 
 def repacked(planar: bytes, planes: int = 3) -> bytes:

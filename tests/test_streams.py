@@ -162,3 +162,41 @@ def test_a_file_in_parallel_is_the_file(spark, tmp_path, part_bytes):
 
 def test_a_file_of_no_units(spark, tmp_path):
     assert v3c_file.write(spark.createDataFrame([], UNITS), str(tmp_path / "f")) == 1 and (tmp_path / "f").read_bytes() == container.file_bytes([])
+
+
+@pytest.mark.parametrize("more", [["-n", "3"], ["-n", "3", "-f", "2"], ["--end-mark", "END"]])
+def test_command_line_streams(spark, tmp_path, capsys, more):
+    from cloudloom.__main__ import main
+
+    pc = derived.cloud(spark, SF).filter("frame_id < 3").persist()
+    for r in ply.lines(pc).collect():
+        (tmp_path / f"s_{r['frame_id']:04d}.ply").write_text(r["value"])
+    (tmp_path / "END").touch()
+    more = [str(tmp_path / m) if m == "END" else m for m in more]
+    own = "voxel_depth=6,refine_depth=5,gof_size=2,map_width=128,map_height=128,least_points=5,refine_sweeps=1"
+    main(["-i", str(tmp_path / "s_%04d.ply"), "-o", str(tmp_path / "out"), "-s", "0", "-g", "6", "--stream", "--set", own, *more])
+    from cloudloom.params import resolve
+
+    table = GroupTable(spark, str(tmp_path / "out"))
+    assert sorted((r["gof_id"], r["frames"]) for r in table.committed().collect()) == [(0, 2), (1, 1)]
+    assert coded(table.units().collect()) == encoded(pc, resolve(6, overrides=own))
+    with pytest.raises(SystemExit):
+        main(["-i", str(tmp_path / "s_%04d.ply"), "-o", "x", "-g", "6", "--stream"])
+
+
+def test_written_normals_and_images(spark):
+    from cloudloom.sources import sdp, sinks
+
+    points = spark.createDataFrame([(0, 1, 4, 5, 6, 7, 8, 9, 0.5, -1.0, 0.25), (0, 0, 1, 2, 3, 4, 5, 6, 0.0, 0.0, 1.0)], "frame_id int, pt_idx int, x int, y int, z int, r int, g int, b int, nx double, ny double, nz double")
+    text = ply.lines(points).first()["value"]
+    assert text.count("property") == 9 and text.endswith("end_header\n1 2 3 4 5 6 0.000000 0.000000 1.000000\n4 5 6 7 8 9 0.500000 -1.000000 0.250000\n")
+    assert ply.parse(text.encode())["ny"].tolist() == [0.0, -1.0] and "nx" not in ply.lines(points.drop("nx", "ny", "nz")).first()["value"]
+    spots = [(0, 3, 1, 200), (0, 0, 0, 7), (0, 4, 1, 1), (0, 4, 1, 9), (1, 0, 2, 255)]
+    images = {r["frame_id"]: bytes(r["image"]) for r in sinks.raw_image(spark.createDataFrame(spots, "frame_id int, x int, y int, v int"), 5, 4, "v", 2).collect()}
+    for f in (0, 1):
+        want = bytearray([2] * 20)
+        for g, x, y, v in spots:
+            if g == f:
+                want[5 * y + x] = v
+        assert images[f] == bytes(want)
+    assert "c=IN IP4 10.0.0.1\n" in sdp.description("AD", 1, b"", b"", address="10.0.0.1") and "c=IN IP6 ::1" in sdp.description("AD", 1, b"", b"", address="::1") and "c=" not in sdp.description("AD", 1, b"", b"")
