@@ -69,12 +69,13 @@ def unoriented(points: DataFrame, k: int = 16, k_orient: int = 4, steps: int | N
     tile, halo = tile or TILE, halo or HALO
     folder = scratch.shared(points.sparkSession, "tiles")
     points = scratch.written(points.select("frame_id", "pt_idx", "x", "y", "z"), f"{folder}/points")
-    at = [F.floor(F.col(c) / tile).cast("int").alias(f"t{c}") for c in "xyz"]
-    asked, parts = points.select("frame_id", "pt_idx", *at), []
+    asked, parts = points, []
     while True:
-        part = scratch.written(_neighbours(points, asked, k, k_orient, tile, halo, steps, carried), f"{folder}/halo{halo}")
+        side = max(tile, 2 * halo)  # so a point is sent to eight tiles at most, however wide the halo
+        at = [F.floor(F.col(c) / side).cast("int").alias(f"t{c}") for c in "xyz"]
+        part = scratch.written(_neighbours(points, asked.select("frame_id", "pt_idx", *at), k, k_orient, side, halo, steps, carried), f"{folder}/halo{halo}")
         parts.append(part.filter("done"))
-        asked, halo = part.filter("not done").select("frame_id", "pt_idx", "tx", "ty", "tz"), 2 * halo
+        asked, halo = part.filter("not done").select("frame_id", "pt_idx", "x", "y", "z"), 2 * halo
         if asked.isEmpty():
             return reduce(DataFrame.unionByName, parts).drop("tx", "ty", "tz", "done")
 
@@ -90,10 +91,14 @@ def _best(edges: DataFrame) -> DataFrame:
 
 def oriented(points: DataFrame, k: int = 16, k_orient: int = 4, steps: int | None = None, carried: bool = False, tile: int | None = None, halo: int | None = None) -> DataFrame:
     """(frame_id, pt_idx, nx, ny, nz, plane) of points(frame_id, pt_idx, x, y, z): oriented normals and the plane that each faces."""
-    rows = unoriented(points, k, k_orient, steps, carried, tile, halo)
-    folder = scratch.shared(points.sparkSession, "forest")
+    return turned(unoriented(points, k, k_orient, steps, carried, tile, halo))
+
+
+def turned(rows: DataFrame) -> DataFrame:
+    """(frame_id, pt_idx, nx, ny, nz, plane) of what unoriented() gives."""
+    folder = scratch.shared(rows.sparkSession, "forest")
     n = [F.col(c) for c in ("nx", "ny", "nz")]
-    ends = rows.select("frame_id", F.col("pt_idx").alias("u"), *n, F.explode(F.slice("nb", 2, k_orient)).alias("v"))
+    ends = rows.select("frame_id", F.col("pt_idx").alias("u"), *n, F.explode(F.expr("slice(nb, 2, size(nb))")).alias("v"))
     other = rows.select("frame_id", F.col("pt_idx").alias("v"), *(c.alias(f"o{i}") for i, c in enumerate(n)))
     dot = sum(c * F.col(f"o{i}") for i, c in enumerate(n))
     edges = ends.join(other, ["frame_id", "v"]).filter("u <> v").select("frame_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(dot < 0, -1).otherwise(1).alias("sign"), F.abs(dot).alias("w"))
@@ -108,9 +113,9 @@ def oriented(points: DataFrame, k: int = 16, k_orient: int = 4, steps: int | Non
     seed = rows.select("frame_id", F.col("pt_idx").alias("c"), *(c.alias(f"s{i}") for i, c in enumerate(n)), "x", "y", "z")
     faces = seed.select("frame_id", "c", F.when(sum(F.col(f"s{i}") * F.col(c) for i, c in enumerate("xyz")) > 0, -1).otherwise(1).alias("flip"))  # towards the origin
     signed = names.join(faces, ["frame_id", "c"]).select("frame_id", "pt_idx", (F.col("sign") * F.col("flip")).alias("turn"))
-    turned = rows.join(signed, ["frame_id", "pt_idx"]).select("frame_id", "pt_idx", *((c * F.col("turn")).alias(name) for c, name in zip(n, ("nx", "ny", "nz"))))
+    done = rows.join(signed, ["frame_id", "pt_idx"]).select("frame_id", "pt_idx", *((c * F.col("turn")).alias(name) for c, name in zip(n, ("nx", "ny", "nz"))))
     axes = [*n, *(-c for c in n)]
-    return turned.withColumn("plane", (F.array_position(F.array(*axes), F.array_max(F.array(*axes))) - 1).cast("int"))
+    return done.withColumn("plane", (F.array_position(F.array(*axes), F.array_max(F.array(*axes))) - 1).cast("int"))
 
 
 def _renamed(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
@@ -120,6 +125,12 @@ def _renamed(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
     return joined.withColumn("sign", F.col("sign") * F.coalesce("_sign", F.lit(1))).withColumn(column, F.coalesce("_root", column)).select(*rows.columns)
 
 
+def _twice(up: DataFrame) -> DataFrame:
+    """up(frame_id, c, to, sign) with ways twice as long; moved: whether the last half went on."""
+    above = up.select("frame_id", F.col("c").alias("to"), F.col("to").alias("next"), F.col("sign").alias("more"))
+    return up.join(above, ["frame_id", "to"]).select("frame_id", "c", F.col("next").alias("to"), (F.col("sign") * F.col("more")).alias("sign"), (F.col("next") != F.col("to")).alias("moved"))
+
+
 def _roots(best: DataFrame, folder: str) -> DataFrame:
     """(frame_id, c, root, sign) of best(frame_id, c, to, sign): the smallest component of each tree, and the sign on the way to it.
 
@@ -130,13 +141,10 @@ def _roots(best: DataFrame, folder: str) -> DataFrame:
     up = best.join(back, ["frame_id", "c", "to"], "left").withColumn("end", F.coalesce("mutual", F.lit(False)) & (F.col("c") < F.col("to")))
     up = up.select("frame_id", "c", F.when(F.col("end"), F.col("c")).otherwise(F.col("to")).alias("to"), F.when(F.col("end"), 1).otherwise(F.col("sign")).alias("sign"))
     up, n = scratch.written(up, f"{folder}-0"), 0
-    while True:
+    moved = True
+    while moved:  # four times as far each time
         n += 1
-        above = up.select("frame_id", F.col("c").alias("to"), F.col("to").alias("next"), F.col("sign").alias("more"))
-        far = up.join(above, ["frame_id", "to"]).select("frame_id", "c", F.col("next").alias("to"), (F.col("sign") * F.col("more")).alias("sign"), (F.col("next") != F.col("to")).alias("moved"))
-        far = scratch.written(far, f"{folder}-{n}")
+        far = scratch.written(_twice(_twice(up)), f"{folder}-{n}")
         moved, up = not far.filter("moved").isEmpty(), far.drop("moved")
-        if not moved:
-            break
     least = up.groupBy("frame_id", "to").agg(F.min_by(F.struct("c", "sign"), "c").alias("m")).select("frame_id", "to", F.col("m.c").alias("root"), F.col("m.sign").alias("last"))
     return up.join(least, ["frame_id", "to"]).select("frame_id", "c", "root", (F.col("sign") * F.col("last")).alias("sign"))

@@ -173,14 +173,22 @@ def bounded_normals(pc: DataFrame) -> DataFrame:
     return rows.groupBy("frame_id").agg(F.count("*").alias("points"), F.count_if("away").cast("int").alias("away"))
 
 
-@query(sql="select frame_id, count(*) as points, 0 as unequal, 0 as turned from pc group by frame_id")
+@query(sql="select frame_id, count(*) as points, 0 as unequal, 0 as against from pc group by frame_id")
 def tiled_normals(pc: DataFrame) -> DataFrame:
-    """Normals found and turned by tiles of 16 cells are those of whole frames."""
-    whole = normals.with_normals(pc, 12, 4)
-    own = tiles.oriented(pc, 12, 4, tile=16, halo=2).select("frame_id", "pt_idx", *(F.col(c).alias(f"m{c}") for c in ("nx", "ny", "nz")))
-    along = sum(F.col(c) * F.col(f"m{c}") for c in ("nx", "ny", "nz"))
-    both = whole.join(own, ["frame_id", "pt_idx"], "left")
-    return both.groupBy("frame_id").agg(F.count("*").alias("points"), F.count_if(F.coalesce(F.abs(along), F.lit(0)) < 1 - 1e-9).cast("int").alias("unequal"), F.count_if(along < 0).cast("int").alias("turned"))
+    """Normals found by tiles of 16 cells are those of whole frames, and each agrees with the neighbour whose normal is most alike (that edge is in every maximum spanning forest)."""
+    n = ("nx", "ny", "nz")
+    whole = normals.with_normals(pc, 12, 4).select("frame_id", "pt_idx", *(F.col(c).alias(f"w{c}") for c in n))
+    rows = tiles.unoriented(pc, 12, 4, tile=16, halo=4)
+    turned = tiles.turned(rows).select("frame_id", "pt_idx", *n)
+    ends = rows.select("frame_id", F.col("pt_idx").alias("u"), F.explode(F.slice("nb", 2, 4)).alias("v")).filter("u <> v")
+    ends = ends.unionByName(ends.select("frame_id", F.col("v").alias("u"), F.col("u").alias("v")))
+    mine, other = (turned.select("frame_id", F.col("pt_idx").alias(e), *(F.col(c).alias(f"{e}{c}") for c in n)) for e in "uv")
+    dot = sum(F.col(f"u{c}") * F.col(f"v{c}") for c in n)
+    edges = ends.join(mine, ["frame_id", "u"]).join(other, ["frame_id", "v"]).select("frame_id", "u", dot.alias("dot"), F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    best = edges.groupBy("frame_id", F.col("u").alias("pt_idx")).agg(F.min_by("dot", F.struct(-F.abs("dot"), "a", "b")).alias("dot"))
+    along = sum(F.col(c) * F.col(f"w{c}") for c in n)
+    both = whole.join(turned, ["frame_id", "pt_idx"], "left").join(best, ["frame_id", "pt_idx"], "left")
+    return both.groupBy("frame_id").agg(F.count("*").alias("points"), F.count_if(F.coalesce(F.abs(along), F.lit(0)) < 1 - 1e-9).cast("int").alias("unequal"), F.count_if(F.col("dot") < 0).cast("int").alias("against"))
 
 
 @query(sql="select frame_id, axis, count(*) as points, 0 as twice, 0 as idle, 0 as far, 0 as childless, 0 as foreign from pc, (values (0), (1), (2)) a(axis) group by all")

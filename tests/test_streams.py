@@ -164,7 +164,7 @@ def test_a_file_of_no_units(spark, tmp_path):
     assert v3c_file.write(spark.createDataFrame([], UNITS), str(tmp_path / "f")) == 1 and (tmp_path / "f").read_bytes() == container.file_bytes([])
 
 
-@pytest.mark.parametrize("more", [["-n", "3"], ["-n", "3", "-f", "2"], ["--end-mark", "END"]])
+@pytest.mark.parametrize("more", [["-n", "3"], ["--end-mark", "END"]])
 def test_command_line_streams(spark, tmp_path, capsys, more):
     from cloudloom.__main__ import main
 
