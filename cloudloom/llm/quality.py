@@ -264,16 +264,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability, kept) of every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # half a megabyte
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.slope, model.bias))  # half a megabyte
 
     @lean
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
         for batch in batches:
             for a, z, data, offsets in text_chunks(batch.column(1), CHUNK):
                 texts = Texts(data, offsets)
                 counts = texts.counts()
                 failed = (counts["n_words"] < LEAST_WORDS) | (100 * counts["n_repeat_words"] > MOST_REPEATED * counts["n_words"])
-                probability = shared.value.probabilities(shared.value.margins(texts))
+                probability = own.probabilities(own.margins(texts))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:z], *(pa.array(counts[c], pa.int64()) for c in COUNTS), pa.array(failed), pa.array(probability), pa.array(~failed & (probability >= keep))], names=["id", *COUNTS, "base_failed", "probability", "kept"])
 
     schema = "id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, probability double, kept boolean"
