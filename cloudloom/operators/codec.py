@@ -18,6 +18,7 @@ MAPS = {"occupancy": "OVD", "geometry": "GVD", "attribute": "AVD"}
 class MapCodec(Protocol):
     """Codes one group's images of one map, in frame order (near and far layer of a frame in turns).
 
+    Its group is the profile's codec group in the parameter sets (1 where it has none), codecs the codec id of each map (the group where it names none).
     A codec with a method configured(options) is asked for one that is set up: options[map] is Parameters.codec_options of the map.
     """
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import SLICE_PLANES
-from ..operators import atlas, color, fill, normals, refine, rounds, tiles, weave
+from ..operators import atlas, color, container, fill, normals, refine, rounds, tiles, weave
 from ..operators.neighbors import nearest
 from ..params import Parameters
 from ..operators.patches import projected
@@ -114,6 +114,25 @@ def v3c_units(pc: DataFrame) -> DataFrame:
     return pipeline.encode(pc, PARAMETERS)["units"]
 
 
+SETS = """, groups as (select distinct (frame_id // 3)::bigint as gof_id from pc), told(structure, name, value) as (values
+ ('parameters', 'codec_group', 1), ('parameters', 'toolset', 1), ('parameters', 'reconstruction', 1), ('parameters', 'max_decodes', 15), ('parameters', 'reserved_12', 4095), ('parameters', 'level', 30),
+ ('parameters', 'atlases[0].width', 128), ('parameters', 'atlases[0].map_count_minus1', 1), ('parameters', 'atlases[0].occupancy', 1), ('parameters', 'atlases[0].geometry', 1), ('parameters', 'atlases[0].attribute', 1),
+ ('parameters', 'atlases[0].occupancy_codec', 1), ('parameters', 'atlases[0].occupancy_depth_minus1', 7), ('parameters', 'atlases[0].geometry_codec', 1), ('parameters', 'atlases[0].geometry_depth_minus1', 7), ('parameters', 'atlases[0].depth_3d', 6),
+ ('parameters', 'atlases[0].attribute_count', 1), ('parameters', 'atlases[0].attributes[0].attribute_codec', 1), ('parameters', 'atlases[0].attributes[0].dimension_minus1', 2), ('parameters', 'atlases[0].attributes[0].attribute_depth_minus1', 7),
+ ('sequence', 'frame_width', 128), ('sequence', 'depth_3d', 6), ('sequence', 'depth_2d', 7), ('sequence', 'order_bits_minus4', 6), ('sequence', 'list_count', 1), ('sequence', 'reference_lists[0].entries', 1),
+ ('sequence', 'reference_lists[0].references[0].short_term', 1), ('sequence', 'reference_lists[0].references[0].distance', 1), ('sequence', 'reference_lists[0].references[0].sign', 1), ('sequence', 'projections_minus1', 5),
+ ('sequence', 'quantised_limits', 1), ('sequence', 'max_delta', 1), ('sequence', 'log2_block', 1), ('sequence', 'map_count_minus1', 1), ('sequence', 'extension', 1), ('sequence', 'vpcc_extension', 1), ('sequence', 'remove_duplicates', 1),
+ ('frame', 'single_tile', 1), ('frame', 'extension', 1))
+select gof_id, structure, name, value::bigint as value from groups, told
+union all select gof_id, 'parameters', 'id', gof_id % 16 from groups where gof_id % 16 <> 0"""
+
+
+@query(sql=SETS)
+def parameter_sets(pc: DataFrame) -> DataFrame:
+    """What is not zero in every group's parameter, sequence and frame set, read back from its units; but for heights, which the packing decides."""
+    return container.set_values(pipeline.encode(pc, PARAMETERS)["units"]).filter("value <> 0 and name not in ('frame_height', 'atlases[0].height')")
+
+
 @query()
 def atlas_maps(pc: DataFrame) -> DataFrame:
     return pipeline.encode(pc, PARAMETERS)["maps"]

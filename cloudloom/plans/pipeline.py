@@ -79,8 +79,8 @@ def map_pixels(points: DataFrame, pixels: DataFrame, patches: DataFrame, p: Para
     return coloured(on_map(pixels, where, ["frame_id", "patch_id"]), points).select("frame_id", "x", "y", "d1", "d2", "r", "g", "b")
 
 
-def encode(points: DataFrame, p: Parameters) -> dict[str, DataFrame]:
-    """All stages' tables for points(frame_id, pt_idx, x, y, z, r, g, b).
+def encode(points: DataFrame, p: Parameters, coder: codec.MapCodec | None = None) -> dict[str, DataFrame]:
+    """All stages' tables for points(frame_id, pt_idx, x, y, z, r, g, b); the parameter sets tell the coder's ids.
 
     Planes, pixels and patches are read by several later stages, so they are kept as they are first computed (in memory, else
     on disk; what an executor loses is computed anew). `release` lets go of them.
@@ -91,7 +91,7 @@ def encode(points: DataFrame, p: Parameters) -> dict[str, DataFrame]:
     maps = map_pixels(points, pixels, patches, p)
     coded = patches.select("frame_id", "patch_id", "pos_x", "pos_y", (F.col("w") - 1).alias("size_x_minus1"), (F.col("h") - 1).alias("size_y_minus1"), F.col("u").alias("offset_u"), F.col("v").alias("offset_v"), F.expr(f"min_d div {p.plane_step}").alias("offset_d"), F.when(F.col("size_d") == 0, 0).otherwise(F.expr(f"(size_d + 1) div {p.plane_step}")).alias("range_d"), F.col("ppi").alias("plane"), F.col("swapped").cast("int").alias("swapped"))
     threshold = p.threshold2 if p.block == 2 else p.threshold4
-    units = container.atlas_units(coded, p.gof_size, p.map_width, p.map_height, p.input_depth, 2 if p.double_layer else 1, p.low_delay)
+    units = container.atlas_units(coded, p.gof_size, p.map_width, p.map_height, p.input_depth, 2 if p.double_layer else 1, p.low_delay, p.block, p.plane_step, getattr(coder, "codecs", None), getattr(coder, "group", 1))
     return {"points": planes, "pixels": pixels, "patches": patches, "maps": maps, "occupancy": occupancy_blocks(maps, p.block, threshold), "images": codec.finished(maps, p.gof_size, **image_rules(p)), "units": units}
 
 

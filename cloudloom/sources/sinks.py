@@ -48,5 +48,5 @@ def repacked(planar: bytes, planes: int = 3) -> bytes:
 
 
 def trace_lines(writer: BitWriter) -> list[str]:
-    """`name u(n) : value` for each syntax element written."""
-    return [f"{name} u({bits}) : {value}" for name, bits, value in writer.trace if name]
+    """`name u(n) : value` or `name ue(v) : value` for each syntax element written."""
+    return [f"{name} {code} : {value}" for name, code, _, value in writer.trace if name]

@@ -151,8 +151,11 @@ def test_fills():
 
 def test_container_round_trip():
     patches = [{"pos_x": i, "pos_y": 3 * i, "size_x_minus1": i, "size_y_minus1": 0, "offset_u": 9, "offset_v": 700, "offset_d": 1, "range_d": 2, "plane": i % 6, "swapped": i % 2} for i in range(7)]
-    head, back = container.read_tile_layer(container.tile_layer(1030, patches))
-    assert back == patches and head["order"] == 1030 % 1024 and head["type"] == container.TILE_I
+    sequence = container.payload(container.SEQUENCE_SET, container.sequence_values(64, 64, 15, 2))[1]
+    frame = container.payload(container.FRAME_SET, {}, sequence)[1]
+    data = container.tile_layer({"order": 1030}, [p | {"range_d": p["range_d"] + 256} for p in patches], frame, sequence)
+    head, back = container.read_tile_layer(data, frame, sequence)
+    assert [{k: b[k] for k in patches[0]} for b in back] == patches and head["order"] == 1030 % 1024 and head["type"] == container.TILE_I
     units = list(container.sub_units(container.sized([b"a", b"bb" * 300, b""])))
     assert units == [b"a", b"bb" * 300, b""]
     assert container.to_samples(b"\0\0\0\1ab\0\0\1c") == b"\0\0\0\2ab\0\0\0\1c"
@@ -359,7 +362,8 @@ def test_images_and_sinks(spark):
     assert sinks.repacked(b"rrggbb") == b"rgbrgb"
     w = container.BitWriter()
     w.structure(container.NAL_HEADER, {"type": 36})
-    assert sinks.trace_lines(w)[1] == "type u(6) : 36"
+    w.put_ue(4, "five")
+    assert sinks.trace_lines(w)[1] == "type u(6) : 36" and sinks.trace_lines(w)[-1] == "five ue(v) : 4"
 
 
 def test_command_line(capsys):
