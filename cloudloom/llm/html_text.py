@@ -5,12 +5,13 @@ divided by the path's nodes; both ratios are smoothed over neighbouring nodes in
 with the share of text outside links, and thresholded at a share of the page's own mean. What an element says of itself
 (menus, forms, notices and so on, by class, id or role, and forms) only lowers the fused ratio of the paths under it, so a page
 that lies in such an element as a whole loses nothing, and prose under a misleading name can still pass; it says nothing of
-an element that holds half of the page's text and its title, article or main element. Only elements
+an element that holds half of the page's text and its title, article or main element. Texts after the last article or main element
+whose paths come in turns again and again, as readers' remarks under their names do, are lowered alike, whatever they are called. Only elements
 that never hold a page's main text by their definition (nav, footer, aside, buttons, a header outside an article) have no
 ratio, as has what a browser shows no text of: scripts, styles, templates, hidden elements. Nodes over the threshold are the content, wherever they
 lie. What is too short for a ratio is rescued where it is mostly text outside links: a run of nodes of one path, or a whole list
-or table, that touches a node over the threshold in an article or main element, or lies between two such nodes elsewhere;
-and headings that a chosen node follows.
+or table, that touches a node over the threshold in an article or main element, or lies between two such nodes or under a heading
+right after one elsewhere; and headings that a chosen node follows.
 
 Reading a page takes time in proportion to its length, whatever its tags: every look at the open elements is a look at a
 table kept for it, or closes what it passes.
@@ -50,7 +51,9 @@ HOLDERS = frozenset("article main".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 CLOSE_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 # Words of a class, id or role that mark what is no main text.
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|consent|copyright|disqus|disclaimer|footer|gdpr|header|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|overlay|pagination|pager|popup|promo|promoted|recommended|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|toolbar|widget|contentinfo|complementary)(?:$|[\s_-])", re.I)
+NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|commentsection|commentthread|cookies?|cookie(?:bar|banner|box|law|notice|wall)|consent|consent(?:banner|bar|box)|copyright|disqus|disclaimer|footer|gdpr|gdpr(?:banner|bar|box|notice)|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|overlay|pagination|pager|popup|promo|promoted|recommended|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|toolbar|widget|contentinfo|complementary)(?:$|[\s_-])", re.I)
+# Words that mark it only outside an article or main element: inside, they name its own parts.
+NOISE_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:header|discussion|feedback|guestbook|responses)(?:$|[\s_-])", re.I)
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>", re.S)
 SIMPLE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -100,20 +103,20 @@ SPECIAL = frozenset().union(*(own | limits for own, limits in CLOSES.values()))
 
 
 @lru_cache(4096)
-def _said(attributes: str) -> tuple[str, bool, bool]:
-    """What attributes say: class, id and role in one text, whether these name no main text, whether the element is hidden."""
+def _said(attributes: str) -> tuple[str, bool, bool, bool]:
+    """What attributes say: class, id and role in one text, whether these name no main text, or none outside an article, whether the element is hidden."""
     marks = " ".join(x or y or z for x, y, z in ATTRIBUTE.findall(attributes)) if "=" in attributes else ""
     hidden = HIDDEN.search(attributes) is not None or BARE_HIDDEN.search(QUOTED.sub(" ", attributes)) is not None
-    return marks, bool(marks) and NOISE.search(marks) is not None, hidden
+    return marks, NOISE.search(marks) is not None, NOISE_OUTSIDE.search(marks) is not None, hidden
 
 
 def _pushed(above: Open, tag: str, attributes: str, at: int, number: dict[tuple[int, str], int], around: list[int]) -> Open:
     """The element that a start tag opens under another one, as the at-th of the open ones."""
-    marks, named, hidden = (_said(attributes) if len(attributes) < 1000 else _said.__wrapped__(attributes)) if attributes else ("", False, False)
+    marks, named, outside, hidden = (_said(attributes) if len(attributes) < 1000 else _said.__wrapped__(attributes)) if attributes else ("", False, False, False)
     inline = tag in INLINE
     path = above.path if inline else number.setdefault((above.path, f"{tag}.{marks}"), len(number) + 1)
     unseen = tag in UNSEEN or tag in ASIDE or tag == "header" and not above.held
-    noisy = tag in FORMS or (named and tag not in ("html", "body", "article", "main"))
+    noisy = tag in FORMS or ((named or outside and not above.held) and tag not in ("html", "body", "article", "main"))
     if noisy:
         around.append(above.noisy)
     p = at if tag == "p" else above.p if inline else -1
@@ -224,8 +227,24 @@ def scores(page: list[Node]) -> np.ndarray:
     return text_ratio * np.log1p(1 + mark_ratio) * (1 - per_path(length * linked) / np.maximum(total, 1))[where]
 
 
+def in_turns(page: list[Node]) -> np.ndarray:
+    """Nodes after the last article or main element whose paths come in turns again and again (a name, its remark, a name, its remark).
+
+    Sections of prose under headings of the first three levels are none, nor are lists among paragraphs.
+    """
+    out = np.zeros(len(page), bool)
+    begin = 1 + max((i for i, x in enumerate(page) if x.held), default=len(page))
+    runs = [next(own) for _, own in groupby((x for x in page[begin:] if not 0 < x.heading < 4), lambda x: x.path)]
+    often = Counter(x.path for x in runs)
+    steps = Counter((a.path, b.path) for a, b in zip(runs, runs[1:]) if (a.run == a.path) == (b.run == b.path))
+    turning = {p for (a, b), n in steps.items() if n > 1 and often[a] > 1 and often[b] > 1 for p in (a, b)}
+    out[begin:] = [x.path in turning for x in page[begin:]]
+    return out
+
+
 def rescued(page: list[Node], over: np.ndarray, least: int = 0) -> np.ndarray:
-    """Nodes of the runs in an article or main element that touch a node over the threshold and are mostly outside links.
+    """Nodes of the runs that touch a node over the threshold and are mostly outside links: in an article or main element, or between two
+    such nodes, or lists under a heading right after one.
 
     least: how many elements of a telling name lie around all of the page's text.
     """
@@ -235,7 +254,11 @@ def rescued(page: list[Node], over: np.ndarray, least: int = 0) -> np.ndarray:
     for (held, noisy, _), run in groupby(page, lambda x: (x.held, x.noisy, x.run)):
         nodes_ = list(run)
         own = slice(at, at := at + len(nodes_))
-        if noisy == least and near[own].any() and (held or before[own][0] and after[own][-1]):
+        begin, under = own.start, False
+        if begin > 1 and not held and len(nodes_) > 1 and nodes_[0].run != nodes_[0].path:
+            title = page[begin - 1]
+            under = title.heading > 1 and title.noisy == least and not title.linked and bool(over[begin - 2])
+        if noisy == least and (under or near[own].any() and (held or before[own][0] and after[own][-1])):
             out[own] = 2 * sum(len(x.text.strip()) for x in nodes_ if x.linked) < sum(len(x.text.strip()) for x in nodes_)
     return out
 
@@ -246,7 +269,7 @@ def main_text(html: str | None, share: float = 0.2, prior: float = PRIOR) -> str
     if not page:
         return ""
     least = min(x.noisy for x in page)
-    trust = np.array([prior ** min(3, x.noisy - least) for x in page])
+    trust = np.array([prior ** min(3, x.noisy - least) for x in page]) * np.where(in_turns(page), prior, 1.0)
     fused = scores(page) * trust
     weight = np.array([len(x.text) for x in page], float) * trust
     over = (fused >= share * (fused * weight).sum() / weight.sum()) & (fused > 0)

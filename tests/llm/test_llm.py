@@ -434,6 +434,24 @@ def test_a_page_without_an_article():
     assert "remark" not in html_text.main_text(long)
 
 
+def test_structure_decides_where_names_say_nothing():
+    p = lambda s: f"<p>{s} This is a sentence of the article, which has commas; and it goes on for a while, as prose does.</p>"
+    got = html_text.main_text(f'<article><h1>T</h1><div class="section-header"><p>Intro line of the section.</p></div>{p("First.")}<section id="discussion"><h2>Discussion</h2>{p("Second.")}</section></article>')
+    assert "Intro line of the section." in got and "Discussion" in got and "Second." in got
+    bare = f'<body><div class="page"><h1>Title</h1>{p("First.")}{p("Second.")}<h2>Steps</h2><ol><li>fill it<li>stir it<li>serve it</ol></div><div id="footer">Copyright, all rights reserved, of this site.</div></body>'
+    assert html_text.main_text(bare).split("\n")[-4:] == ["Steps", "fill it", "stir it", "serve it"]
+    remark = "<div><b class=who>{}</b><div>Reader {}, today</div><p>I read this with joy, thank you; it was good, and I learned a lot from it.</p></div>"
+    remarks = "".join(remark.format(x, x) for x in ("Ann", "Bob", "Cy"))
+    article = f"<article><h1>T</h1>{p('First.')}{p('Second.')}</article>"
+    for after in (f'<ol class="commentlist"><li>{p("Mine.")}<li>{p("Mine.")}</ol>', f'<section id="discussion">{p("Mine.")}</section>', f'<div id="gdprbox">{p("Mine.")}</div>', f'<div id="x">{remarks}</div>'):
+        got = html_text.main_text(f"<body>{article}{after}</body>")
+        assert got.count("This is a sentence") == 2 and "Mine" not in got and "joy" not in got, after
+    more = f"<div><h2>On</h2>{p('Third.')}<h2>And on</h2>{p('Fourth.')}</div>"  # prose after an article is kept
+    assert html_text.main_text(f"<body>{article}{more}</body>").count("This is a sentence") == 4
+    items = f"<div>{p('Third.')}<ul><li>one<li>two</ul>{p('Fourth.')}<ul><li>three<li>four</ul>{p('Fifth.')}</div>"
+    assert html_text.main_text(f"<body>{article}{items}</body>").count("This is a sentence") == 5
+
+
 def test_open_elements_are_closed_as_browsers_do():
     texts = lambda page: [(x.text, x.path) for x in html_text.nodes(page)]
     same = [("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "<ul><li>a</li><li>b<ul><li>c</li></ul></li><li>d</li></ul>"), ("<p>a<b>b<p>c<div>d</div>", "<p>a<b>b</b></p><p>c</p><div>d</div>"), ("<table><tr><td>a<td>b<tr><th>c</table>e", "<table><tr><td>a</td><td>b</td></tr><tr><th>c</th></tr></table>e"), ("<dl><dt>a<dd>b<dt>c</dl>", "<dl><dt>a</dt><dd>b</dd><dt>c</dt></dl>"), ("<div>a</span></i>b</p>c</div>d", "<div>abc</div>d")]
