@@ -151,6 +151,28 @@ def yuv_fir(pc: DataFrame) -> DataFrame:
     return projected(pc).groupBy("frame_id", "ppi").applyInPandas(run, "frame_id int, ppi int, plane string, y int, line binary")
 
 
+_TAPS = lambda name, taps: f"{name}(j, w) as (select unnest(range({len(taps)})), unnest([{', '.join(map(str, taps))}]::double[]))"
+#: Filters in 32-bit taps of 512 parts, each step's result in 32 bits; what is outside repeats the border.
+SAMPLES = f""", seen as (select frame_id, ppi, u, v, arg_max(r, pt_idx) as r, arg_max(g, pt_idx) as g, arg_max(b, pt_idx) as b from pix group by all),
+image as (select f.frame_id, f.ppi, y, x, coalesce(r, 128) / 255 as r, coalesce(g, 128) / 255 as g, coalesce(b, 128) / 255 as b
+ from (select distinct frame_id, ppi from pc) f cross join range(64) h(y) cross join range(64) w(x) left join seen s on s.frame_id = f.frame_id and s.ppi = f.ppi and s.u = x and s.v = y),
+yuv as (select frame_id, ppi, y, x, greatest(0, least(1, r * 0.2126::double + g * 0.7152::double + b * 0.0722::double))::float as luma,
+ greatest(-0.5, least(0.5, r * -0.114572::double + g * -0.385428::double + b * 0.5::double))::float as cb, greatest(-0.5, least(0.5, r * 0.5::double + g * -0.454153::double + b * -0.045847::double))::float as cr from image),
+{_TAPS('across', color.HORIZONTAL)}, {_TAPS('down', color.VERTICAL)},
+narrow as (select frame_id, ppi, y, k as x, (sum((w * 512)::float::double * cb) / 512)::float as cb, (sum((w * 512)::float::double * cr) / 512)::float as cr from range(32) h(k) cross join across join yuv on yuv.x = greatest(0, least(63, 2 * k + j - 7)) group by all),
+small as (select frame_id, ppi, k as y, x, (sum((w * 512)::float::double * cb) / 512)::float as cb, (sum((w * 512)::float::double * cr) / 512)::float as cr from range(32) h(k) cross join down join narrow on narrow.y = greatest(0, least(63, 2 * k + j - 7)) group by k, frame_id, ppi, x)
+select frame_id, ppi, 'y' as plane, y::int as y, x::int as x, floor(255 * luma::double + 0.5)::int as sample from yuv
+union all select frame_id, ppi, 'u', y::int, x::int, greatest(0, least(255, floor(255 * cb::double + 128.5)))::int from small
+union all select frame_id, ppi, 'v', y::int, x::int, greatest(0, least(255, floor(255 * cr::double + 128.5)))::int from small"""
+
+
+@query(sql=SAMPLES)
+def yuv_samples(pc: DataFrame) -> DataFrame:
+    """Every sample of the luma and filtered chroma rows."""
+    samples = F.expr("transform(sequence(1, octet_length(line)), i -> cast(conv(hex(substring(line, i, 1)), 16, 10) as int))")
+    return yuv_fir(pc).select("frame_id", "ppi", "plane", "y", F.posexplode(samples).alias("x", "sample"))
+
+
 # What holds for the results above whatever the kernels do; SQL can say it without them.
 
 COARSE = PARAMETERS.changed(voxel_depth=5, refine_depth=4, refine_sweeps=1)
