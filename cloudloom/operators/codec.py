@@ -52,8 +52,9 @@ def _attribute(colour: np.ndarray, pixels: np.ndarray, blocks: np.ndarray, block
 def images(frame: pd.DataFrame, width: int, height: int, block: int, layers: int = 2, threshold: int = 1, geometry: int = 128, attribute: int = 128, fill_: str = "patchExtension", fill_block: int = 8, filtered_chroma: bool = False) -> dict[str, list[np.ndarray]]:
     """One frame's images from its pixels (x, y, d1, d2, r, g, b): occupancy by block, geometry filled, attributes filled and in YUV 4:2:0.
 
-    An attribute image is its luma rows, then its two chroma planes, as rows of the same width.
+    A frame without pixels is one row of nulls: all background. An attribute image is its luma rows, then its two chroma planes, as rows of the same width.
     """
+    frame = frame.dropna(subset="x").astype({c: int for c in frame.columns})
     at = frame["y"].to_numpy(), frame["x"].to_numpy()
     pixels, blocks = occupied(frame, width, height, block, threshold)
     out: dict[str, list[np.ndarray]] = {"occupancy": [blocks.astype(np.uint8)], "geometry": [], "attribute": []}
@@ -71,7 +72,7 @@ def images(frame: pd.DataFrame, width: int, height: int, block: int, layers: int
 
 
 def _tall(group: pd.DataFrame, height: int, block: int) -> int:
-    return max(height, -(-(int(group["y"].max()) + 1) // (8 * block)) * 8 * block)
+    return height if group["y"].isna().all() else max(height, -(-(int(group["y"].max()) + 1) // (8 * block)) * 8 * block)
 
 
 def finished(pixels: DataFrame, gof_size: int, width: int, height: int, block: int, **rules: object) -> DataFrame:

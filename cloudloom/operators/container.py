@@ -360,22 +360,22 @@ def file_bytes(units: Iterable[bytes]) -> bytes:
 
 def _rows(patches: pd.DataFrame) -> int:
     """Rows of blocks that patches take up; w and h change places where a patch is swapped."""
-    return int((patches["pos_y"] + patches["size_y_minus1"].where(patches["swapped"] == 0, patches["size_x_minus1"])).max()) + 1
+    return 0 if patches.empty else int((patches["pos_y"] + patches["size_y_minus1"].where(patches["swapped"] == 0, patches["size_x_minus1"])).max()) + 1
 
 
 def atlas_units(patches: DataFrame, gof_size: int, width: int, height: int, depth: int, maps: int = 2, low_delay: bool = False, block: int = 2, step: int = 64, codecs: dict[str, int] | None = None, group: int = 1) -> DataFrame:
     """(gof_id, unit_seq, unit_type, payload) of patches(frame_id, patch_id and fields of PATCH): parameter and atlas units.
 
-    A task for each group of frames; the coded maps of a video codec follow as OVD, GVD and AVD units. With low_delay each
+    A frame without patches is one row whose other columns are null. A task for each group of frames; the coded maps of a video codec follow as OVD, GVD and AVD units. With low_delay each
     frame has an atlas unit of its own, four places apart, parameter sets only in the first one of a group. height is the least
     that the sets tell: they tell that of the group's maps. step: what depths are divided by, a power of two; codecs and group as in parameter_values.
     """
     names, quantiser = [x.name for x in PATCH if x.name in patches.columns], step.bit_length() - 1
 
     def work(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        gof, tall = int(key[0]), max(height, -(-_rows(own) // 8) * 8 * block)
+        gof, tall = int(key[0]), max(height, -(-_rows(own.dropna(subset="patch_id")) // 8) * 8 * block)
         sequence = sequence_values(width, tall, depth, maps, block)
-        frames = [(int(f) % gof_size, of.sort_values("patch_id")[names].astype(int).to_dict("records")) for f, of in sorted(own.groupby("frame_id"))]
+        frames = [(int(f) % gof_size, of.dropna(subset="patch_id").sort_values("patch_id")[names].astype(int).to_dict("records")) for f, of in sorted(own.groupby("frame_id"))]
         if low_delay:
             atlas = [(1 + 4 * place, "AD", atlas_unit(gof, [(place, patches)], sequence, place == frames[0][0], quantiser)) for place, patches in frames]
         else:

@@ -79,6 +79,11 @@ def map_pixels(points: DataFrame, pixels: DataFrame, patches: DataFrame, p: Para
     return coloured(on_map(pixels, where, ["frame_id", "patch_id"]), points).select("frame_id", "x", "y", "d1", "d2", "r", "g", "b")
 
 
+def of_frames(points: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows of frames; a frame of the points that has none gets one of nulls."""
+    return points.select("frame_id").distinct().join(rows, "frame_id", "left")
+
+
 def encode(points: DataFrame, p: Parameters, coder: codec.MapCodec | None = None) -> dict[str, DataFrame]:
     """All stages' tables for points(frame_id, pt_idx, x, y, z, r, g, b); the parameter sets tell the coder's ids.
 
@@ -89,10 +94,10 @@ def encode(points: DataFrame, p: Parameters, coder: codec.MapCodec | None = None
     pixels = rounds.patch_pixels(planes, p.least_points, propagation=p.propagation, covered=p.covered_distance, block=p.block, distance=p.peak_distance, thickness=p.thickness, double=p.double_layer).persist()
     patches = placed(boxes(pixels, p), p).persist()
     maps = map_pixels(points, pixels, patches, p)
-    coded = patches.select("frame_id", "patch_id", "pos_x", "pos_y", (F.col("w") - 1).alias("size_x_minus1"), (F.col("h") - 1).alias("size_y_minus1"), F.col("u").alias("offset_u"), F.col("v").alias("offset_v"), F.expr(f"min_d div {p.plane_step}").alias("offset_d"), F.when(F.col("size_d") == 0, 0).otherwise(F.expr(f"(size_d + 1) div {p.plane_step}")).alias("range_d"), F.col("ppi").alias("plane"), F.col("swapped").cast("int").alias("swapped"))
+    coded = of_frames(planes, patches).select("frame_id", "patch_id", "pos_x", "pos_y", (F.col("w") - 1).alias("size_x_minus1"), (F.col("h") - 1).alias("size_y_minus1"), F.col("u").alias("offset_u"), F.col("v").alias("offset_v"), F.expr(f"min_d div {p.plane_step}").alias("offset_d"), F.when(F.col("size_d") == 0, 0).otherwise(F.expr(f"(size_d + 1) div {p.plane_step}")).alias("range_d"), F.col("ppi").alias("plane"), F.col("swapped").cast("int").alias("swapped"))
     threshold = p.threshold2 if p.block == 2 else p.threshold4
     units = container.atlas_units(coded, p.gof_size, p.map_width, p.map_height, p.input_depth, 2 if p.double_layer else 1, p.low_delay, p.block, p.plane_step, getattr(coder, "codecs", None), getattr(coder, "group", 1))
-    return {"points": planes, "pixels": pixels, "patches": patches, "maps": maps, "occupancy": occupancy_blocks(maps, p.block, threshold), "images": codec.finished(maps, p.gof_size, **image_rules(p)), "units": units}
+    return {"points": planes, "pixels": pixels, "patches": patches, "maps": maps, "occupancy": occupancy_blocks(maps, p.block, threshold), "images": codec.finished(of_frames(planes, maps), p.gof_size, **image_rules(p)), "units": units}
 
 
 def release(tables: dict[str, DataFrame]) -> None:
@@ -126,7 +131,7 @@ def all_units(tables: dict[str, DataFrame], p: Parameters, coder: codec.MapCodec
     make = codec.low_delay_units if p.low_delay else codec.video_units
     if hasattr(coder, "configured"):
         coder = coder.configured({kind: p.codec_options(kind) for kind in codec.MAPS})
-    return tables["units"].unionByName(make(tables["maps"], p.gof_size, rules.pop("width"), rules.pop("height"), rules.pop("block"), coder, **rules))
+    return tables["units"].unionByName(make(of_frames(tables["points"], tables["maps"]), p.gof_size, rules.pop("width"), rules.pop("height"), rules.pop("block"), coder, **rules))
 
 
 def write_file(units: DataFrame, path: str) -> int:

@@ -104,6 +104,19 @@ def test_sets_tell_the_height_of_the_maps(spark):
     assert rows and max(r["y"] for r in rows) > 16
     for r in rows:
         assert units[r["gof_id"], "VPS"]["parameters"]["atlases"][0]["height"] == units[r["gof_id"], "AD"]["sequence"]["frame_height"] == r["y"] + 1
+    assert sum(len(u.get("tiles", [])) for u in units.values()) == tables["points"].select("frame_id").distinct().count()
     of_maps = {tuple(r) for r in tables["patches"].select("frame_id", "patch_id", "pos_x", "pos_y").collect()}
     assert sum(len(t[1]) for u in units.values() for t in u.get("tiles", [])) == len(of_maps)
     pipeline.release(tables)
+
+
+def test_frames_without_patches_are_coded(spark):
+    p = kernels.PARAMETERS.changed(gof_size=2)
+    rows = [(f, i, i % 3 * 20, i // 3 * 20, 5, 9, 9, 9, 2) for f in range(3) for i in range(4)]
+    tables = pipeline.encode(spark.createDataFrame(rows, "frame_id int, pt_idx int, x int, y int, z int, r int, g int, b int, ppi int"), p)
+    units = {(u["gof_id"], u["unit_type"]): bytes(u["payload"]) for u in pipeline.all_units(tables, p).collect()}
+    assert len(units) == 10 and tables["patches"].count() == 0
+    assert [[(head["order"], patches) for head, patches in container.read_unit(units[g, "AD"])["tiles"]] for g in (0, 1)] == [[(0, []), (1, [])], [(0, [])]]
+    assert [len(units[g, "OVD"]) for g in (0, 1)] == [4 + 2 * 64 * 64, 4 + 64 * 64] and not any(units[0, "OVD"][4:])
+    assert tables["images"].filter("map = 'geometry' and layer = 0").count() == 3 * 128
+    pipeline.release(tables)
